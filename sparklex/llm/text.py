@@ -105,7 +105,7 @@ def words(text: str) -> list[str]:
 
 
 _SENTENCE = re.compile(r"(?<=[.!?…])([\"“”»«’'\)\]]*)\s+(?=[^\s])|\s*\n+\s*")
-_LOWER_NEXT = re.compile(r"[\"“”„»«’'(\[–-]*\s*[a-zà-žα-ω]")
+_NEXT = re.compile(r"[\"“”„»«’'(\[–-]*\s*(\w?)")
 
 
 def sentences(text: str) -> list[str]:
@@ -115,7 +115,7 @@ def sentences(text: str) -> list[str]:
     """
     out, last = [], 0
     for m in _SENTENCE.finditer(text):
-        if m.group(1) is not None and "\n" not in m.group() and _LOWER_NEXT.match(text, m.end()):
+        if m.group(1) is not None and "\n" not in m.group() and _NEXT.match(text, m.end()).group(1).islower():
             continue
         cut = m.end(1) if m.group(1) is not None else m.start()
         if piece := text[last:cut].strip():
