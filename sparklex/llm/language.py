@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparklex.llm.text import LOOKALIKES, sentences, visible
+from sparklex.runtime import bounded_sample
 
 DIMENSIONS = 1024
-#: Rows read to fit the prototypes: the first of them in the order of a hash of their keys.
+#: Rows, about, read to fit the prototypes.
 FIT_ROWS = 6_000
 SEED = 20240229
 
@@ -274,8 +275,8 @@ def _labeller(profiles: Profiles):
 
 
 def sample_profiles(texts: DataFrame, label: str = "label", text: str = "text", key: str = "rec_id", rows: int = FIT_ROWS) -> Profiles:
-    """Profiles fitted on the `rows` texts that come first by a hash of their key (a bounded sample of labelled rows)."""
-    sample = texts.select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(key).alias("h")).where("length(text) > 30").orderBy("h").limit(rows).collect()
+    """Profiles fitted on a bounded sample of about `rows` labelled texts."""
+    sample = bounded_sample(texts, key, rows).select(F.col(label).alias("label"), F.col(text).alias("text")).collect()
     return fit_profiles([r["text"] for r in sample], [r["label"] for r in sample])
 
 
@@ -285,7 +286,7 @@ def language_segments(texts: DataFrame, profiles: Profiles | None = None, keep_t
     texts has field, rec_id, label and text; other columns are not read. Null and empty texts, and texts of marks or
     placeholders, give no row. Rows with a repeated key each give their segments.
     """
-    rows = texts.select(F.col("field").cast("string"), F.col("rec_id").cast("long"), F.col("label").cast("string"), F.col("text").cast("string")).where("length(text) > 0")
+    rows = texts.select(F.col("field").cast("string"), F.col("rec_id").cast("long"), F.col("label").cast("string"), F.col("text").cast("string"))
     out = rows.mapInArrow(_labeller(profiles or sample_profiles(rows)), "field string, rec_id long, label string, seg_no int, lang string, confidence double, segments int, text string")
     return out if keep_text else out.drop("text")
 

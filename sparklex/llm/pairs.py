@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from sparklex.llm.completeness import _TERMINATED, EndModel, broken_off, fit_end_model, structure
 from sparklex.llm.language import NEAR_TIE, Profiles, fit_profiles, is_placeholder
 from sparklex.llm.text import fold, sentences, visible
+from sparklex.runtime import bounded_sample
 
-#: Rows on which the language profiles, the model of sentence ends and the closing marks of replies are fitted.
+#: Rows, about, on which the language profiles, the model of sentence ends and the closing marks of replies are fitted.
 FIT_ROWS = 6_000
 #: Words of the shortest tile of a copy; share of a reply's words that tiles must cover.
 TILE, COVERED = 4, 0.95
@@ -244,8 +245,8 @@ def judged_pairs(training: DataFrame, judge: Judge | None = None) -> DataFrame:
     """
     rows = training.select(F.col("row_id").cast("long"), F.lower(F.trim("task")).alias("task"), F.col("direction"), F.col("messages").cast("array<struct<role:string,content:string>>").alias("messages"))
     if judge is None:
-        sample = training.select("row_id", F.lower(F.trim("task")).alias("task"), "direction", F.col("lang"), "messages").where("size(messages) > 0").orderBy(F.xxhash64("row_id"), "row_id").limit(FIT_ROWS).collect()
-        judge = fit_judge([(r["task"] or "", r["direction"] or "", r["lang"], [m.asDict() if m is not None else None for m in r["messages"]]) for r in sample])
+        sample = bounded_sample(training.select("row_id", F.lower(F.trim("task")).alias("task"), "direction", "lang", "messages"), "row_id", FIT_ROWS).collect()
+        judge = fit_judge([(r["task"] or "", r["direction"] or "", r["lang"], [m.asDict() if m is not None else None for m in r["messages"] or []]) for r in sample])
     return rows.mapInArrow(_runner(judge), "row_id long, pair_no int, defect string")
 
 

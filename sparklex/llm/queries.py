@@ -7,14 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklex.llm import confusables, formatting_duplicates, language, leakage
+from sparklex.llm import confusables, formatting_duplicates, language, leakage, packing, pairs, split_overlap, toxicity, truncation
 from sparklex.runtime import table
 
-# Names of the two roles of a conversation.
-USER_ROLES = ("user", "human", "prompter", "question", "customer", "client")
-ASSISTANT_ROLES = ("assistant", "model", "bot", "gpt", "ai", "answer", "chatbot", "agent", "assistent")
-
-
 def _sentences_of_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "sc_gc_items").select(F.lit("input_sentence").alias("field"), F.col("item_key").alias("rec_id"), F.col("input_sentence").alias("text"))
     preds = table(spark, sf_dir, "mt_preds").select(F.lit("source").alias("field"), F.col("pred_id").alias("rec_id"), F.col("source").alias("text"))
@@ -27,11 +22,39 @@ def role(column) -> F.Column:
 
 def _labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     preds = table(spark, sf_dir, "mt_preds").select(F.lit("pred").alias("field"), F.col("pred_id").alias("rec_id"), F.col("pred_lang").alias("label"), F.col("pred").alias("text"))
-    answers = F.transform(F.filter("messages", lambda m: role(m["role"]).isin(*ASSISTANT_ROLES)), lambda m: m["content"])
+    answers = F.transform(F.filter("messages", lambda m: role(m["role"]).isin(*sorted(pairs.ASSISTANT_ROLES))), lambda m: m["content"])
     chats = table(spark, sf_dir, "training").where(F.lower("task").isin("mt", "mr")).select(F.lit("content").alias("field"), F.col("row_id").alias("rec_id"), F.col("lang").alias("label"), F.array_join(answers, "\n").alias("text"))
     return preds.unionByName(chats)
 
 
+def _preds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "mt_preds").select(F.col("pred_id").alias("rec_id"), "source", F.col("direction").alias("kind"), F.col("pred").alias("text"), "system_name", "dataset_id")
+
+
+def _items(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    parts = [table(spark, sf_dir, t).select(F.lit(t).alias("eval_table"), "item_key", F.col(c).alias("text"), *more) for t, c in (("sc_gc_items", "input_sentence"), ("mr_items", "question"), ("qa_items", "question"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "training").select("row_id", F.explode("messages.content").alias("text"))
+
+
+def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = [r["capacity"] for r in table(spark, sf_dir, "pack_limits").select("capacity").distinct().collect()]  # a fixed table
+    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")), limits)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defective_pairs(table(spark, sf_dir, "training")).distinct()
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs and defective pairs of each mixture."""
+    judged = pairs.judged_pairs(table(spark, sf_dir, "training")).groupBy("row_id").agg(F.count("*").alias("pairs"), F.count("defect").alias("defective"))
+    return judged.join(table(spark, sf_dir, "training").select("row_id", "mixture"), "row_id").groupBy("mixture").agg(F.sum("pairs").alias("pairs"), F.sum("defective").alias("defective"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting_duplicates.formatting_copies(table(spark, sf_dir, "raw_lines"))
 
@@ -48,6 +71,28 @@ def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.canonical_texts(_sentences_of_both(spark, sf_dir)).select("field", "rec_id", "canon")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated_texts(_preds(spark, sf_dir)).select(F.col("rec_id").alias("pred_id")).distinct()
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and truncated rows for each system_name and dataset_id."""
+    preds = _preds(spark, sf_dir)
+    judged = truncation.judged_texts(preds).groupBy("rec_id").agg(F.max(F.col("reason").isNotNull()).alias("cut"))
+    return preds.select("rec_id", "system_name", "dataset_id").join(judged, "rec_id").groupBy("system_name", "dataset_id").agg(F.count("*").alias("rows"), F.count_if("cut").alias("truncated"), F.avg(F.col("cut").cast("double")).alias("rate"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlap.overlaps(_items(spark, sf_dir), _messages(spark, sf_dir))
+
+
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items found in the training split, for each table, split and dataset_id."""
+    found = p5_found(spark, sf_dir).groupBy("eval_table", "item_key").agg(F.count("*").alias("n"))
+    items = _items(spark, sf_dir, "split", "dataset_id").drop("text")
+    return items.join(found, ["eval_table", "item_key"]).groupBy("eval_table", "split", "dataset_id").agg(F.count("*").alias("items"), F.sum("n").alias("pairs"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.label_cases(_labelled_texts(spark, sf_dir)).select("field", "rec_id", "seg_no", "lang").distinct()
 
@@ -65,6 +110,30 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages")).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("longest").alias("longest"))
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = table(spark, sf_dir, "pack_limits").select("limit_name", F.col("capacity").cast("long").alias("capacity"))
+    return _containers(spark, sf_dir).join(F.broadcast(limits), "capacity").select("limit_name", "container", "doc_id", "part_no", "n_tokens", "unused")
+
+
+def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and the share of unused space for each capacity."""
+    return _containers(spark, sf_dir).groupBy("capacity").agg(F.countDistinct("container").alias("containers"), F.sum("n_tokens").alias("tokens")).withColumn("unused_share", F.round(1 - F.col("tokens") / (F.col("containers") * F.col("capacity")), 6))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_scores(spark, sf_dir).where(F.col("score") >= toxicity.THRESHOLD).select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels")).select("doc_id", "source", "score")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and found documents of each source."""
+    bad = F.col("score") >= toxicity.THRESHOLD
+    return p9_scores(spark, sf_dir).groupBy("source").agg(F.count("*").alias("documents"), F.count_if(bad).alias("found"), F.avg(bad.cast("double")).alias("rate"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 

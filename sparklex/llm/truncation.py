@@ -7,14 +7,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparklex.llm.completeness import EndModel, broken_off, fit_end_model
+from sparklex.runtime import bounded_sample
 
-#: Rows on which the model of sentence ends is fitted: the first of them in the order of a hash of their keys.
+#: Rows, about, on which the model of sentence ends is fitted.
 FIT_ROWS = 5_000
 
 
 def sample_end_model(texts: DataFrame, rows: int = FIT_ROWS) -> EndModel:
-    """The model fitted on the `rows` texts that come first by a hash of their key (a bounded sample)."""
-    sample = texts.where("length(text) > 0").orderBy(F.xxhash64("rec_id"), "rec_id").limit(rows).select("text", "source", "kind").collect()
+    """The model fitted on a bounded sample of about `rows` texts."""
+    sample = bounded_sample(texts, "rec_id", rows).select("text", "source", "kind").collect()
     return fit_end_model([(r["text"], r["source"], r["kind"]) for r in sample])
 
 
