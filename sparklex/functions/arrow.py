@@ -6,6 +6,7 @@ import difflib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
 def last_boxed(text: str | None) -> str | None:
@@ -22,12 +23,12 @@ def last_boxed(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def boxed_answer(text: pd.Series) -> pd.Series:
     return text.map(last_boxed)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio of a and b, which isn't symmetric."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from sparklex.functions.text import CORRECT, _c, is_salient, is_word, norm, replace_token, strip_punct, tokens
+from sparklex.functions.text import CORRECT, STOPWORDS, _c, is_word, norm, replace_token, strip_punct, tokens
 from sparklex.operators.lexicon import known_words
 from sparklex.operators.mix import lot, unit
 
@@ -26,75 +30,90 @@ FILLERS = ("wóno", "tute", "tamne", "druhe", "dalše", "wšě", "někajke")
 OPTION_COUNTS = ((2, 0.45), (3, 0.55))
 
 
-def draw(u: Column, weighted) -> Column:
-    """The value whose share of the range from 0 to 1 holds u."""
-    total, upto, out = sum(w for _, w in weighted), 0.0, None
-    for value, weight in weighted[:-1]:
-        upto += weight / total
-        out = F.when(u < upto, F.lit(value)) if out is None else out.when(u < upto, F.lit(value))
-    return F.lit(weighted[-1][0]) if out is None else out.otherwise(F.lit(weighted[-1][0]))
-
-
-def _pick(letters: Column, u: Column) -> Column:
-    return F.substring(letters, (F.floor(u * F.length(letters)) + 1).cast("int"), F.lit(1))
-
-
-def biased_place(length: Column, u: Column) -> Column:
-    """A place from 1 to length; the last third of a word is likelier than the middle, and that than the first."""
-    last = F.greatest(length - 1, F.lit(1))
-    first_n = F.ceil(last / 3).cast("int")  # places i with i / last < 1/3
-    upto_second = F.ceil(last * 2 / 3).cast("int")
-    n1 = F.least(first_n, length)
-    n2 = F.least(upto_second, length) - n1
-    n3 = length - n1 - n2
-    w1, w2, w3 = n1 * THIRDS[0], n2 * THIRDS[1], n3 * THIRDS[2]
-    x = u * (w1 + w2 + w3)
-    at = F.when(x < w1, F.floor(x / THIRDS[0])).when(x < w1 + w2, n1 + F.floor((x - w1) / THIRDS[1])).otherwise(n1 + n2 + F.floor((x - w1 - w2) / THIRDS[2]))
-    return F.least(at + 1, length).cast("int")
-
-
-def edit(word: Column, kind: Column, place_u: Column, letter_u: Column, confuse_u: Column) -> Column:
-    """The word after one edit of the kind; a substitution never keeps the letter."""
-    n = F.length(word)
-    at = biased_place(n, place_u)
-    head = F.substring(word, F.lit(1), at - 1)
-    here, tail = F.substring(word, at, F.lit(1)), F.substring(word, at + 1, n)
-    pair_at = F.when(n > 2, biased_place(n - 1, place_u)).otherwise(F.lit(1))
-    swapped = F.concat(F.substring(word, F.lit(1), pair_at - 1), F.substring(word, pair_at + 1, F.lit(1)), F.substring(word, pair_at, F.lit(1)), F.substring(word, pair_at + 2, n))
-    partners = F.try_element_at(F.create_map(*[F.lit(x) for k, v in sorted(CONFUSED.items()) for x in (k, v)]), here)
-    letter = F.when(partners.isNotNull() & (confuse_u < CONFUSED_SHARE), _pick(partners, letter_u)).otherwise(_pick(F.replace(F.lit(ALPHABET), here, F.lit("")), letter_u))
-    return (
-        F.when(kind == "transposition", F.when(n < 2, word).otherwise(swapped))
-        .when(kind == "deletion", F.when(n < 2, word).otherwise(F.concat(head, tail)))
-        .when(kind == "insertion", F.concat(head, _pick(F.lit(ALPHABET), letter_u), here, tail))
-        .otherwise(F.concat(head, letter, tail))
-    )
+def _chance(seed, key):
+    """Numbers from 0 to below 1 by name, from md5 of seed, name and key: the same lots as operators.mix.unit gives."""
+    return lambda name: int(hashlib.md5(f"{seed}/{name}:{key}".encode()).hexdigest()[:8], 16) / 4294967296.0
 
 
-def _eligible(df: DataFrame, sentence: str, key: str, accept) -> DataFrame:
-    """df with its tokens `_t` and the places `_e` of those that may be changed, from 0."""
-    rows = df.withColumn("_t", tokens(sentence))
-    return rows.withColumn("_e", F.filter(F.sequence(F.lit(0), F.greatest(F.size("_t") - 1, F.lit(0))), lambda i: F.coalesce(accept(F.get(F.col("_t"), i)), F.lit(False))))
+def _drawn(u: float, weighted):
+    total = sum(w for _, w in weighted)
+    for value, w in weighted:
+        u -= w / total
+        if u < 0:
+            return value
+    return weighted[-1][0]
+
+
+def biased_place(length: int, u: float) -> int:
+    """A place below length; the last third of a word is likelier than the middle, and that than the first."""
+    last = max(length - 1, 1)
+    return _drawn(u, [(i, THIRDS[min(2, 3 * i // last)]) for i in range(length)])
+
+
+def edit(word: str, kind: str, place: float, letter: float, confuse: float) -> str:
+    """The word after one edit of the kind; a substitution never keeps the letter. Words too short for it stay."""
+    n = len(word)
+    if not word or n < 2 and kind in ("transposition", "deletion"):
+        return word
+    at = biased_place(n - 1 if kind == "transposition" else n, place)
+    pick = lambda letters: letters[int(letter * len(letters))]
+    match kind:
+        case "transposition":
+            return word[:at] + word[at + 1] + word[at] + word[at + 2 :]
+        case "deletion":
+            return word[:at] + word[at + 1 :]
+        case "insertion":
+            return word[:at] + pick(ALPHABET) + word[at:]
+    near = CONFUSED.get(word[at])
+    return word[:at] + pick(near if near and confuse < CONFUSED_SHARE else ALPHABET.replace(word[at], "")) + word[at + 1 :]
+
+
+def typo(word: str, u) -> str:
+    """The word with an edit drawn from EDITS, two for `multi`; an edit that changes nothing gives way to a substitution."""
+    singles = [(k, 1) for k in ("substitution", "deletion", "insertion", "transposition")]
+    kind = _drawn(u("kind"), EDITS)
+    out = edit(word, _drawn(u("first"), singles) if kind == "multi" else kind, u("place"), u("letter"), u("confuse"))
+    if kind == "multi":
+        again = edit(out, _drawn(u("second"), singles), u("place2"), u("letter2"), u("confuse2"))
+        out = again if again != word else out
+    return out if out != word else edit(word, "substitution", u("place3"), u("letter3"), u("confuse3"))
+
+
+def _words(text: str, least: int) -> tuple[list[str], list[int]]:
+    tokens_ = text.split(" ") if text else []
+    return tokens_, [i for i, t in enumerate(tokens_) if len(t) >= least and t.isalpha()]
 
 
 def inject_typos(df: DataFrame, sentence: str, key: str, seed, share: float = 0.5) -> DataFrame:
     """(key, input_sentence, original_sentence, incorrect_word, correct_word): a share of the sentences with one typo.
 
-    A word of three letters or more is changed by an edit drawn from EDITS; two edits for `multi`. Sentences without such
-    a word, and those not drawn, are clean: both words are CORRECT. Built-in expressions only. Null sentences are empty.
+    A word of three letters or more is changed. Sentences without such a word, and those not drawn, are clean: both words
+    are CORRECT. Null sentences are empty.
     """
-    u = lambda name: unit(f"{seed}/{name}", key)
-    rows = _eligible(df.select(key, norm(sentence).alias("_s")), "_s", key, lambda t: is_word(t, 3))
-    rows = rows.withColumn("_i", F.get(F.col("_e"), F.floor(u("word") * F.size("_e")).cast("int"))).withColumn("_w", F.get(F.col("_t"), F.col("_i"))).withColumn("_k", draw(u("kind"), EDITS))
-    singles = [("substitution", 1), ("deletion", 1), ("insertion", 1), ("transposition", 1)]
-    rows = rows.withColumn("_one", F.when(F.col("_k") == "multi", draw(u("first"), singles)).otherwise(F.col("_k")))
-    rows = rows.withColumn("_w1", edit(F.col("_w"), F.col("_one"), u("place"), u("letter"), u("confuse")))
-    rows = rows.withColumn("_w2", F.when(F.col("_k") == "multi", edit(F.col("_w1"), draw(u("second"), singles), u("place2"), u("letter2"), u("confuse2"))).otherwise(F.col("_w1")))
-    # An edit that changes nothing (two like letters swapped, a second edit undoing the first) gives way to a substitution.
-    rows = rows.withColumn("_new", F.when(F.col("_w2") != F.col("_w"), F.col("_w2")).when(F.col("_w1") != F.col("_w"), F.col("_w1")).otherwise(edit(F.col("_w"), F.lit("substitution"), u("place3"), u("letter3"), u("confuse3"))))
-    bad = (u("error") < share) & F.col("_w").isNotNull() & (F.col("_new") != F.col("_w"))
-    wrong = F.array_join(F.transform("_t", lambda t, i: F.when(i == F.col("_i"), F.col("_new")).otherwise(t)), " ")
-    return rows.select(key, F.when(bad, wrong).otherwise(F.col("_s")).alias("input_sentence"), F.col("_s").alias("original_sentence"), F.when(bad, F.col("_new")).otherwise(CORRECT).alias("incorrect_word"), F.when(bad, F.col("_w")).otherwise(CORRECT).alias("correct_word"))
+
+    @F.pandas_udf(StructType([StructField(n, StringType()) for n in ("input_sentence", "incorrect_word", "correct_word")]))
+    def spoil(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, k in zip(texts, keys):
+            u = _chance(seed, k)
+            words, may = _words(text, 3)
+            if u("error") < share and may:
+                i = may[int(u("word") * len(may))]
+                bad = typo(words[i], u)
+                if bad != words[i]:
+                    rows.append((" ".join([*words[:i], bad, *words[i + 1 :]]), bad, words[i]))
+                    continue
+            rows.append((text, CORRECT, CORRECT))
+        return pd.DataFrame(rows, columns=["input_sentence", "incorrect_word", "correct_word"])
+
+    rows = df.select(key, norm(sentence).alias("original_sentence")).withColumn("_r", spoil("original_sentence", F.col(key).cast("string")))
+    return rows.select(key, "_r.input_sentence", "original_sentence", "_r.incorrect_word", "_r.correct_word")
+
+
+def _eligible(df: DataFrame, sentence: str, key: str, accept) -> DataFrame:
+    """df with its tokens `_t` and the places `_e` of those that may be changed, from 0."""
+    rows = df.withColumn("_t", tokens(sentence))
+    return rows.withColumn("_e", F.filter(F.sequence(F.lit(0), F.greatest(F.size("_t") - 1, F.lit(0))), lambda i: F.coalesce(accept(F.get(F.col("_t"), i)), F.lit(False))))
 
 
 def swap_ending(word, lang: str, seed, *key) -> Column:
@@ -127,30 +146,43 @@ def cloze(df: DataFrame, sentence: str, key: str, vocabulary: list[str], seed, o
     """(key, context, question, possible_answers, correct_answer_num, answer_text): a salient word masked, with distractors.
 
     The vocabulary is a bounded list of frequent words. `options` is the number of options, drawn from OPTION_COUNTS if not
-    given. Distractors differ from the answer and from each other apart from case. Sentences without a salient word give
-    no row; fillers stand in if the vocabulary is too small.
+    given. Distractors differ from the answer and from each other apart from case; fillers stand in if the vocabulary is
+    too small. Sentences without a salient word, or with too few distractors, give no row.
     """
-    seen, words = set(), []
-    for w in [*vocabulary, *FILLERS]:
-        if w.casefold() not in seen:
-            seen.add(w.casefold())
-            words.append(w)
-    rows = _eligible(df.select(key, norm(sentence).alias("_s")), "_s", key, is_salient).where("size(_e) > 0 and size(_t) > 0")
-    rows = rows.withColumn("_i", F.get(F.col("_e"), F.floor(unit(f"{seed}/mask", key) * F.size("_e")).cast("int"))).withColumn("answer_text", F.get(F.col("_t"), F.col("_i")))
-    n = F.lit(options) if options else draw(unit(f"{seed}/count", key), OPTION_COUNTS)
-    rows = rows.withColumn("_n", n)
-    if not words:
-        return rows.where("false").select(key, F.col("_s").alias("context"), F.lit(CLOZE_QUESTION).alias("question"), F.create_map(F.lit("1"), F.col("_s")).alias("possible_answers"), F.lit(1).alias("correct_answer_num"), "answer_text")
-    pool = F.array(*map(F.lit, words))
-    # A walk through the vocabulary from a drawn place in drawn steps; some extra words make up for the answer itself.
-    start, step = lot(f"{seed}/start", key), 1 + F.pmod(lot(f"{seed}/step", key), F.lit(max(1, len(words) - 1)))
-    walk = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.get(pool, F.pmod(start + i * step, F.lit(len(words))).cast("int")))
-    rows = rows.withColumn("_d", F.slice(F.array_distinct(F.filter(F.concat(walk, F.slice(pool, 1, 6)), lambda w: F.lower(w) != F.lower("answer_text"))), F.lit(1), F.col("_n") - 1)).where("size(_d) = _n - 1")
-    order = F.array_sort(F.transform(F.concat(F.array("answer_text"), "_d"), lambda w: F.struct(lot(f"{seed}/order", F.col(key), w).alias("l"), w.alias("w"))))
-    rows = rows.withColumn("_o", F.transform(order, lambda e: e["w"]))
-    answers = F.map_from_arrays(F.transform(F.sequence(F.lit(1), F.size("_o")), lambda i: i.cast("string")), F.col("_o"))
-    context = F.array_join(F.transform("_t", lambda t, i: F.when(i == F.col("_i"), F.lit("___")).otherwise(t)), " ")
-    return rows.select(key, context.alias("context"), F.lit(CLOZE_QUESTION).alias("question"), answers.alias("possible_answers"), F.array_position("_o", F.col("answer_text")).cast("int").alias("correct_answer_num"), "answer_text")
+    words = list({w.casefold(): w for w in reversed([*vocabulary, *FILLERS])}.values())[::-1]
+    stop = frozenset(STOPWORDS)
+
+    @F.pandas_udf(StructType([StructField("context", StringType()), StructField("answers", ArrayType(StringType())), StructField("answer", StringType())]))
+    def ask(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, k in zip(texts, keys):
+            u = _chance(seed, k)
+            own, may = _words(text, 4)
+            may = [i for i in may if own[i].lower() not in stop]
+            n = options or _drawn(u("count"), OPTION_COUNTS)
+            if not may:
+                rows.append((None, None, None))
+                continue
+            i = may[int(u("mask") * len(may))]
+            answer, others = own[i], []
+            # A walk through the vocabulary from a drawn place.
+            at = int(u("start") * len(words))
+            for step in range(len(words)):
+                w = words[(at + step * (1 + int(u("step") * 97))) % len(words)]
+                if w.casefold() != answer.casefold() and w not in others:
+                    others.append(w)
+                if len(others) == n - 1:
+                    break
+            if len(others) < n - 1:
+                rows.append((None, None, None))
+                continue
+            shown = sorted([answer, *others], key=lambda w: u(f"order {w}"))
+            rows.append((" ".join([*own[:i], "___", *own[i + 1 :]]), shown, answer))
+        return pd.DataFrame(rows, columns=["context", "answers", "answer"])
+
+    rows = df.select(key, ask(norm(sentence), F.col(key).cast("string")).alias("r")).where("r.context is not null")
+    numbers = F.transform(F.sequence(F.lit(1), F.size("r.answers")), lambda i: i.cast("string"))
+    return rows.select(key, "r.context", F.lit(CLOZE_QUESTION).alias("question"), F.map_from_arrays(numbers, "r.answers").alias("possible_answers"), F.array_position("r.answers", F.col("r.answer")).cast("int").alias("correct_answer_num"), F.col("r.answer").alias("answer_text"))
 
 
 def calibrated_corruption(df: DataFrame, sentence: str, key: str, transforms: DataFrame, index: DataFrame, seed, most: int = 40) -> DataFrame:
