@@ -165,14 +165,10 @@ def cloze(df: DataFrame, sentence: str, key: str, vocabulary: list[str], seed, o
                 continue
             i = may[int(u("mask") * len(may))]
             answer, others = own[i], []
-            # A walk through the vocabulary from a drawn place.
-            at = int(u("start") * len(words))
-            for step in range(len(words)):
-                w = words[(at + step * (1 + int(u("step") * 97))) % len(words)]
-                if w.casefold() != answer.casefold() and w not in others:
-                    others.append(w)
-                if len(others) == n - 1:
-                    break
+            for j in range(n - 1):  # from a drawn word on, the first that fits
+                at = int(u(f"option {j}") * len(words))
+                fits = (w for w in words[at:] + words[:at] if w.casefold() != answer.casefold() and w not in others)
+                others += [w for _, w in zip(range(1), fits)]
             if len(others) < n - 1:
                 rows.append((None, None, None))
                 continue
