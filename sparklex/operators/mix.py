@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparklex.functions.text import chat, mt_prompt
+from sparklex.runtime import ordered_rank
 
 # The compositions of a translation training set.
 COMPOSITIONS = ("comp0", "compfz", "comprd")
@@ -66,10 +67,9 @@ def train_pool_split(df: DataFrame, seed, key: str, pool_size: int, volume: int
 
 def tenth_split(df: DataFrame, key: str) -> DataFrame:
     """df with `part`: the first tenth (at least one row) in the order of the key is pool, the rest train."""
-    ordered = df.orderBy(key)
-    n = df.count()
-    pool = ordered.limit(max(1, n // 10)).select(key, F.lit("pool").alias("_p")) if n else df.select(key, F.lit("pool").alias("_p"))
-    return df.join(pool, key, "left").withColumn("part", F.coalesce("_p", F.lit("train"))).drop("_p")
+    ranked = ordered_rank(df, key, "_rank")
+    pool = max(1, ranked.count() // 10)
+    return ranked.withColumn("part", F.when(F.col("_rank") < pool, "pool").otherwise("train")).drop("_rank")
 
 
 def balanced_sample(df: DataFrame, seed, key: str, group: str, sizes: dict[str, int]) -> DataFrame:

@@ -64,3 +64,25 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     if total <= rows:
         return df
     return df.where(F.pmod(F.xxhash64(key), F.lit(total)) < rows).limit(2 * rows)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with its rows numbered from 0 in the order of its partitions and of the rows in them.
+
+    The rows are written down first, so that both passes see the same order. What reaches the driver is one row for each
+    partition; no task sees more than its own rows.
+    """
+    rows = checkpointed(df.select(F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"), *df.columns))
+    parts = sorted((r["_p"], r["n"], r["first"]) for r in rows.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("first")).collect())
+    shift, done = [], 0
+    for part, n, first in parts:
+        shift += [F.lit(part), F.lit(done - first)]
+        done += n
+    if not shift:
+        return rows.select(F.lit(0).cast("long").alias(name), *df.columns)
+    return rows.select((F.col("_i") + F.try_element_at(F.create_map(*shift), F.col("_p"))).cast("long").alias(name), *df.columns)
+
+
+def ordered_rank(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with each row's place from 0 in the order of the key: ranges of the key are sorted apart and then numbered."""
+    return numbered(df.repartitionByRange(key).sortWithinPartitions(key), name)

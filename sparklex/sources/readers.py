@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparklex.operators.lexicon import AffixRules, parse_affixes
 from sparklex.operators.pool import ranked_union
-from sparklex.runtime import checkpointed
+from sparklex.runtime import numbered
 from sparklex.sources import schemas
 
 
@@ -38,21 +38,8 @@ def read_csv_text(spark: SparkSession, path, column: str | int = -1) -> DataFram
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value): lines of one file, numbered from 0, also where the file is read in several parts.
-
-    Each part's lines are counted; a line's number is its place in its part and the lines of the parts before. The parts
-    are written down first, so both passes see the same ones.
-    """
-    rows = checkpointed(spark.read.text(path).select(F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"), "value"))
-    sizes = {r["_p"]: (r["n"], r["first"]) for r in rows.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("first")).collect()}  # one row for each part
-    shift, done = [], 0
-    for part in sorted(sizes):
-        n, first = sizes[part]
-        shift += [F.lit(part), F.lit(done - first)]
-        done += n
-    if not shift:
-        return rows.select(F.lit(0).cast("long").alias("line_no"), "value")
-    return rows.select((F.col("_i") + F.try_element_at(F.create_map(*shift), F.col("_p"))).alias("line_no"), "value")
+    """(line_no, value): lines of one file, numbered from 0, also where the file is read in several parts."""
+    return numbered(spark.read.text(path).select("value"), "line_no")
 
 
 def read_parallel(spark: SparkSession, src_path: str, tgt_path: str, direction: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import gzip
 import json
+import os
 import zipfile
 
 import pytest
@@ -172,7 +173,7 @@ def test_synthesis_pipelines(spark):
 
 def test_streams(spark, tmp_path):
     for i, text in enumerate(("To je", "to  JE", "druhe", "test")):
-        put(tmp_path / f"{i}.json", json.dumps({"ts": f"2026-01-01T0{i}:00:00", "text": text, "kind": "a"}))
+        os.utime(put(tmp_path / f"{i}.json", json.dumps({"ts": f"2026-01-01T0{i}:00:00", "text": text, "kind": "a"})), (1_700_000_000 + i * 60,) * 2)  # read in this order
     stream = spark.readStream.schema("ts timestamp, text string, kind string").option("maxFilesPerTrigger", 1).json(str(tmp_path))
     block = spark.createDataFrame([("test",)], "text string")
     out = streams.decontaminate_stream(streams.dedup_stream(stream, "text", "ts"), block, "text")
