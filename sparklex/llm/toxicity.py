@@ -45,17 +45,16 @@ _STARS = re.compile(r"\*+")
 
 def plain_tokens(sentence: str) -> list[str]:
     """The sentence's words in lower case, without accents and disguises; numbers as 9."""
-    text = fold(_SPACED.sub(lambda m: re.sub(r"[ ._*-]", "", m.group(1)), sentence))
+    text = _STRETCH.sub(r"\1", fold(_SPACED.sub(lambda m: re.sub(r"[ ._*-]", "", m.group(1)), sentence)))
     out = []
     for t in _TOKEN.findall(text):
-        if t.isdigit():
+        if t.isalpha():
+            out.append(t)
+        elif t.isdigit():
             out.append("9")
-            continue
-        t = t.rstrip("!")
-        if not t.isalpha() and any(map(str.isalpha, t)) or t[:1] in "$@€":
-            t = t.translate(_LEET)
-        t = _STRETCH.sub(r"\1", t)
-        out.append(_STARS.sub("*", t))
+        else:
+            t = t.rstrip("!").translate(_LEET) if any(map(str.isalpha, t)) or t[:1] in "$@€" else t
+            out.append(_STARS.sub("*", _STRETCH.sub(r"\1", t)))
     return out
 
 
@@ -97,7 +96,9 @@ class ToxicityModel:
         self.weights, self.bias = weights, bias
 
     def sentence_scores(self, parts: list[str]) -> np.ndarray:
-        feats = [features(plain_tokens(p)) for p in parts]
+        return self.scores([features(plain_tokens(p)) for p in parts])
+
+    def scores(self, feats: list[list[int]]) -> np.ndarray:
         if not feats:
             return np.zeros(0)
         sizes = np.array([len(f) for f in feats])
@@ -105,42 +106,52 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(sums / np.sqrt(sizes) + self.bias, -30, 30)))
 
 
-def _rows(texts: list[str]) -> tuple[list[list[int]], list[int], list[str]]:
-    feats, of, plain = [], [], []
-    for i, t in enumerate(texts):
-        for p in dict.fromkeys(pieces(t or "")):
-            feats.append(features(plain_tokens(p)))
-            of.append(i)
-            plain.append(p)
-    return feats, of, plain
-
-
-def _fit(texts: list[str], labels: list[float], counterfactual: float, seed: int, rounds: int) -> ToxicityModel:
-    rng = np.random.default_rng(seed)
-    docs = list(texts) + list(SEED_BAD) + list(SEED_GOOD)
-    y = np.array([*labels, *[1.0] * len(SEED_BAD), *[0.0] * len(SEED_GOOD)])
-    weight = np.array([1.0] * len(texts) + [0.5] * (len(docs) - len(texts)))
-    feats, of, plain = _rows(docs)
-    # Words that stand in small letters somewhere aren't names.
-    small = {w for p in plain for w in re.findall(r"\w+", p) if w[:1].islower()}
-    named = [[w for w in names_in(p) if w.lower() not in small] for p in plain]
-    pool = sorted({w for n in named for w in n} | set(IDENTITY_TERMS))
-    pairs, twins = [], []
-    for i, n in enumerate(named):
-        if n:
-            swap = dict(zip(n, (pool[k] for k in rng.integers(0, len(pool), len(n)))))
-            pairs.append(i)
-            twins.append(features(plain_tokens(re.sub(r"\w+", lambda m, swap=swap: swap.get(m.group(), m.group()), plain[i]))))
-    of = np.array(of)
-    n_real = len(feats)
-    every = feats + twins
+class Examples:
+    """The pieces of all documents as features, with a counterfactual for each that names somebody; worked out once."""
+
+    def __init__(self, docs: list[str], seed: int):
+        rng = np.random.default_rng(seed)
+        self.feats: list[list[int]] = []
+        plain: list[str] = []
+        of: list[int] = []
+        for i, t in enumerate(docs):
+            for p in dict.fromkeys(pieces(t or "")):
+                self.feats.append(features(plain_tokens(p)))
+                plain.append(p)
+                of.append(i)
+        self.of = np.array(of, np.int64)
+        # Words that stand in small letters somewhere aren't names.
+        small = {w for p in plain for w in re.findall(r"\w+", p) if w[:1].islower()}
+        named = [[w for w in names_in(p) if w.lower() not in small] for p in plain]
+        pool = sorted({w for n in named for w in n} | set(IDENTITY_TERMS))
+        self.pairs, self.twins = [], []
+        for i, n in enumerate(named):
+            if n:
+                swap = dict(zip(n, (pool[k] for k in rng.integers(0, len(pool), len(n)))))
+                self.pairs.append(i)
+                self.twins.append(features(plain_tokens(re.sub(r"\w+", lambda m, swap=swap: swap.get(m.group(), m.group()), plain[i]))))
+        self.pairs = np.array(self.pairs, np.int64)
+
+
+def _fit(ex: Examples, y: np.ndarray, weight: np.ndarray, docs: np.ndarray, counterfactual: float, rounds: int) -> ToxicityModel:
+    """The model from the documents numbered in docs; y and weight are by document."""
+    mine = np.zeros(len(y), bool)
+    mine[docs] = True
+    real_rows = np.flatnonzero(mine[ex.of])
+    place = np.full(len(ex.of), -1)
+    place[real_rows] = np.arange(len(real_rows))
+    own = np.flatnonzero(place[ex.pairs] >= 0) if len(ex.pairs) else np.zeros(0, np.int64)
+    every = [ex.feats[i] for i in real_rows] + [ex.twins[i] for i in own]
+    pairs, n_real = place[ex.pairs[own]], len(real_rows)
+    number = np.cumsum(mine) - 1
+    of, y, weight = number[ex.of[real_rows]], y[mine], weight[mine]
+    docs = y
     sizes = np.array([len(f) for f in every])
     begin = np.cumsum(sizes) - sizes
-    flat = np.concatenate(every)
+    known, flat = np.unique(np.concatenate(every), return_inverse=True)
     scale = 1 / np.sqrt(sizes)
-    pairs = np.array(pairs, np.int64)
-    twin = n_real + np.arange(len(twins))
-    w, bias = np.zeros(1 << _BITS), -2.0
+    twin = n_real + np.arange(len(own))
+    w, bias = np.zeros(len(known)), -2.0
     m1, m2, b1, b2 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     bounds = np.searchsorted(of, np.arange(len(docs)))
     has = np.flatnonzero(np.diff(np.append(bounds, n_real)) > 0)
@@ -169,7 +180,9 @@ def _fit(texts: list[str], labels: list[float], counterfactual: float, seed: int
         rate = 0.12 * min(1.0, 3 * (1 - step / rounds) + 0.1)
         w -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-7)
         bias -= rate * (b1 / (1 - 0.9**step)) / (np.sqrt(b2 / (1 - 0.99**step)) + 1e-7)
-    return ToxicityModel(w.astype(np.float32), float(bias))
+    full = np.zeros(1 << _BITS, np.float32)
+    full[known] = w
+    return ToxicityModel(full, float(bias))
 
 
 def _document_scores(model: ToxicityModel, texts: list[str]) -> np.ndarray:
@@ -187,16 +200,22 @@ def fit_toxicity(texts: list[str], labels: list[float], counterfactual: float =
     Mistaken judgements are set aside: the model of one half of the documents reads the other, and a judgement that it
     plainly contradicts does not teach the final model.
     """
-    y = np.array(labels, float)
-    keep = np.ones(len(texts), bool)
+    docs = [*texts, *SEED_BAD, *SEED_GOOD]
+    y = np.array([*labels, *[1.0] * len(SEED_BAD), *[0.0] * len(SEED_GOOD)], float)
+    weight = np.where(np.arange(len(docs)) < len(texts), 1.0, 0.5)
+    ex = Examples(docs, seed)
+    seeds = np.arange(len(texts), len(docs))
+    keep = np.ones(len(docs), bool)
     if len(texts) >= 400:
         half = np.random.default_rng(seed).permutation(len(texts)) % 2
+        bounds = np.searchsorted(ex.of, np.arange(len(docs) + 1))
         for k in (0, 1):
-            own, other = np.flatnonzero(half == k), np.flatnonzero(half != k)
-            got = _document_scores(_fit([texts[i] for i in own], y[own].tolist(), counterfactual, seed, rounds), [texts[i] for i in other])
-            keep[other] = ~((y[other] > 0.4) & (got < 0.1) | (y[other] < 0.6) & (got > 0.9))
-    use = np.flatnonzero(keep)
-    return _fit([texts[i] for i in use], y[use].tolist(), counterfactual, seed, rounds)
+            model = _fit(ex, y, weight, np.concatenate([np.flatnonzero(half == k), seeds]), counterfactual, rounds)
+            scores = model.scores(ex.feats)
+            for i in np.flatnonzero(half != k):
+                got = scores[bounds[i] : bounds[i + 1]].max(initial=0.0)
+                keep[i] = not (y[i] > 0.4 and got < 0.1 or y[i] < 0.6 and got > 0.9)
+    return _fit(ex, y, weight, np.flatnonzero(keep), counterfactual, rounds)
 
 
 def _scorer(model: ToxicityModel):
