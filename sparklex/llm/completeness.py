@@ -124,7 +124,7 @@ def _strip_end(sentence: str) -> str:
     return re.sub(r"[.!?…\s\"“”»«’‘')\]]+$", "", sentence)
 
 
-def fit_end_model(rows: list[tuple[str, str | None, str]], seed: int = 7, cuts: int = 4, rounds: int = 6) -> EndModel:
+def fit_end_model(rows: list[tuple[str, str | None, str]], seed: int = 7, cuts: int = 3, rounds: int = 5) -> EndModel:
     """rows: (text, source or None, kind). Complete sentences teach that they may end; cut ones that they may not.
 
     Complete are sentences with a final mark, and those without one whose source has none either and ends in the same

@@ -15,7 +15,9 @@ from sparklex.llm.text import fold, sentences, visible
 from sparklex.runtime import bounded_sample
 
 #: Rows, about, on which the language profiles, the model of sentence ends and the closing marks of replies are fitted.
-FIT_ROWS = 6_000
+FIT_ROWS = 12_000
+#: Replies of the sample that the model of sentence ends is fitted on.
+END_ROWS = 5_000
 #: Words of the shortest tile of a copy; share of a reply's words that tiles must cover.
 TILE, COVERED = 4, 0.95
 
@@ -196,7 +198,7 @@ class Judge:
             task, kind, user, reply = rows[i]
             if b > a:
                 own = cos[a:b, self.profiles.languages.index(asked)]
-                if (cos[a:b].max(1) - own > NEAR_TIE).all() and (b - a > 1 or _TERMINATED.search(_TAGS.sub(" ", reply)) or cos[a:b].max() - own.max() > 0.1):
+                if (cos[a:b].max(1) - own > NEAR_TIE).all() and (b - a > 1 or _TERMINATED.search(_TAGS.sub(" ", reply)) or cos[a:b].max() - own.max() > 2 * NEAR_TIE):
                     out[i] = "language"
                     continue
             out[i] = self.after_language(task, kind, user, reply)
@@ -219,7 +221,7 @@ def fit_judge(rows: list[tuple[str, str, str | None, list]]) -> Judge:
             ends.append((body, task_text(user or "") if direction else None, direction or task))
     # A closing tag that most replies of a task end with is what its replies must end with.
     must = {t: c.most_common(1)[0][0] for t, c in closings.items() if c.most_common(1)[0][1] > 0.6 * replies[t]}
-    return Judge(fit_profiles(texts, labels), fit_end_model(ends), must)
+    return Judge(fit_profiles(texts, labels), fit_end_model(ends[:END_ROWS]), must)
 
 
 def _runner(judge: Judge):
