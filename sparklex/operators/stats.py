@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparklex.functions.text import CORRECT, is_salient, is_word, neighbours, strip_punct, suffix_delta, tokens
@@ -79,3 +79,16 @@ def tier_counts(df: DataFrame, item_id: str) -> DataFrame:
     tiers = df.sparkSession.createDataFrame([("low",), ("medium",)], "tier string")
     got = df.groupBy(tier_of(item_id).alias("tier")).agg(F.count("*").alias("rows"))
     return tiers.join(got, "tier", "left").fillna(0, ["rows"])
+
+
+def fire_counts(rows: DataFrame, stage: str, pred: str) -> DataFrame:
+    """(stage, rows, empty): how many rows each stage decided, and how many of them have an empty prediction."""
+    return rows.groupBy(F.col(stage).cast("string").alias("stage")).agg(F.count("*").alias("rows"), F.count_if(F.trim(F.coalesce(F.col(pred).cast("string"), F.lit(""))) == "").alias("empty"))
+
+
+def tier_exemplars(dev: DataFrame, item_id: str, order: str, k: int = 3) -> DataFrame:
+    """The first k rows of each tier in the order, with `tier`: they show the form of answers."""
+    from sparklex.functions.text import tier_of
+
+    ranked = dev.withColumn("tier", tier_of(item_id)).withColumn("_r", F.row_number().over(Window.partitionBy("tier").orderBy(order)))
+    return ranked.where(F.col("_r") <= k).drop("_r")

@@ -195,6 +195,19 @@ def tier_counts(spark, d):
     return stats.tier_counts(table(spark, d, "mr_items"), "id")
 
 
+@query("select item_key, tier, question from (select *, case when id like 'medium%' then 'medium' else 'low' end as tier, row_number() over (partition by id like 'medium%' order by item_key) as n from mr_items where split = 'dev' and question is not null and answer is not null) where n <= 3")
+def tier_exemplars(spark, d):
+    """The first three solved questions of each tier."""
+    dev = table(spark, d, "mr_items").where("split = 'dev' and question is not null and answer is not null")
+    return stats.tier_exemplars(dev, "id", "item_key").select("item_key", "tier", "question")
+
+
+@query("select cast(direction as varchar) as stage, count(*) as rows, count(*) filter (where trim(coalesce(pred, '')) = '') as empty from mt_preds group by 1")
+def empty_predictions(spark, d):
+    """rows and empty predictions by direction."""
+    return stats.fire_counts(table(spark, d, "mt_preds"), "direction", "pred")
+
+
 # Lexicon and candidates
 
 

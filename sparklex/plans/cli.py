@@ -1,4 +1,4 @@
-"""spark-submit entry: cleans pools of a folder against test files, or checks a configuration."""
+"""spark-submit entry: cleans pools, writes edit-distance indexes, makes synthetic rows, checks configurations."""
 
 from __future__ import annotations
 
@@ -7,7 +7,10 @@ import os
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from sparklex.functions import text as T
+from sparklex.operators import lexicon, stats
 from sparklex.plans import config, pipelines
 from sparklex.sources import readers, schemas, writers
 
@@ -22,6 +25,19 @@ def parser() -> argparse.ArgumentParser:
     pools.add_argument("--test-dir", required=True)
     pools.add_argument("--out-dir", required=True)
     pools.add_argument("--cap", type=int, default=config.DEFAULTS["pool_cap"])
+    index = sub.add_parser("deletion-index", help="write the index of a dictionary's stems for edit distances")
+    index.add_argument("--dic", required=True)
+    index.add_argument("--edits", type=int, default=2)
+    index.add_argument("--out", required=True)
+    synth = sub.add_parser("synthesise", help="make training rows with synthetic errors or questions")
+    synth.add_argument("--task", choices=("sc", "gc", "qa"), required=True)
+    synth.add_argument("--lang", choices=("hsb", "dsb"), required=True)
+    synth.add_argument("--mono", nargs="+", required=True, help="sources from the best to the worst")
+    synth.add_argument("--held-out", nargs="*", default=[], help="JSONL files whose texts must not come in")
+    synth.add_argument("--pool-size", type=int, required=True)
+    synth.add_argument("--volume", type=int)
+    synth.add_argument("--seed", default=str(config.DEFAULTS["seed"]))
+    synth.add_argument("--out-dir", required=True)
     check = sub.add_parser("check-config", help="check a configuration before any job runs")
     check.add_argument("config")
     return p
@@ -43,13 +59,34 @@ def clean_pools(spark: SparkSession, pools: str, test_dir: str, out_dir: str, ca
     return 0
 
 
+def synthesise(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Writes rows by part (train, pool); fails if no source is there."""
+    mono = readers.read_mono(spark, a.mono, a.lang)
+    if mono.isEmpty():
+        print("no text in the sources", file=sys.stderr)
+        return 2
+    rows = mono.select((F.col("source_rank") * F.lit(1 << 40) + F.col("ord")).alias("ord"), "text")
+    held = readers.read_blocklist(spark, a.held_out, "input_sentence string, original_sentence string, context string, question string", ["input_sentence", "original_sentence", "context", "question"], first_only=False)
+    words = [r["token"] for r in stats.frequency_vocab(rows, "text", "ord").collect()] if a.task == "qa" else None  # 5,000 at most
+    out = pipelines.synthesise(rows, a.task, a.lang, held.select(T.fold_key("text").alias("text")), a.seed, a.pool_size, a.volume, vocabulary=words)
+    writers.write_bundle(out, a.out_dir, ["part"])
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     if a.command == "check-config":
         config.load(a.config)
         return 0
+    spark = SparkSession.builder.appName("sparklex").getOrCreate()
+    if a.command == "deletion-index":
+        stems = lexicon.stems(readers.read_dictionary(spark, a.dic)).select(F.col("stem").alias("word"))
+        writers.write_deletion_index(lexicon.deletion_index(stems, a.edits), a.out)
+        return 0
     os.makedirs(a.out_dir, exist_ok=True)
-    return clean_pools(SparkSession.builder.appName("sparklex").getOrCreate(), a.pools, a.test_dir, a.out_dir, a.cap)
+    if a.command == "synthesise":
+        return synthesise(spark, a)
+    return clean_pools(spark, a.pools, a.test_dir, a.out_dir, a.cap)
 
 
 if __name__ == "__main__":

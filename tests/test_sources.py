@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from sparklex.operators import model
 from sparklex.operators.lexicon import expand, stems
 from sparklex.plans import cli, config, pipelines
 from sparklex.sources import readers, schemas, writers
@@ -120,6 +121,28 @@ def test_command_line(spark, tmp_path):
     assert [r["src"] for r in spark.read.parquet(str(tmp_path / "out/de_hsb")).collect()] == ["Baum"]
 
 
+def test_more_commands(spark, tmp_path):
+    dic = put(tmp_path / "a.dic", "2\nwoda/A\nkniha\n")
+    assert cli.main(["deletion-index", "--dic", dic, "--edits", "1", "--out", str(tmp_path / "index")]) == 0
+    assert spark.read.parquet(str(tmp_path / "index")).where("variant = 'wda'").first()["word"] == "woda"
+    mono = put(tmp_path / "m.txt", "".join(f"Nowa kniha leži pola wokna {i}\n" for i in range(30)))
+    held = put(tmp_path / "h.jsonl", '{"input_sentence": "NOWA kniha leži pola wokna 7"}\n')
+    for task in ("sc", "qa"):
+        out = str(tmp_path / task)
+        assert cli.main(["synthesise", "--task", task, "--lang", "hsb", "--mono", mono, "--held-out", held, "--pool-size", "4", "--out-dir", out]) == 0
+        assert spark.read.json(out).count() == 29
+    assert cli.main(["synthesise", "--task", "sc", "--lang", "hsb", "--mono", str(tmp_path / "no.txt"), "--pool-size", "4", "--out-dir", str(tmp_path / "x")]) == 2
+
+
+def test_model_hooks(spark):
+    rows = spark.createDataFrame([(1, "abc"), (2, None), (3, "x")], "item_id long, prompt string")
+    generate = model.generator(lambda: lambda prompts, **how: [f"{p}:{how['max_new']}:{how['sample']}" for p in prompts], "qa", batch=1)
+    assert {r["item_id"]: r["raw"] for r in generate(rows, sample=True).collect()} == {1: "abc:16:True", 2: None, 3: "x:16:True"}
+    encode = model.encoder(lambda: lambda texts: [[float(len(t)), 1.0] for t in texts])
+    got = encode(rows.select(F.col("item_id").alias("row_idx"), F.col("prompt").alias("text")))
+    assert {r["row_idx"]: r["embedding"] for r in got.collect()} == {1: [3.0, 1.0], 2: None, 3: [1.0, 1.0]}
+
+
 def echo(answers):
     def generate(rows, sample=False, temperature=0.0, min_new=0):
         table = F.create_map(*[F.lit(x) for k, v in answers.items() for x in (k, v)])
