@@ -43,19 +43,23 @@ _TOKEN = re.compile(r"[^\W_][\w*$@!€]*[\w*]|[^\W_$@€]|[$@€][\w*$@!€]+")
 _STARS = re.compile(r"\*+")
 
 
+def token_lists(parts: list[str]) -> list[list[str]]:
+    """Each piece's words in lower case, without accents and disguises; numbers as 9. Pieces are undisguised in one go."""
+    joined = "\n".join(p.replace("\n", " ") for p in parts)
+    joined = _STRETCH.sub(r"\1", fold(_SPACED.sub(lambda m: re.sub(r"[ ._*-]", "", m.group(1)), joined)))
+    return [[t if t.isalpha() else _undisguised(t) for t in _TOKEN.findall(line)] for line in joined.split("\n")] if parts else []
+
+
 def plain_tokens(sentence: str) -> list[str]:
-    """The sentence's words in lower case, without accents and disguises; numbers as 9."""
-    text = _STRETCH.sub(r"\1", fold(_SPACED.sub(lambda m: re.sub(r"[ ._*-]", "", m.group(1)), sentence)))
-    out = []
-    for t in _TOKEN.findall(text):
-        if t.isalpha():
-            out.append(t)
-        elif t.isdigit():
-            out.append("9")
-        else:
-            t = t.rstrip("!").translate(_LEET) if any(map(str.isalpha, t)) or t[:1] in "$@€" else t
-            out.append(_STARS.sub("*", _STRETCH.sub(r"\1", t)))
-    return out
+    return token_lists([sentence])[0]
+
+
+def _undisguised(t: str) -> str:
+    if t.isdigit():
+        return "9"
+    if any(map(str.isalpha, t)) or t[:1] in "$@€":
+        t = t.rstrip("!").translate(_LEET)
+    return _STARS.sub("*", _STRETCH.sub(r"\1", t))
 
 
 _QUOTED = re.compile(r"\n>+ ?")
@@ -73,17 +77,35 @@ def pieces(text: str) -> list[str]:
     return out
 
 
-def _h(s: str) -> int:
-    return zlib.crc32(s.encode("utf-8", "replace")) & ((1 << _BITS) - 1)
+class _Hashes(dict):
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        got = self[token] = zlib.crc32(token.encode("utf-8", "replace"))
+        return got
 
 
-def features(tokens: list[str]) -> list[int]:
-    """Hashed words, pairs and gapped pairs, with the sentence's ends as words."""
-    t = ["^", *tokens, "$"]
-    out = [_h(x) for x in t]
-    out += [_h(f"{a} {b}") for a, b in zip(t, t[1:])]
-    out += [_h(f"{a} _ {b}") for a, b in zip(t, t[2:])]
-    return out
+_HASH = _Hashes()
+
+
+def _cell(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(64 - _BITS)).astype(np.int64)
+
+
+def encode(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words, pairs and gapped pairs of all pieces, with a piece's ends as words: the cells and how many each has."""
+    lists = [["^", *t, "$"] for t in token_lists(parts)]
+    n = np.array([len(t) for t in lists], np.int64)
+    h = np.array([_HASH[t] for x in lists for t in x], np.uint64)
+    of = np.repeat(np.arange(len(lists)), n)
+    pair, gap = np.flatnonzero(of[:-1] == of[1:]), np.flatnonzero(of[:-2] == of[2:])
+    with np.errstate(over="ignore"):
+        mixed = np.concatenate([h * np.uint64(0x9E3779B97F4A7C15), h[pair] * np.uint64(0xC2B2AE3D27D4EB4F) + h[pair + 1] * np.uint64(0x165667B19E3779F9) + np.uint64(1), h[gap] * np.uint64(0xD6E8FEB86659FD93) + h[gap + 2] * np.uint64(0xA0761D6478BD642F) + np.uint64(2)])
+        cells = _cell(mixed)
+    row = np.concatenate([of, of[pair], of[gap]])
+    order = np.argsort(row, kind="stable")
+    return cells[order], np.bincount(row, minlength=len(lists))
 
 
 def names_in(sentence: str) -> list[str]:
@@ -96,13 +118,10 @@ class ToxicityModel:
         self.weights, self.bias = weights, bias
 
     def sentence_scores(self, parts: list[str]) -> np.ndarray:
-        return self.scores([features(plain_tokens(p)) for p in parts])
+        return self.scores(*encode(parts)) if parts else np.zeros(0)
 
-    def scores(self, feats: list[list[int]]) -> np.ndarray:
-        if not feats:
-            return np.zeros(0)
-        sizes = np.array([len(f) for f in feats])
-        sums = np.add.reduceat(self.weights[np.concatenate(feats)], np.cumsum(sizes) - sizes)
+    def scores(self, cells: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        sums = np.add.reduceat(self.weights[cells], np.cumsum(sizes) - sizes)
         return 1 / (1 + np.exp(-np.clip(sums / np.sqrt(sizes) + self.bias, -30, 30)))
 
 
@@ -111,26 +130,26 @@ class Examples:
 
     def __init__(self, docs: list[str], seed: int):
         rng = np.random.default_rng(seed)
-        self.feats: list[list[int]] = []
         plain: list[str] = []
         of: list[int] = []
         for i, t in enumerate(docs):
-            for p in dict.fromkeys(pieces(t or "")):
-                self.feats.append(features(plain_tokens(p)))
-                plain.append(p)
-                of.append(i)
+            own = dict.fromkeys(pieces(t or ""))
+            plain += own
+            of += [i] * len(own)
         self.of = np.array(of, np.int64)
         # Words that stand in small letters somewhere aren't names.
         small = {w for p in plain for w in re.findall(r"\w+", p) if w[:1].islower()}
         named = [[w for w in names_in(p) if w.lower() not in small] for p in plain]
         pool = sorted({w for n in named for w in n} | set(IDENTITY_TERMS))
-        self.pairs, self.twins = [], []
+        pairs, twins = [], []
         for i, n in enumerate(named):
             if n:
                 swap = dict(zip(n, (pool[k] for k in rng.integers(0, len(pool), len(n)))))
-                self.pairs.append(i)
-                self.twins.append(features(plain_tokens(re.sub(r"\w+", lambda m, swap=swap: swap.get(m.group(), m.group()), plain[i]))))
-        self.pairs = np.array(self.pairs, np.int64)
+                pairs.append(i)
+                twins.append(re.sub(r"\w+", lambda m, swap=swap: swap.get(m.group(), m.group()), plain[i]))
+        self.pairs = np.array(pairs, np.int64)
+        self.cells, self.sizes = encode(plain + twins)
+        self.twin = len(plain) + np.arange(len(twins))
 
 
 def _fit(ex: Examples, y: np.ndarray, weight: np.ndarray, docs: np.ndarray, counterfactual: float, rounds: int) -> ToxicityModel:
@@ -141,14 +160,16 @@ def _fit(ex: Examples, y: np.ndarray, weight: np.ndarray, docs: np.ndarray, coun
     place = np.full(len(ex.of), -1)
     place[real_rows] = np.arange(len(real_rows))
     own = np.flatnonzero(place[ex.pairs] >= 0) if len(ex.pairs) else np.zeros(0, np.int64)
-    every = [ex.feats[i] for i in real_rows] + [ex.twins[i] for i in own]
+    rows = np.concatenate([real_rows, ex.twin[own]])
     pairs, n_real = place[ex.pairs[own]], len(real_rows)
     number = np.cumsum(mine) - 1
     of, y, weight = number[ex.of[real_rows]], y[mine], weight[mine]
     docs = y
-    sizes = np.array([len(f) for f in every])
+    use = np.zeros(len(ex.sizes), bool)
+    use[rows] = True  # rows are in ascending order, so their cells stay in the order of rows
+    sizes = ex.sizes[rows]
     begin = np.cumsum(sizes) - sizes
-    known, flat = np.unique(np.concatenate(every), return_inverse=True)
+    known, flat = np.unique(ex.cells[np.repeat(use, ex.sizes)], return_inverse=True)
     scale = 1 / np.sqrt(sizes)
     twin = n_real + np.arange(len(own))
     w, bias = np.zeros(len(known)), -2.0
@@ -158,7 +179,7 @@ def _fit(ex: Examples, y: np.ndarray, weight: np.ndarray, docs: np.ndarray, coun
     for step in range(1, rounds + 1):
         z = np.add.reduceat(w[flat], begin) * scale + bias
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        g = np.zeros(len(every))
+        g = np.zeros(len(rows))
         real = p[:n_real]
         if step <= rounds // 3:  # to begin with, all sentences carry their document's judgement
             g[:n_real] = (real - y[of] * 0.8) * weight[of] * np.where(y[of] > 0.5, 0.6, 1.0)
@@ -211,7 +232,7 @@ def fit_toxicity(texts: list[str], labels: list[float], counterfactual: float =
         bounds = np.searchsorted(ex.of, np.arange(len(docs) + 1))
         for k in (0, 1):
             model = _fit(ex, y, weight, np.concatenate([np.flatnonzero(half == k), seeds]), counterfactual, rounds)
-            scores = model.scores(ex.feats)
+            scores = model.scores(ex.cells, ex.sizes)[: len(ex.of)]
             for i in np.flatnonzero(half != k):
                 got = scores[bounds[i] : bounds[i + 1]].max(initial=0.0)
                 keep[i] = not (y[i] > 0.4 and got < 0.1 or y[i] < 0.6 and got > 0.9)
