@@ -39,7 +39,7 @@ SEED_TEXT = {
 }
 
 # Strings that stand for a missing text.
-PLACEHOLDERS = frozenset(["n/a", "na", "none", "null", "nil", "nan", "missing", "no answer", "no reply", "no response", "no translation", "no text", "empty", "tbd", "todo", "placeholder", "unknown", "undefined", "leer", "fehlt", "keine antwort", "keine angabe", "žana wotmołwa", "žedno wótegrono", "-"])
+PLACEHOLDERS = frozenset(["n/a", "none", "null", "nil", "nan", "missing", "no answer", "no reply", "no response", "no translation", "no text", "empty", "tbd", "todo", "placeholder", "unknown", "undefined", "leer", "fehlt", "keine antwort", "keine angabe", "žana wotmołwa", "žedno wótegrono", "-"])
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyzáčďéěíňóřšťúůýžćłńŕśźäöüßąęż"
 _OTHER = len(_LETTERS) + 1

@@ -14,8 +14,8 @@ from sparklex.llm.text import words
 
 #: Consecutive words from which a passage counts as held.
 MIN_WORDS = 8
-#: Words of all items in one automaton (some 100 bytes each in a task); more items make more automata, one pass each.
-AUTOMATON_WORDS = 2_000_000
+#: Words of all items in one automaton (some 500 bytes each in a task); more items make more automata, one pass each.
+AUTOMATON_WORDS = 200_000
 
 
 class Automaton:
