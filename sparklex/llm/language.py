@@ -32,8 +32,8 @@ SEED = 20240229
 SEED_TEXT = {
     "de": "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt und sollen einander im Geist der Brüderlichkeit begegnen. Der Mann und die Frau gingen gestern nach dem Essen in die Stadt, weil das Kind noch nicht geschlafen hatte. Warum hast du mir das nicht gesagt, wenn du es schon wusstest? Wir haben heute sehr viel Arbeit, aber am Abend werden wir wieder zusammen sein. Das Haus steht bei einem großen Baum neben dem Fluss, und darin wohnen vier alte Leute. Als er jung war, schrieb er viele Briefe, die niemand lesen wollte. Ich kann Ihnen leider nicht helfen, bitte fragen Sie jemand anderen. Im Winter war es kalt, im Sommer heiß, im Frühling und im Herbst schön. Er nahm den Schlüssel, öffnete die Tür und sah auf die Straße.",
     "en": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood. The man and the woman went to the town yesterday after dinner because the child had not slept yet. Why did you not tell me that if you already knew it? We have a lot of work today, but in the evening we will be together again. The house stands near a large tree beside the river, and four old people live there. When he was young he wrote many letters which nobody wanted to read. I am sorry but I cannot help you with this, please ask somebody else. In winter it was cold, in summer hot, in spring and autumn beautiful. He took the key, opened the door and looked at the street.",
-    "cs": "Všichni lidé se rodí svobodní a sobě rovní co do důstojnosti a práv. Jsou nadáni rozumem a svědomím a mají spolu jednat v duchu bratrství. Muž a žena šli včera po večeři do města, protože dítě ještě nespalo. Proč jsi mi to neřekl, když jsi to už věděl? Máme dnes velmi mnoho práce, ale večer budeme zase spolu. Dům stojí u velkého stromu vedle řeky a bydlí v něm čtyři staří lidé. Když byl mladý, psal mnoho dopisů, které nikdo nechtěl číst. Bohužel vám nemohu pomoci, zeptejte se prosím někoho jiného. V zimě bylo zima, v létě horko, na jaře a na podzim krásně. Vzal klíč, otevřel dveře a podíval se na ulici. Který z těchto pánů říká, že jeho bratr je učitel?",
-    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. Mężczyzna i kobieta poszli wczoraj po obiedzie do miasta, ponieważ dziecko jeszcze nie spało. Dlaczego mi tego nie powiedziałeś, skoro już to wiedziałeś? Mamy dzisiaj bardzo dużo pracy, ale wieczorem znowu będziemy razem. Dom stoi przy wielkim drzewie obok rzeki i mieszka w nim czterech starych ludzi. Kiedy był młody, pisał wiele listów, których nikt nie chciał czytać. Niestety nie mogę panu pomóc, proszę zapytać kogoś innego. Zimą było zimno, latem gorąco, wiosną i jesienią pięknie. Wziął klucz, otworzył drzwi i spojrzał na ulicę. Który z tych panów mówi, że jego brat jest nauczycielem?",
+    "cs": "Všichni lidé se rodí svobodní a sobě rovní co do důstojnosti a práv. Jsou nadáni rozumem a svědomím a mají spolu jednat v duchu bratrství. Muž a žena šli včera po večeři do města, protože dítě ještě nespalo. Proč jsi mi to neřekl, když jsi to už věděl? Máme dnes velmi mnoho práce, ale večer budeme zase spolu. Dům stojí u velkého stromu vedle řeky a bydlí v něm čtyři staří lidé. Když byl mladý, psal mnoho dopisů, které nikdo nechtěl číst. Bohužel vám nemohu pomoci, zeptejte se prosím někoho jiného. V zimě bylo zima, v létě horko, na jaře a na podzim krásně. Vzal klíč, otevřel dveře a podíval se na ulici. Který z těchto pánů říká, že jeho bratr je učitel? Starý rybář seděl ráno tiše u řeky a čekal na velkou rybu. Loni v létě jsme stavěli nový dřevěný dům vedle kostela. Otec přinesl z trhu čerstvý chléb, mléko a sladké hrušky. V pondělí a ve středu chodí děti do školy, v sobotu a v neděli jsou doma. Sestra otevřela okno, zavřela dveře a našla ztracený klíč pod stolem. Lékař napsal dlouhý dopis a poslal ho svému příteli do hlavního města. Na podzim bylo obilí zlaté a na louce kvetly bílé květiny. Když vlak přijel, už odešel poslední soused. Nedávno někdo ukázal dětem staré mince, které včera večer koupil za sto korun. Těžký kámen ležel u cesty, dokud ho sedlák po válce neodnesl. Vesnice je malá, ale lidé jsou veselí, protože tam mají dost vody a klid. Rád čte noviny a poslouchá hudbu, zároveň však skoro nikdy nic neřekne. Kovář rychle obrátil žhavé železo, což neplatí o jeho mladém synovi.",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. Mężczyzna i kobieta poszli wczoraj po obiedzie do miasta, ponieważ dziecko jeszcze nie spało. Dlaczego mi tego nie powiedziałeś, skoro już to wiedziałeś? Mamy dzisiaj bardzo dużo pracy, ale wieczorem znowu będziemy razem. Dom stoi przy wielkim drzewie obok rzeki i mieszka w nim czterech starych ludzi. Kiedy był młody, pisał wiele listów, których nikt nie chciał czytać. Niestety nie mogę panu pomóc, proszę zapytać kogoś innego. Zimą było zimno, latem gorąco, wiosną i jesienią pięknie. Wziął klucz, otworzył drzwi i spojrzał na ulicę. Który z tych panów mówi, że jego brat jest nauczycielem? Stary rybak siedział rano cicho nad rzeką i czekał na wielką rybę. W zeszłym roku latem zbudowaliśmy nowy drewniany dom obok kościoła. Ojciec przyniósł z targu świeży chleb, mleko i słodkie gruszki. W poniedziałek i w środę dzieci chodzą do szkoły, w sobotę i w niedzielę są w domu. Siostra otworzyła okno, zamknęła drzwi i znalazła zgubiony klucz pod stołem. Lekarz napisał długi list i wysłał go swojemu przyjacielowi do stolicy. Jesienią zboże było złote, a na łące kwitły białe kwiaty. Kiedy pociąg przyjechał, ostatni sąsiad już wyszedł. Niedawno ktoś pokazał dzieciom stare monety, które wczoraj wieczorem kupił za sto złotych. Ciężki kamień leżał przy drodze, aż po wojnie zabrał go gospodarz. Wieś jest mała, ale ludzie są weseli, gdyż mają tam dość wody i spokój. Chętnie czyta gazety i słucha muzyki, zarazem jednak prawie nigdy nic nie powie. Kowal szybko obrócił gorące żelazo, co nieprawda o jego młodym synu.",
     "hsb": "Wšitcy čłowjekojo su wot naroda swobodni a su jenacy po dostojnosći a prawach. Woni su z rozumom a swědomjom wobdarjeni a maja mjezsobu w duchu bratrowstwa wobchadźeć. Muž a žona stej wčera po wobjedźe do města šłoj, dokelž dźěćo hišće njespaše. Čehodla njejsy mi to prajił, hdyž sy to hižo wědźał? Mamy dźensa jara wjele dźěła, ale wječor budźemy zaso hromadźe. Dom steji pola wulkeho štoma pódla rěki a w nim bydla štyrjo starši ludźo. Jako bě młody, pisaše wjele listow, kotrež nichtó čitać nochcyše. Bohužel njemóžu wam pomhać, prošu prašejće so někoho druheho. W zymje bě zyma, w lěću ćopło, w nalěću a nazymje rjenje. Wza kluč, wočini durje a pohlada na dróhu. Što je to prajił, zo je jeho bratr wučer, a hdźe je nětko, doniž njepřińdźe? Tute słowa su při tym potom najprjedy přez wšo.",
     "dsb": "Wšykne luźe su lichotne roźone a jadnake po dostojnosći a pšawach. Woni maju rozym a wědobnosć a maju ze sobu w duchu bratšojstwa wobchadaś. Muski a žeńska stej cora pó wobjeźe do města šłej, dokulaž źiśe hyšći njejo spało. Cogodla njejsy mě to gronił, gaž sy to južo wěźeł? Mamy źinsa wjelgin wjele źěła, ale wjacor buźomy zasej gromaźe. Dom stoj pla wjelikego boma pódla rěki a w njom bydle styri stare luźe. Ako jo był młody, jo pisał wjele listow, kótarež nichten njejo kśěł cytaś. Bóžko njamogu wam pomagaś, pšosym pšašajśo se někogo drugego. W zymje jo było zymno, w lěśu śopło, w nalěśu a nazymje rědnje. Jo wzeł kluc, wótcynił źurja a pogódał na drogu. Co jo to gronił, až jo jogo bratš wucabnik, a źo jo něnto, nježli pśiźo? Toś te słowa su pśi tom pótom nejpjerwjej pśez wšo.",
 }
@@ -48,7 +48,7 @@ _TAG = re.compile(r"<[^<>]*>?")
 _OUTER = re.compile(r"^\W+|\W+$")
 #: Letters below which a sentence takes the language of its neighbours.
 MIN_LETTERS = 20
-#: Cosines this near are a tie.
+#: Cosines this near are a tie, for sentences of 60 letters or more; shorter ones tie sooner.
 NEAR_TIE = 0.02
 
 
@@ -257,7 +257,7 @@ def segments(profiles: Profiles, texts: list[str | None]) -> list[list[tuple[str
                 best[i] = best[before[-1] if len(before) else firm[0]]
             for i in firm:  # near ties go to a neighbour's language
                 for j in (i - 1, i + 1):
-                    if 0 <= j < n and sure[j] and best[j] != best[i] and c[i].max() - c[i, best[j]] < NEAR_TIE:
+                    if 0 <= j < n and sure[j] and best[j] != best[i] and c[i].max() - c[i, best[j]] < NEAR_TIE * max(1.0, 60 / k[i]):
                         best[i] = best[j]
                         break
         runs, i = [], 0

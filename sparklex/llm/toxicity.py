@@ -25,6 +25,8 @@ from sparklex.runtime import bounded_sample
 FIT_DOCUMENTS = 20_000
 #: Score from which a document counts as found.
 THRESHOLD = 0.25
+#: Pull of weights towards 0.
+SHRINK = 2e-5
 #: Words beyond which a piece without a sentence end is scored in windows of WINDOW words, half overlapping.
 LONG, WINDOW = 40, 20
 _BITS = 18
@@ -194,7 +196,7 @@ def _fit(ex: Examples, y: np.ndarray, weight: np.ndarray, docs: np.ndarray, coun
             d = counterfactual * (z[pairs] - z[twin])
             np.add.at(g, pairs, 0.2 * d)
             g[twin] -= 0.2 * d
-        grad = np.bincount(flat, np.repeat(g * scale, sizes), minlength=len(w)) / len(docs) + 2e-6 * w
+        grad = np.bincount(flat, np.repeat(g * scale, sizes), minlength=len(w)) / len(docs) + SHRINK * w
         gb = g[:n_real].sum() / len(docs)
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad * grad
         b1, b2 = 0.9 * b1 + 0.1 * gb, 0.99 * b2 + 0.01 * gb * gb
@@ -228,7 +230,7 @@ def fit_toxicity(texts: list[str], labels: list[float], counterfactual: float =
     seeds = np.arange(len(texts), len(docs))
     keep = np.ones(len(docs), bool)
     if len(texts) >= 400:
-        half = np.random.default_rng(seed).permutation(len(texts)) % 2
+        half = np.array([zlib.crc32(t.encode("utf-8", "replace")) % 2 for t in texts])  # copies of a text stay together
         bounds = np.searchsorted(ex.of, np.arange(len(docs) + 1))
         for k in (0, 1):
             model = _fit(ex, y, weight, np.concatenate([np.flatnonzero(half == k), seeds]), counterfactual, rounds)
