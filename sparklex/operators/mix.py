@@ -52,9 +52,10 @@ def seeded_sample(df: DataFrame, k: int, seed, key: str) -> DataFrame:
 def carrier_mask(df: DataFrame, seed, key: str, by: list[str] | None = None) -> DataFrame:
     """df with `carrier`, true for exactly half of the rows (rounded down), of each group of `by`."""
     by = by or []
-    sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
     ranked = shuffled_rank(df, seed, key, by, "_rank")
-    joined = ranked.join(sizes, by) if by else ranked.join(F.broadcast(sizes))
+    if not by:
+        return ranked.withColumn("carrier", F.col("_rank") < F.floor(df.agg(F.count("*").alias("n")).scalar() / 2)).drop("_rank")
+    joined = ranked.join(df.groupBy(*by).agg(F.count("*").alias("_n")), by)
     return joined.withColumn("carrier", F.col("_rank") < F.floor(F.col("_n") / 2)).drop("_rank", "_n")
 
 

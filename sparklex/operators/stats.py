@@ -19,9 +19,9 @@ def unigrams(df: DataFrame, text: str) -> DataFrame:
 
 
 def unigram_logp(counts: DataFrame) -> DataFrame:
-    """(token, cnt, logp): ln((cnt + 1/2) / total); the total is one row."""
-    total = counts.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("total"))
-    return counts.join(F.broadcast(total)).select("token", "cnt", F.ln((F.col("cnt") + F.lit(0.5)) / F.greatest("total", F.lit(1))).alias("logp"))
+    """(token, cnt, logp): ln((cnt + 1/2) / total)."""
+    total = counts.agg(F.greatest(F.coalesce(F.sum("cnt"), F.lit(0)), F.lit(1)).alias("total")).scalar()
+    return counts.select("token", "cnt", F.ln((F.col("cnt") + F.lit(0.5)) / total).alias("logp"))
 
 
 def bigrams(df: DataFrame, text: str) -> DataFrame:
@@ -69,7 +69,7 @@ def witness(rows: DataFrame, counts: DataFrame, sentence: str = "sentence", obse
 def mixture_shares(df: DataFrame, component: str) -> DataFrame:
     """(component, rows, share) of all rows."""
     counts = df.groupBy(F.col(component).alias("component")).agg(F.count("*").alias("rows"))
-    return counts.join(F.broadcast(counts.agg(F.sum("rows").alias("_all")))).select("component", "rows", (F.col("rows") / F.col("_all")).alias("share"))
+    return counts.select("component", "rows", (F.col("rows") / df.agg(F.count("*").alias("n")).scalar()).alias("share"))
 
 
 def tier_counts(df: DataFrame, item_id: str) -> DataFrame:
