@@ -33,7 +33,8 @@ def script(ch: str) -> str:
 
 
 def _foreign(ch: str) -> bool:
-    return ch in _ALIKE
+    """A look-alike, also under an accent."""
+    return ch in _ALIKE or ch > "\u02ff" and unicodedata.normalize("NFD", ch)[0] in _ALIKE
 
 
 def mixed_tokens(text: str) -> list[str]:

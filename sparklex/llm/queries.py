@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparklex.llm import confusables, formatting_duplicates, language, leakage, packing, pairs, split_overlap, toxicity, truncation
+from sparklex.llm.text import LOOKALIKES
 from sparklex.runtime import table
 
 def _sentences_of_both(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,5 +139,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
 
+# The same results stated plainly in SQL, by other means than the operators'.
+
+_CANON = "regexp_replace(replace(lower(nfc_normalize(v)), 'ß', 'ss'), case when k in ('dataset_id', 'sent_id', 'id') then '[\\p{Z}\\p{C}]' else '[\\p{P}\\p{Z}\\p{C}]' end, '', 'g')"
+_RECORDS = f"""with j as (select line_id, cast(payload as json) as j from raw_lines where payload is not null and json_valid(payload) and try_cast(payload as json) is not null),
+f as (select line_id, k, json_extract_string(j, '$."' || k || '"') as v from (select line_id, j, unnest(json_keys(j)) as k from j where json_type(j) = 'OBJECT')),
+r as (select line_id, string_agg(k || chr(1) || coalesce({_CANON}, chr(2)), chr(3) order by k) as record from f group by line_id),
+g as (select line_id, min(line_id) over (partition by record) as first_id from r)"""
+
+
+def _folded(x: str) -> str:
+    return f"regexp_extract_all(replace(replace(strip_accents(lower({x})), 'ł', 'l'), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _grams(key: str, table_name: str) -> str:
+    return f"select {key}, array_to_string(t[i:i + 7], ' ') as gram from (select {key}, t, unnest(generate_series(1, len(t) - 7)) as i from (select {key}, {_folded('text')} as t from {table_name} where text is not null) where len(t) >= 8)"
+
+
+def _looks(x: str) -> str:
+    wide = "".join(chr(0xFF01 + i) for i in range(94))
+    narrow = "".join(chr(0x21 + i) for i in range(94))
+    single = {k: v for k, v in LOOKALIKES.items() if len(v) == 1}
+    plain = f"translate(regexp_replace(regexp_replace({x}, '[\\p{{Cf}}\\x{{FE00}}-\\x{{FE0F}}]', '', 'g'), '\\p{{Zs}}', ' ', 'g'), '{wide}', '{narrow.replace(chr(39), chr(39) * 2)}')"
+    return f"trim(nfc_normalize(translate({plain}, '{''.join(single)}', '{''.join(single.values())}')))"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    alike = f"select 'input_sentence' as field, item_key as id, input_sentence as text, {_looks('input_sentence')} as look from sc_gc_items where input_sentence is not null union all select 'source', pred_id, source, {_looks('source')} from mt_preds where source is not null"
+    return {
+        "p2_found": f"{_RECORDS} select first_id, line_id as copy_id from g where line_id > first_id",
+        "p2_records": f"{_RECORDS} select first_id, count(*) as copies from g group by first_id",
+        "p3_found": f"with t as ({alike}) select a.field, a.id as id_a, b.id as id_b from t a join t b on a.field = b.field and a.look = b.look and a.id < b.id and a.text <> b.text where a.look <> ''",
+        "p8_found": f"with d as ({_grams('doc_id', 'documents')}), p as ({_grams('item_id', 'eval_passages')}) select distinct doc_id, cast(item_id as bigint) as item_id from d join p using (gram)",
+    }

@@ -60,15 +60,14 @@ _SKELETON = str.maketrans(LOOKALIKES)
 
 
 def skeleton(text: str) -> str:
-    """All look-alike letters as Latin letters."""
-    return unicodedata.normalize("NFC", text.translate(_SKELETON))
+    """All look-alike letters as Latin letters, also where an accent is on them."""
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_SKELETON))
 
 
 def _fold(ch: str):
-    if ch in LOOKALIKES:
-        ch = LOOKALIKES[ch]
     out = []
-    for x in unicodedata.normalize("NFKD", ch):
+    for x in unicodedata.normalize("NFKD", LOOKALIKES.get(ch, ch)):
+        x = LOOKALIKES.get(x, x)
         x = PLAIN.get(x, x)
         if unicodedata.category(x[0]) in ("Mn", "Me", "Cf"):
             continue

@@ -95,6 +95,12 @@ def test_alike_pairs(spark):
     assert forms == {2: "Kniha je dobra", 14: "Книга"}
 
 
+def test_accents_on_lookalikes(spark):
+    df = spark.createDataFrame([("f", 1, "m\u03bf\u0301st je"), ("f", 2, "m\u00f3st je"), ("f", 3, "m\u03ccst je"), ("f", 4, "most je")], "field string, rec_id long, text string")
+    assert rows(confusables.alike_pairs(df), "id_a", "id_b") == [(1, 2), (1, 3), (2, 3)]
+    assert fold("m\u03ccst \u0451") == "most e"
+
+
 def test_tokens_that_may_be_repaired():
     assert confusables.mixed_tokens("Skеlaban je") == ["Skеlaban"]
     assert confusables.mixed_tokens("Привет Хорошо") == [] and confusables.mixed_tokens("plain") == []
