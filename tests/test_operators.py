@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparklex.operators import assign, candidates, decide, lexicon, mix, package, pool, retrieval, stats, synth
-from sparklex.runtime import bounded_sample, checkpointed, fingerprint, join_groups
+from sparklex.runtime import bounded_sample, checkpointed, fingerprint, join_groups, numbered, ordered_rank
 
 
 def rows(df, *cols):
@@ -316,3 +316,18 @@ def test_runtime(spark):
     n = bounded_sample(df, "id", 500).count()
     assert 350 <= n <= 1000 and n == bounded_sample(df.repartition(3), "id", 500).count()
     assert bounded_sample(df, "id", 9000).count() == 5000
+
+
+def test_row_numbers(spark):
+    df = spark.range(0, 3000, 1, 7).select((F.col("id") * 7919 % 3001).alias("k"))
+    ranked = ordered_rank(df, "k", "rank").collect()
+    assert [r["rank"] for r in sorted(ranked, key=lambda r: r["k"])] == list(range(3000))
+    assert sorted(r["no"] for r in numbered(df.repartition(5), "no").collect()) == list(range(3000))
+    assert ordered_rank(df.where("false"), "k", "rank").count() == 0
+
+
+def test_meta_counts(spark):
+    df = spark.createDataFrame([("low1", 1, "a", "x"), ("medium2", 2, None, "x"), (None, 3, " ", None)], "id string, ord long, pred string, stage string")
+    assert rows(stats.fire_counts(df.where("stage is not null"), "stage", "pred"), "stage", "rows", "empty") == [("x", 2, 1)]
+    assert rows(stats.tier_counts(df, "id"), "tier", "rows") == [("low", 2), ("medium", 1)]
+    assert rows(stats.tier_exemplars(df, "id", "ord", 1), "tier", "ord") == [("low", 1), ("medium", 2)]
