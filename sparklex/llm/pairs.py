@@ -80,12 +80,14 @@ def pairs_of(messages) -> list[tuple[int, str | None, str | None]]:
 
 def is_refusal(text: str) -> bool:
     """Every sentence declines to work on the request, by one of the grammars; figures make it none."""
+    if len(text) > 600 or _DIGIT.search(text):
+        return False
     parts = sentences(text)
-    if not parts or len(text) > 600:
+    if not parts:
         return False
     for p in parts:
         f = fold(p)
-        if _DIGIT.search(f) or not any(deny.search(f) and act.search(f) and thing.search(f) for deny, act, thing in _REFUSALS.values()):
+        if not any(deny.search(f) and act.search(f) and thing.search(f) for deny, act, thing in _REFUSALS.values()):
             return False
     return True
 
