@@ -97,7 +97,7 @@ def canonical_texts(texts: DataFrame, field: str = "field", rec_id: str = "rec_i
         # The vocabulary holds every token of every text but the doubtful ones; each form counts once per task before the shuffle.
         tokens = lambda df, col: df.select(F.explode(F.array_distinct(F.split(col, "[^\\p{L}\\p{M}]+"))).alias("token"))
         candidates = mixed.select("token", "repaired").distinct()
-        vocabulary = tokens(plain, "text").unionByName(tokens(odd, "base")).join(candidates.select(F.col("repaired").alias("token")).distinct(), "token", "left_semi").distinct()
+        vocabulary = tokens(plain, "text").unionByName(tokens(odd, "base")).distinct().join(candidates.select(F.col("repaired").alias("token")).distinct(), "token", "left_semi")
         known = candidates.join(vocabulary, F.col("repaired") == vocabulary["token"], "left_semi")
         spelt = candidates.groupBy("repaired").agg(F.count("*").alias("n")).where("n > 1").select("repaired")
         approved = known.unionByName(candidates.join(spelt, "repaired", "left_semi").select("token", "repaired")).distinct()
