@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from sparklex.functions import arrow
 from sparklex.functions import text as T
 from sparklex.operators import assign, candidates, decide, lexicon, mix, package, pool, retrieval, stats, synth
+from sparklex.plans import pipelines
 from sparklex.plans import sql as S
-from sparklex.runtime import table
+from sparklex.plans.config import DEFAULTS
+from sparklex.runtime import checkpointed, table
 
 SEED = "42"
 MAPS = ("nń", "sšś", "cčć", "rřŕ", "zžź", "oó", "eě", "lł")
@@ -282,17 +284,29 @@ def single_edit_variants(spark, d):
 
 
 def _dev(spark, d):
-    return table(spark, d, "sc_gc_items").where("split = 'dev'").select(F.col("item_key").alias("item_id"), F.col("input_sentence").alias("sentence"), "incorrect_word", "correct_word")
+    return table(spark, d, "sc_gc_items").where("split = 'dev'").select(F.col("item_key").alias("item_id"), F.col("input_sentence").alias("sentence"), "incorrect_word", "correct_word", "task")
+
+
+def _word_candidates(words, vocab, task):
+    """All of H4 for the words of a task. The lexicon is the words seen five times; longer ones that begin alike share a lemma."""
+    lemma = F.when(F.length("token") >= 5, F.substring("token", 1, 4)).otherwise(F.concat(F.lit("="), "token"))
+    forms = vocab.where("cnt >= 5").select(lemma.alias("lemma_idx"), F.col("token").alias("form"))
+    return checkpointed(pipelines.word_candidates(words, forms, list(MAPS), vocab, task, DEFAULTS[f"{task}_paradigm_cap"]))
 
 
 @query()
 def null_margin_argmax(spark, d):
-    """The best single edit against the unchanged sentence, by the bigram stand-in for a language model."""
+    """The best single edit against the unchanged sentence, by the bigram stand-in for a language model; every
+    word of every sentence is tried with the candidates of its task."""
     docs = table(spark, d, "documents")
-    vocab = _vocab(spark, d)
-    rare = vocab.where("cnt <= 2").select(F.col("token").alias("word"))
-    cand = candidates.rank_candidates([lexicon.diacritic_variants(rare, list(MAPS)).withColumnRenamed("variant", "candidate")], vocab, vocab.where("cnt >= 5").select(F.col("token").alias("form")))
-    return candidates.best_edit(_dev(spark, d), cand, candidates.bigram_scorer(stats.unigrams(docs, "text"), stats.bigrams(docs, "text"))).withColumn("margin", F.round("margin", 6))
+    vocab = checkpointed(_vocab(spark, d))
+    score = candidates.bigram_scorer(checkpointed(stats.unigrams(docs, "text")), checkpointed(stats.bigrams(docs, "text")))
+    parts = []
+    for task in ("sc", "gc"):
+        rows = _dev(spark, d).where(F.col("task") == "gc" if task == "gc" else F.coalesce(F.col("task"), F.lit("")) != "gc")
+        words = candidates.sentence_cores(rows).select(F.col("core").alias("word")).distinct()
+        parts.append(candidates.best_edit(rows, _word_candidates(words, vocab, task), score))
+    return parts[0].unionByName(parts[1]).withColumn("margin", F.round("margin", 6))
 
 
 @query()
