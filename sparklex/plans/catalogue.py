@@ -233,7 +233,7 @@ _ONE = "d as (select token as w, i, substr(token, 1, i - 1) || substr(token, i +
 
 @query(f"with v as ({S.VOCAB}), {_ONE} select a as word, b as match, cast(1 as bigint) as distance from e union all select token, token, 0 from v")
 def within_one_edit(spark, d):
-    """All pairs of words within one edit."""
+    """All pairs of words within one edit; `word_candidates` takes two for unknown words."""
     words = _vocab(spark, d).select(F.col("token").alias("word"))
     return lexicon.within_edits(words, words, 1)
 
@@ -262,7 +262,8 @@ def known_words(spark, d):
 r as (select word, variant as candidate, coalesce(cnt, 0) as cnt, row_number() over (partition by word order by coalesce(cnt, 0) desc, variant) as rank from c left join v on lower(variant) = token where word <> variant and (variant in (select token from k) or lower(variant) in (select token from k)))
 select * from r where rank <= 24""")
 def ranked_candidates(spark, d):
-    """The union of candidates that the lexicon knows, ranked by frequency."""
+    """H4, G2 in part, as its SQL states it: diacritic variants and words within one edit that the lexicon knows, ranked by
+    frequency. The whole union is `word_candidates`."""
     vocab = _vocab(spark, d)
     words = vocab.select(F.col("token").alias("word"))
     sources = [lexicon.diacritic_variants(words, list(MAPS)).withColumnRenamed("variant", "candidate"), lexicon.within_edits(words, words, 1).withColumnRenamed("match", "candidate")]
@@ -287,6 +288,18 @@ def _dev(spark, d):
     return table(spark, d, "sc_gc_items").where("split = 'dev'").select(F.col("item_key").alias("item_id"), F.col("input_sentence").alias("sentence"), "incorrect_word", "correct_word", "task")
 
 
+def _sentences(spark, d):
+    return table(spark, d, "sc_gc_items").select(F.col("item_key").alias("item_id"), F.col("input_sentence").alias("sentence"), "task")
+
+
+def _of_task(rows, task):
+    return rows.where(F.col("task") == "gc" if task == "gc" else F.coalesce(F.col("task"), F.lit("")) != "gc")
+
+
+def _words(rows, task):
+    return candidates.sentence_cores(_of_task(rows, task)).select(F.col("core").alias("word")).distinct()
+
+
 def _word_candidates(words, vocab, task):
     """All of H4 for the words of a task. The lexicon is the words seen five times; longer ones that begin alike share a lemma."""
     lemma = F.when(F.length("token") >= 5, F.substring("token", 1, 4)).otherwise(F.concat(F.lit("="), "token"))
@@ -294,6 +307,15 @@ def _word_candidates(words, vocab, task):
     return checkpointed(pipelines.word_candidates(words, forms, list(MAPS), vocab, task, DEFAULTS[f"{task}_paradigm_cap"]))
 
 
+@query()
+def word_candidates(spark, d):
+    """Every candidate of every word of a task's sentences: diacritics, one edit (two for unknown words) and, for
+    unknown words, paradigms; paradigms for grammar."""
+    vocab = checkpointed(_vocab(spark, d))
+    parts = [_word_candidates(_words(_sentences(spark, d), task), vocab, task).withColumn("task", F.lit(task)) for task in ("sc", "gc")]
+    return parts[0].unionByName(parts[1])
+
+
 @query()
 def null_margin_argmax(spark, d):
     """The best single edit against the unchanged sentence, by the bigram stand-in for a language model; every
@@ -303,20 +325,23 @@ def null_margin_argmax(spark, d):
     score = candidates.bigram_scorer(checkpointed(stats.unigrams(docs, "text")), checkpointed(stats.bigrams(docs, "text")))
     parts = []
     for task in ("sc", "gc"):
-        rows = _dev(spark, d).where(F.col("task") == "gc" if task == "gc" else F.coalesce(F.col("task"), F.lit("")) != "gc")
-        words = candidates.sentence_cores(rows).select(F.col("core").alias("word")).distinct()
-        parts.append(candidates.best_edit(rows, _word_candidates(words, vocab, task), score))
+        rows = _dev(spark, d)
+        parts.append(candidates.best_edit(_of_task(rows, task), _word_candidates(_words(rows, task), vocab, task), score))
     return parts[0].unionByName(parts[1]).withColumn("margin", F.round("margin", 6))
 
 
 @query()
 def constrained_corrections(spark, d):
-    """The flagged word kept, its best replacement chosen."""
+    """The flagged word kept, its best replacement chosen among all candidates of its task."""
     docs = table(spark, d, "documents")
-    vocab = _vocab(spark, d)
-    flagged = _dev(spark, d).where("incorrect_word <> 'CORRECT'").select("item_id", "sentence", F.col("incorrect_word").alias("word"), F.col("correct_word").alias("correction"))
-    cand = candidates.rank_candidates([lexicon.diacritic_variants(flagged.select("word").distinct(), list(MAPS)).withColumnRenamed("variant", "candidate")], vocab, vocab.where("cnt >= 5").select(F.col("token").alias("form")))
-    return candidates.constrained_correction(flagged, cand, candidates.bigram_scorer(stats.unigrams(docs, "text"), stats.bigrams(docs, "text")))
+    vocab = checkpointed(_vocab(spark, d))
+    flagged = _dev(spark, d).where("incorrect_word <> 'CORRECT'").select("item_id", "sentence", F.col("incorrect_word").alias("word"), F.col("correct_word").alias("correction"), "task")
+    score = candidates.bigram_scorer(checkpointed(stats.unigrams(docs, "text")), checkpointed(stats.bigrams(docs, "text")))
+    parts = []
+    for task in ("sc", "gc"):
+        rows = _of_task(flagged, task)
+        parts.append(candidates.constrained_correction(rows, _word_candidates(rows.select("word").distinct(), vocab, task), score))
+    return parts[0].unionByName(parts[1])
 
 
 # Decisions

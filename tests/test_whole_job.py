@@ -29,3 +29,17 @@ def fixture_dir(spark, tmp_path_factory):
 def test_every_word_of_every_sentence_is_tried(spark, fixture_dir):
     got = {r["item_id"]: (r["word"], r["corrected"]) for r in catalogue.null_margin_argmax(spark, fixture_dir).collect()}
     assert got[1] == ("knjha", "kniha") and got[2] == ("knxhx", "kniha") and got[3] == ("Wułka", "Wulka") and got[4] == ("knihami", "kniha")
+
+
+def test_unknown_words_get_two_edits_and_paradigms(spark, fixture_dir):
+    got = {(r["task"], r["word"], r["candidate"]) for r in catalogue.word_candidates(spark, fixture_dir).collect()}
+    assert {("sc", "knxhx", "kniha"), ("sc", "knjha", "kniha"), ("sc", "knihamixx", "knihami"), ("gc", "knihami", "kniha")} <= got
+    assert not any(w == "kniha" and c == "knihami" and t == "sc" for t, w, c in got)  # known: one edit only
+
+
+def test_corrections_are_chosen_among_all_candidates(spark, fixture_dir, tmp_path):
+    d = str(tmp_path)
+    spark.read.parquet(f"{fixture_dir}/sc_gc_items.parquet").selectExpr("* except (correct_word)", "case when item_key = 2 then null else correct_word end as correct_word").write.parquet(f"{d}/sc_gc_items.parquet")
+    spark.read.parquet(f"{fixture_dir}/documents.parquet").write.parquet(f"{d}/documents.parquet")
+    got = {r["item_id"]: r["corrected"] for r in catalogue.constrained_corrections(spark, d).collect()}
+    assert got[2] == "kniha"
