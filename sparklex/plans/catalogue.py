@@ -609,12 +609,22 @@ def random_exemplars(spark, d):
 e as (select t.*, comp from t, (select unnest(['comp0', 'compfz', 'comprd']) as comp))
 select comp, case when val then 'validation' else 'training' end as split, direction, row_idx, 'Translate the source text from German to Upper Sorbian' || chr(10) || chr(10) || case when carrier and comp = 'comprd' then 'German: ' || x_src || chr(10) || 'Upper Sorbian: ' || x_tgt || chr(10) else '' end || 'German: ' || src || chr(10) || 'Upper Sorbian:' as user_content, tgt as assistant_content from e""")
 def composition_rows(spark, d):
-    """The same rows in three compositions."""
+    """I5, C9 in part, as its SQL states it: the same rows in three compositions, compfz without its exemplars. The whole is
+    `fuzzy_composition_rows`."""
     pairs = mix.random_exemplars(_pairs(spark, d), _pairs(spark, d), SEED).withColumnRenamed("exemplar", "random").withColumn("fuzzy", F.lit(None).cast("struct<src:string,tgt:string>"))
     rows = mix.compositions(pairs, SEED, 5, F.lit("German"), F.lit("Upper Sorbian"))
     return rows.select("comp", "split", "direction", "row_idx", F.col("messages")[0]["content"].alias("user_content"), F.col("messages")[1]["content"].alias("assistant_content"))
 
 
+@query()
+def fuzzy_composition_rows(spark, d):
+    """The same rows in three compositions, those of compfz with the most alike other pair of the direction."""
+    pairs = checkpointed(_pairs(spark, d))
+    rich = retrieval.fuzzy_exemplars(mix.random_exemplars(pairs, pairs, SEED).withColumnRenamed("exemplar", "random"), pairs)
+    rows = mix.compositions(checkpointed(rich), SEED, 5, F.lit("German"), F.lit("Upper Sorbian"))
+    return rows.select("comp", "split", "direction", "row_idx", F.col("messages")[0]["content"].alias("user_content"), F.col("messages")[1]["content"].alias("assistant_content"))
+
+
 @query("select 'items' as component, dataset_id, arrived_at from mr_items union all select 'questions', dataset_id, arrived_at from qa_items")
 def mixture_rows(spark, d):
     """H6: components in their common columns."""
@@ -636,14 +646,16 @@ def typos(spark, d):
 
 @query()
 def wrong_endings(spark, d):
-    """I13, G12."""
-    return synth.inject_endings(_originals(spark, d), "text", "item_key", "hsb", SEED)
+    """Each sentence with the endings of its own language."""
+    rows = table(spark, d, "sc_gc_items").where("split = 'dev'").select("item_key", F.col("original_sentence").alias("text"), F.lower(F.trim("lang")).alias("lang"))
+    dsb = F.coalesce(F.col("lang") == "dsb", F.lit(False))
+    return synth.inject_endings(rows.where(~dsb), "text", "item_key", "hsb", SEED).unionByName(synth.inject_endings(rows.where(dsb), "text", "item_key", "dsb", SEED))
 
 
 @query()
 def cloze_questions(spark, d):
     """I14, I15, C17."""
-    vocabulary = [r["token"] for r in stats.frequency_vocab(table(spark, d, "documents"), "text", "doc_id", 500).collect()]
+    vocabulary = [r["token"] for r in stats.frequency_vocab(table(spark, d, "documents"), "text", "doc_id").collect()]
     return synth.cloze(_originals(spark, d), "text", "item_key", vocabulary, SEED)
 
 

@@ -1,7 +1,10 @@
 """Queries on small tables of their own, where a part of the job left out would show."""
 
+import random
+
 import pytest
 
+from sparklex.operators import synth
 from sparklex.plans import catalogue
 
 ITEMS = "item_key long, split string, task string, lang string, input_sentence string, original_sentence string, incorrect_word string, correct_word string"
@@ -43,3 +46,33 @@ def test_corrections_are_chosen_among_all_candidates(spark, fixture_dir, tmp_pat
     spark.read.parquet(f"{fixture_dir}/documents.parquet").write.parquet(f"{d}/documents.parquet")
     got = {r["item_id"]: r["corrected"] for r in catalogue.constrained_corrections(spark, d).collect()}
     assert got[2] == "kniha"
+
+
+def test_compfz_has_the_most_alike_exemplar(spark, tmp_path):
+    lots = random.Random(1)
+    rows = [(i, ("de-hsb", "hsb-de")[i % 2], "".join(lots.sample("abcdefghijkl", 6)), f"t{i}") for i in range(60)]
+    spark.createDataFrame(rows, "pred_id long, direction string, source string, pred string").write.parquet(f"{tmp_path}/mt_preds.parquet")
+    got = {(r["comp"], r["row_idx"]): r["user_content"] for r in catalogue.fuzzy_composition_rows(spark, str(tmp_path)).collect()}
+    shots = {i: c for (comp, i), c in got.items() if comp == "compfz" and c.count("German: ") == 2}
+    assert len(got) == 180 and len(shots) == 24 and not any(c.count("German: ") == 2 for (comp, _), c in got.items() if comp == "comp0")
+    for i, content in shots.items():
+        own = rows[i]
+        others = [r for r in rows if r[1] == own[1] and r[2] != own[2]]
+        best = min(others, key=lambda r: (-len(set(r[2]) & set(own[2])), r[0]))
+        assert f"German: {best[2]}\nUpper Sorbian: {best[3]}\n" in content
+
+
+def test_synthesis_uses_the_own_language_and_the_whole_vocabulary(spark, tmp_path, monkeypatch):
+    items = [(i, "dev", lang, "wulka kniha steji nowego mami") for i, lang in enumerate(("hsb", "dsb") * 40)]
+    spark.createDataFrame(items, "item_key long, split string, lang string, original_sentence string").write.parquet(f"{tmp_path}/sc_gc_items.parquet")
+    words = ["".join("abcdefghij"[int(c)] for c in f"{i:04d}") for i in range(700)]
+    spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(str, catalogue.wrong_endings(spark, str(tmp_path)).collect()))
+    df = spark.createDataFrame([(i, x, s) for i, _, x, s in items], "item_key long, lang string, text string")
+    want = [str(r) for x in ("hsb", "dsb") for r in synth.inject_endings(df.where(f"lang = '{x}'"), "text", "item_key", x, catalogue.SEED).collect()]
+    assert got == sorted(want) and len(got) == 80
+    assert want != [str(r) for x in ("hsb", "dsb") for r in synth.inject_endings(df.where(f"lang = '{x}'"), "text", "item_key", "hsb", catalogue.SEED).collect()]
+    seen = []
+    monkeypatch.setattr(synth, "cloze", lambda df, s, k, vocabulary, seed: seen.append(vocabulary) or df)
+    catalogue.cloze_questions(spark, str(tmp_path))
+    assert len(seen[0]) == 700
