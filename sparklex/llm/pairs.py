@@ -44,7 +44,12 @@ _REFUSALS = {
     "pl": (r"nie mog\w*|nie moze\w*|nie wolno|odmawi\w*|nie jestem w stanie|nie potrafi\w*", r"pomoc\w*|pomag\w*|przetlumacz\w*|odpowiedz\w*|sprawdz\w*|wykona\w*|dokoncz\w*|przetworz\w*|poprawi\w*|zrealizow\w*", r"zdani\w*|zadani\w*|prosb\w*|pytani\w*|tekst\w*|tlumaczen\w*|t[oeya]go?\b"),
 }
 _REFUSALS = {k: tuple(re.compile(rf"\b(?:{x})") for x in v) for k, v in _REFUSALS.items()}
-_DIGIT = re.compile(r"\d")
+_DENIES = re.compile("|".join(deny.pattern for deny, _, _ in _REFUSALS.values()))
+# How apologies and courtesies begin that may stand beside a refusal (without case and accents).
+_NEUTRAL = re.compile(r"\W*(?:i'?m (?:very |so |really )?sorry|i’m (?:very |so |really )?sorry|i am (?:very |so |really )?sorry|i apologi[sz]e|sorry\b|unfortunately\b|please\b|thank|es tut mir|tut mir|leider\W*$|entschuldig|verzeih|bitte\b|danke\b|bohuzel\W*$|wodaj|prosu\b|dzakuj|bozko\W*$|wodaj|pseps|pros(?:im|ze)\b|zekuj|omlouva|je mi lito|prepac|dekuj|przepraszam|przykro mi|niestety\W*$|dziekuj)")
+_FIGURE = re.compile(r"\d+")
+_NAME = re.compile(r"(?<=[^\W\d_] )[A-ZÄÖÜČĆĚŁŃÓŘŔŠŚŽŹ]\w{3,}")
+_QUOTED = re.compile(r"[„“\"«»][^„“”\"«»]*[“”\"«»]")
 _TAGS = re.compile(r"<[^<>]*>?")
 _CLOSING = re.compile(r"</([A-Za-z][\w-]*)>\s*$")
 _TOKENS = re.compile(r"\w+")
@@ -79,17 +84,39 @@ def pairs_of(messages) -> list[tuple[int, str | None, str | None]]:
 
 
 def is_refusal(text: str) -> bool:
-    """Every sentence declines to work on the request, by one of the grammars; figures make it none."""
-    if len(text) > 600 or _DIGIT.search(text):
+    """Every sentence declines to work on the request, by one of the grammars, or is an apology, a courtesy or a mere mark
+    beside one that declines."""
+    if not _DENIES.search(fold(text)):
         return False
-    parts = sentences(text)
-    if not parts:
-        return False
-    for p in parts:
+    declines = False
+    for p in sentences(text):
         f = fold(p)
-        if not any(deny.search(f) and act.search(f) and thing.search(f) for deny, act, thing in _REFUSALS.values()):
+        if any(deny.search(f) and act.search(f) and thing.search(f) for deny, act, thing in _REFUSALS.values()):
+            declines = True
+        elif any(map(str.isalpha, f)) and not _NEUTRAL.match(f):
             return False
-    return True
+    return declines
+
+
+def _marks(text: str) -> set[str]:
+    """Figures and names: what a translation keeps of its source."""
+    return set(_FIGURE.findall(text)) | set(_NAME.findall(text))
+
+
+def declines(reply: str, given: str) -> bool:
+    """The reply is a refusal and no translation of a text that itself speaks of refusing.
+
+    It is a translation if it keeps all figures of the text, or if the text speaks of refusing and the reply keeps one of
+    its figures and names (or there are none). What the reply quotes is not counted.
+    """
+    if not is_refusal(reply):
+        return False
+    own = _QUOTED.sub(" ", reply)
+    figures = set(_FIGURE.findall(given))
+    if figures and figures <= set(_FIGURE.findall(own)):
+        return False
+    speaks = any(deny.search(f) and act.search(f) for f in map(fold, sentences(given)) for deny, act, _ in _REFUSALS.values())
+    return not (speaks and (not _marks(given) or _marks(given) & _marks(own)))
 
 
 def tiled_share(reply: list[str], task: list[str], least: int = TILE) -> float:
@@ -166,8 +193,8 @@ class Judge:
         if reply is None or is_placeholder(reply) or not any(map(str.isalnum, _TAGS.sub(" ", reply))):
             return "empty"
         given = task_text(user)
-        if is_refusal(_TAGS.sub(" ", reply)):
-            return None if is_refusal(given) else "refusal"
+        if declines(_TAGS.sub(" ", reply), given):
+            return "refusal"
         st = structure(reply)
         if any(x.startswith("<") for x in st.open) or st.broken and not st.terminated:
             return "truncated"
@@ -189,7 +216,7 @@ class Judge:
         out = [self.before_language(t, u, r) for t, _, u, r in rows]
         check, spans, texts = [], [], []
         for i, (t, _, user, reply) in enumerate(rows):
-            if out[i] is None and not is_refusal(_TAGS.sub(" ", reply)):
+            if out[i] is None:
                 asked = asked_language(user)
                 parts = [s for s in sentences(_TAGS.sub(" ", visible(_OPTION.sub("", reply)))) if sum(map(str.isalpha, s)) >= 20] if asked in self.profiles.languages else []
                 check.append(i)
