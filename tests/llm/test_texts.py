@@ -2,6 +2,7 @@
 
 import collections
 import importlib
+import itertools
 import random
 
 import numpy as np
@@ -111,6 +112,34 @@ def test_languages_of_unseen_text(profiles):
     assert [s[0] for s in language.segments(profiles, [mixed])[0]] == ["de", "hsb", "de"]
 
 
+def test_fit_does_not_depend_on_the_order_of_the_sample(labelled):
+    sample = [(r["text"], r["label"]) for r in labelled.collect()]
+    tables = []
+    for order in range(5):
+        rng = random.Random(order)
+        own = [sample, sorted(sample, key=str), sorted(sample, key=str, reverse=True)][order] if order < 3 else rng.sample(sample, len(sample))
+        tables.append(language.fit_profiles([t for t, _ in own], [x for _, x in own]).table.tobytes())
+    assert len(set(tables)) == 1
+    for n in (1, 3, 7):
+        assert language.sample_profiles(labelled.repartition(n)).table.tobytes() == tables[0]
+
+
+def test_neighbours_decide_short_sentences(profiles):
+    hsb, de = "Dom steji pola wulkeho štoma pódla rěki a w nim bydla štyrjo starši ludźo.", "Das Haus steht am Fluss, und der Hund schläft."
+    assert [s[0] for s in language.segments(profiles, [f"{hsb} 17. To je. {hsb}"])[0]] == ["hsb"]
+    assert [s[0] for s in language.segments(profiles, [f"{hsb} {de} {de} {hsb}"])[0]] == ["hsb", "de", "hsb"]
+    assert len(language.segments(profiles, ["Ja."])[0]) == 1 and language.segments(profiles, ["x", "1 a 2", "<b> 3 </b>", ""]) == [[], [], [], []]
+
+
+def test_path_is_the_best_of_all(profiles):
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        e = rng.normal(0, 0.2, (5, 3)).astype(np.float32)
+        value = lambda path, e=e: sum(e[i, k] for i, k in enumerate(path)) - language.SWITCH * sum(a != b for a, b in zip(path, path[1:]))
+        best = max(value(p) for p in itertools.product(range(3), repeat=5))
+        assert abs(value(language._cheapest_path(e).tolist()) - best) < 1e-5
+
+
 def test_label_cases(spark, profiles):
     de, hsb = "Das Haus steht am Fluss und der Hund schläft.", "Dom steji pola rěki a pos spi w zahrodźe."
     df = spark.createDataFrame([("pred", 1, "de", de), ("pred", 2, "DEU", de), ("pred", 3, "hsb", de), ("pred", 4, None, hsb), ("pred", 5, "und", hsb), ("pred", 6, " ", hsb), ("pred", 7, "hsb", f"{hsb} {de}"), ("pred", 8, None, None), ("pred", 9, None, ""), ("pred", 10, "de", "..."), ("pred", 11, None, "N/A"), ("pred", 12, None, "<a> 17 </a>"), ("content", 1, "de", f"<answer> {de} </answer>")], "field string, rec_id long, label string, text string")
