@@ -4,7 +4,6 @@ import random
 
 import pytest
 
-from sparklex.llm import pairs
 from sparklex.operators import synth
 from sparklex.plans import catalogue
 
@@ -77,12 +76,3 @@ def test_synthesis_uses_the_own_language_and_the_whole_vocabulary(spark, tmp_pat
     monkeypatch.setattr(synth, "cloze", lambda df, s, k, vocabulary, seed: seen.append(vocabulary) or df)
     catalogue.cloze_questions(spark, str(tmp_path))
     assert len(seen[0]) == 700
-
-
-def test_refusals_with_figures_length_and_apologies():
-    for text in ("I am sorry. I cannot help with this request.", "I cannot answer question 3.", "Satz 2 kann ich nicht übersetzen.", "1. I cannot help with this request.", "I cannot help with this request. " * 30):
-        assert pairs.is_refusal(text) and pairs.declines(text, "Der alte Hund öffnete 17 Türen."), text
-    source = "Diesem Lehrer kann ich nicht helfen, schrieb Nelota aus Brobrow, denn dies sind 487 Seen."
-    assert pairs.is_refusal(source) and not pairs.declines("I cannot help this teacher with that, wrote Nelota from Brobrow, for these are 487 lakes.", source)
-    assert not pairs.declines("I cannot help this teacher with that, wrote Nelota from", source)
-    assert pairs.declines("I'm sorry, but I can't help with this text.", source)
