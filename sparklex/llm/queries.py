@@ -84,7 +84,12 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_overlap.overlaps(_items(spark, sf_dir), _messages(spark, sf_dir))
+    return split_overlap.overlaps(_items(spark, sf_dir), _messages(spark, sf_dir)).drop("coverage")
+
+
+def p5_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlaps with the share of the item's words that lies in shared spans."""
+    return split_overlap.overlaps(_items(spark, sf_dir), _messages(spark, sf_dir)).withColumn("coverage", F.round("coverage", 6))
 
 
 def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,6 +161,15 @@ def edits(a, b):
     return min(row)
 
 
+def almost(item, text):
+    """At most two changes, two words left; or two neighbours exchanged."""
+    n = len(item)
+    if edits(item, text) <= max(0, min(2, n - 2)):
+        return True
+    swaps = [[*item[:i], item[i + 1], item[i], *item[i + 2 :]] for i in range(n - 1) if not any(c.isdigit() for c in item[i] + item[i + 1])]
+    return n in (2, 3) and any(text[p : p + n] == s for s in swaps for p in range(len(text)))
+
+
 def test_overlaps_against_brute_force(spark):
     rng = random.Random(9)
     vocabulary = ["dom", "kniha", "rěka", "nowy", "stary", "je", "pola", "łuka", "wóz", "hora", "17", "23", "kóń"]
@@ -179,14 +188,60 @@ def test_overlaps_against_brute_force(spark):
     for i, a in items:
         folded = [fold(x) for x in a]
         for r, b in texts:
-            if edits(folded, [fold(x) for x in b]) <= (2 if len(a) >= split_overlap.ALMOST_FROM else 0):
+            if almost(folded, [fold(x) for x in b]):
                 want.add(("t", i, r))
+    assert len(want) > 200 and any(len(items[i][1]) < 6 for _, i, _ in want)
     it = spark.createDataFrame([("t", i, " ".join(a).upper()) for i, a in items] + [("t", 900, None), ("t", 901, " .")], "eval_table string, item_key long, text string").withColumn("norm", F.lit("clash"))
-    ms = spark.createDataFrame([(r, ", ".join(b)) for r, b in texts] + [(900, None), (901, "")], "row_id long, text string").withColumns({"hits": F.lit(1), "m1": F.lit(2)})
-    assert set(rows(split_overlap.overlaps(it, ms), "eval_table", "item_key", "row_id")) == want
+    ms = spark.createDataFrame([(r, ", ".join(b)) for r, b in texts] + [(900, None), (901, "")], "row_id long, text string").withColumns({"places": F.lit(1), "m1": F.lit(2), "coverage": F.lit("x")})
+    for size in (split_overlap.RANGE_ROWS, 300, 40):
+        assert set(rows(split_overlap.overlaps(it, ms, size), "eval_table", "item_key", "row_id")) == want
     assert split_overlap.overlaps(it.where("false"), ms).count() == 0 and split_overlap.overlaps(it, ms.where("false")).count() == 0
 
 
+def test_prefix_on_a_tenth_of_all_rows(spark, monkeypatch):
+    """Many messages and items share a long prefix: its run is spread over ranges, none of which is much over its size."""
+    rng = random.Random(4)
+    common = "kak so maš tu pola nas doma w Budyšinje a kak so maš tam"
+    tail = lambda: " ".join(rng.choice("abcdefghij") + rng.choice("klmnopqrst") for _ in range(6))
+    tails = [tail() for _ in range(12)]
+    items = [(i, f"{common} {t}") for i, t in enumerate(tails)]
+    texts = [(r, f"{common} {tails[r % 24]}" if r % 24 < 12 else f"{common} {tail()}") for r in range(120)] + [(r, " ".join(tail() for _ in range(3))) for r in range(200, 1280)]
+    it = spark.createDataFrame([("t", i, t) for i, t in items], "eval_table string, item_key long, text string")
+    ms = spark.createDataFrame(texts, "row_id long, text string")
+    seen = []
+    real = split_overlap._shared_prefixes
+
+    def counted(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ranges, item = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            n = collections.Counter(r for r, x in zip(ranges, item) if not x)
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64()), *[pa.array([0] * len(n), pa.int64())] * 2, *[pa.array([0] * len(n), pa.int32())] * 2], ["m1", "m2", "k1", "k2", "ipos", "mpos"])
+
+    got = rows(split_overlap.overlaps(it, ms, 100), "item_key", "row_id")
+    assert got == sorted((r % 24, r) for r in range(120) if r % 24 < 12)
+    frame = type(ms)
+    plain = frame.mapInArrow
+
+    def spy(self, f, schema, *more):
+        if f is real:
+            seen.extend(plain(self, counted, schema).collect())
+        return plain(self, f, schema, *more)
+
+    monkeypatch.setattr(frame, "mapInArrow", spy)
+    split_overlap.overlaps(it, ms, 100).count()
+    sizes = collections.Counter()
+    for r in seen:
+        sizes[r["m1"]] += r["m2"]
+    assert len(sizes) >= 5 and max(sizes.values()) <= 200
+
+
+def test_coverage_merges_spans():
+    item, text = "a b c d e f g h".split(), "x a b c q e f g h a b c".split()
+    assert split_overlap.coverage(item, text, [(0, 1), (4, 5), (0, 9), (1, 2)]) == 7 and split_overlap.coverage(item, text, []) == 0
+
+
 def test_overlap_rules(spark):
     item = "Złoty kóń leži pola 17 rěki a stary dom tam ničo njeměješe"
     t = {1: "x " * 20000 + item.upper(), 2: item.replace("17", "18"), 3: item.replace("leži ", "").replace("dom", "wóz"), 4: item.replace("Złoty", "a").replace("leži", "b").replace("dom", "c"), 5: item.replace("stary dom", "dom stary"), 6: item.replace("o", "о"), 7: item.replace("ó", "o\u0301")}
