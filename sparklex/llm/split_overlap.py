@@ -1,17 +1,18 @@
 """Problem 5: evaluation items that stand, exactly or almost, in training messages.
 
-The words of both splits are seen as suffixes: a text from a word on. All suffixes of the items, and those of the messages
-that share a seed of few words with one, are put into one suffix array that is partitioned by ranges of the suffixes:
-their keys are cut at quantiles, each range is sorted in one task, and the common prefixes of neighbours tell the runs in
-which suffixes of both splits share a seed. A run that a range's end cuts is whole on both sides, as an item's suffix goes
-to every range that its seed reaches into; so a prefix that many messages share is spread over many ranges. From each
-shared prefix that can't be extended to the left a shared span is taken; the spans of an item and a message are merged
-into the item's coverage, and where that allows it, an exact edit distance around the spans decides.
-
-Two changed words cut an item into three pieces, so one of at least a third of its words stays whole, which bounds the
-seed from below. As all figures must agree, the figure next to a suffix leads its key. Items of three to five words have
-pairs of words, with gaps between them, as seeds. Bloom filters over the seeds of both splits, sized by their number, keep
-suffixes that can't meet any of the other split out of the array; they never decide a match.
+The words of both splits are seen as suffixes: a text from a word on. Two changed words cut an item into pieces of which
+one holds a whole third of it, so an item is looked for by the suffixes that begin at its thirds, and a message by all of
+its suffixes that share such a seed with an item. These are put into one suffix array that is partitioned by ranges of the
+suffixes: their keys are cut at quantiles, each range is sorted in one task, and the common prefixes of neighbours tell
+the runs in which suffixes of both splits share a seed. A run that a range's end cuts is whole on both sides, as an item's
+suffix goes to every range that its seed reaches into; so a prefix that many messages share is spread over many ranges.
+Around each shared prefix the shared span is extended; the spans of an item and a message are merged into the item's
+coverage, and an exact edit distance around them decides.
+
+As all figures must agree, the figure next to a suffix leads its key, and the words around a seed are compared before a
+pair is written down. Items of three to five words have pairs of words, with gaps between them, as seeds. Bloom filters
+over the seeds of both splits, sized by their number, keep suffixes that can't meet any of the other split out of the
+array; they never decide a match.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from sparklex.runtime import HOT_ROWS, checkpointed, join_groups
 
 #: Changed words that an item may have.
 EDITS = 2
-#: Bits of the filter: so many a seed, at most MOST_BITS in all (128 MB in a task).
-BITS_A_KEY, MOST_BITS = 64, 1 << 30
+#: Bits of the filter: so many a seed, at most MOST_BITS in all (256 MB in a task), which is enough for some 200 M seeds.
+BITS_A_KEY, MOST_BITS = 32, 1 << 31
 #: Suffixes of messages, about, in one range of the array.
 RANGE_ROWS = 50_000
 #: Pairs of suffixes that are written down at a time.
@@ -44,7 +45,7 @@ _COLUMNS = 2 + _KEY_WORDS + 1
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _R = np.uint64(0x165667B19E3779F9)
-_BIT_STEP = 1 << 16
+_PIECE = 1 << 13  # bytes of the filter in one row
 
 
 def allowed(n: int) -> int:
@@ -128,11 +129,14 @@ class Laid:
         """(code, side, places, hashes of the seeds, gap) of the suffixes that items are looked for by."""
         if not len(self.h):
             return
-        code_of, sides = seed_words(self.words), self.own_sides()
+        code_of, sides, inside = seed_words(self.words), self.own_sides(), self.place - self.begin
+        third = (self.words < 3) & (inside == 0) | (code_of == _GAPPED)
+        for i in range(EDITS + 1):
+            third |= inside == self.words * i // (EDITS + 1)
         for code in np.unique(code_of).tolist():
             for at, gram, gap in self.seeds(code):
                 for side in (0, 1, 2):
-                    own = (code_of[at] == code) & (sides[at] == side)
+                    own = (code_of[at] == code) & (sides[at] == side) & third[at]
                     if own.any():
                         yield code, side, at[own], gram[own], gap
 
@@ -149,10 +153,6 @@ class Laid:
         out[:, -1] = tail
         return out
 
-    def left(self, at: np.ndarray, at_start: int) -> np.ndarray:
-        """The word before each place, as a number; at_start where there is none."""
-        return np.where(at > self.begin[at], (self.h[np.maximum(at - 1, 0)] >> np.uint64(2)).astype(np.int64), at_start)
-
     def words_before(self, at: np.ndarray) -> np.ndarray:
         """As many words before each place as a key has behind it, the nearest first."""
         out = np.zeros((len(at), _KEY_WORDS), ">u4")
@@ -202,19 +202,32 @@ def build_bloom(rows: DataFrame, keys_of, count: int) -> Bloom:
     mask = np.uint64(size - 1)
 
     def fill(batches):
+        """Pieces of the filter: the bits themselves, or the numbers of those that are set if they are shorter."""
         bits, hashes = np.zeros(size // 8, np.uint8), _Hashes()
         for batch in batches:
             for p in Bloom.places(keys_of(batch, hashes), mask):
                 np.bitwise_or.at(bits, (p >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (p & np.uint64(7)).astype(np.uint8)))
-        pieces = [(i, bits[i : i + _BIT_STEP].tobytes()) for i in range(0, len(bits), _BIT_STEP) if bits[i : i + _BIT_STEP].any()]
+        pieces = []
+        for i in range(0, len(bits), _PIECE):
+            piece = bits[i : i + _PIECE]
+            if piece.any():
+                few = np.flatnonzero(np.unpackbits(piece, bitorder="little")) if np.count_nonzero(piece) < _PIECE // 4 else None
+                pieces.append((i, piece.tobytes() if few is None or 2 * len(few) >= _PIECE else few.astype("<u2").tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pieces], pa.int64()), pa.array([b for _, b in pieces], pa.binary())], ["at", "bits"])
 
+    def whole(piece: bytes) -> np.ndarray:
+        if len(piece) == _PIECE:
+            return np.frombuffer(piece, np.uint8)
+        bits = np.zeros(8 * _PIECE, np.uint8)
+        bits[np.frombuffer(piece, "<u2")] = 1
+        return np.packbits(bits, bitorder="little")
+
     def unite(pdf):
-        return pdf.iloc[:1].assign(bits=[np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]]).tobytes()])
+        return pdf.iloc[:1].assign(bits=[np.bitwise_or.reduce([whole(b) for b in pdf["bits"]]).tobytes()])
 
     bits = np.zeros(size // 8, np.uint8)
     for r in rows.mapInArrow(fill, "at long, bits binary").groupBy("at").applyInPandas(unite, "at long, bits binary").collect():
-        bits[r["at"] : r["at"] + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+        bits[r["at"] : r["at"] + _PIECE] = np.frombuffer(r["bits"], np.uint8)
     return Bloom(bits)
 
 
@@ -257,7 +270,7 @@ def _scan(bloom: Bloom, kinds: list[tuple[int, int]]):
     return run
 
 
-_SUFFIX = "range int, key binary, item boolean, k1 long, k2 long, pos int, before long, context binary"
+_SUFFIX = "range int, key binary, item boolean, k1 long, k2 long, pos int, context binary"
 
 
 def _binary(numbers: np.ndarray) -> pa.Array:
@@ -272,10 +285,10 @@ def _numbers(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _suffix_batch(rows: list[tuple], item: bool) -> pa.RecordBatch:
-    """rows: (ranges, keys, k1, k2, places, words before as one number, words before)."""
-    rows = rows or [(np.zeros(0, np.int32), np.zeros((0, _COLUMNS), ">u4"), *[np.zeros(0, np.int64)] * 4, np.zeros((0, _KEY_WORDS), ">u4"))]
-    ranges, keys, k1, k2, pos, before, context = (np.concatenate(x) for x in zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), _binary(keys), pa.array(np.full(len(keys), item)), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(pos, pa.int32()), pa.array(before, pa.int64()), _binary(context)], ["range", "key", "item", "k1", "k2", "pos", "before", "context"])
+    """rows: (ranges, keys, k1, k2, places, words before)."""
+    rows = rows or [(np.zeros(0, np.int32), np.zeros((0, _COLUMNS), ">u4"), *[np.zeros(0, np.int64)] * 3, np.zeros((0, _KEY_WORDS), ">u4"))]
+    ranges, keys, k1, k2, pos, context = (np.concatenate(x) for x in zip(*rows))
+    return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), _binary(keys), pa.array(np.full(len(keys), item)), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(pos, pa.int32()), _binary(context)], ["range", "key", "item", "k1", "k2", "pos", "context"])
 
 
 def _placed(norm: pa.Array, places: pa.Array, hashes: _Hashes):
@@ -296,9 +309,7 @@ def _message_suffixes(bounds: list[bytes]):
             for code, side, gap, at in kinds:
                 keys = laid.suffix_keys(code, side, at, gap, (m2[laid.of[at]] & 0xFFFFFFFF).astype(np.uint32))
                 ranges = np.array([bisect_right(bounds, k.tobytes()) for k in keys], np.int32) if bounds else np.zeros(len(at), np.int32)
-                # Gapped seeds have no left end that could be extended.
-                before = laid.left(at, -1) if code != _GAPPED else np.full(len(at), -1)
-                out.append((ranges, keys, m1[laid.of[at]], m2[laid.of[at]], at - laid.begin[at], before, laid.words_before(at)))
+                out.append((ranges, keys, m1[laid.of[at]], m2[laid.of[at]], at - laid.begin[at], laid.words_before(at)))
             yield _suffix_batch(out, False)
 
     return run
@@ -324,15 +335,14 @@ def _item_suffixes(bounds: list[bytes], met: Bloom):
                 times = high - low + 1
                 which = np.repeat(np.arange(len(at)), times)
                 ranges = (np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)).astype(np.int32) + low[which]
-                before = laid.left(at, -2) if code != _GAPPED else np.full(len(at), -2)
-                out.append((ranges, keys[which], k1[laid.of[at]][which], k2[laid.of[at]][which], (at - laid.begin[at])[which], before[which], laid.words_before(at)[which]))
+                out.append((ranges, keys[which], k1[laid.of[at]][which], k2[laid.of[at]][which], (at - laid.begin[at])[which], laid.words_before(at)[which]))
             yield _suffix_batch(out, True)
 
     return run
 
 
-def _pairs_in_runs(run: np.ndarray, item: np.ndarray, before: np.ndarray):
-    """Yields (items, messages): row numbers of the suffixes of both splits in one run whose words before differ."""
+def _pairs_in_runs(run: np.ndarray, item: np.ndarray):
+    """Yields (items, messages): row numbers of the suffixes of both splits in one run."""
     order = np.lexsort((~item, run))  # the items of each run first
     run, item = run[order], item[order]
     begin = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
@@ -349,9 +359,7 @@ def _pairs_in_runs(run: np.ndarray, item: np.ndarray, before: np.ndarray):
         t = times[at:to]
         m = np.repeat(messages[at:to], t)
         i = begin[number[m]] + np.arange(len(m)) - np.repeat(np.cumsum(t) - t, t)
-        a, b = order[i], order[m]
-        left = before[a] != before[b]
-        yield a[left], b[left]
+        yield order[i], order[m]
         at = to
 
 
@@ -369,13 +377,13 @@ def _shared_prefixes(batches):
     Of the words around the span only so many may be missing in the message as may be changed.
     """
 
-    def spans(ranges, keys, item, k1, k2, pos, before, context):
+    def spans(ranges, keys, item, k1, k2, pos, context):
         unlike = keys[1:, :-1] != keys[:-1, :-1]
         common = np.where(unlike.any(1), unlike.argmax(1), _COLUMNS - 1)  # kind, figure and words that two neighbours share
         kind = keys[:, 0].astype(np.int64) >> 2
         new = (common < 2 + _width(kind[1:])) | (ranges[1:] != ranges[:-1])
         behind, context = keys[:, 2 : 2 + _KEY_WORDS].astype(np.uint32), context.astype(np.uint32)
-        for a, b in _pairs_in_runs(np.append(0, np.cumsum(new)), item, before):
+        for a, b in _pairs_in_runs(np.append(0, np.cumsum(new)), item):
             near = (kind[a] == _GAPPED) | (_missing(behind[a], behind[b]) <= EDITS)
             a, b = a[near], b[near]
             near = (kind[a] == _GAPPED) | (_missing(behind[a], behind[b]) + _missing(context[a], context[b]) <= EDITS)
@@ -386,7 +394,7 @@ def _shared_prefixes(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        more = [batch.column(0).to_numpy(), _numbers(batch.column(1), _COLUMNS), *(batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, 7)), _numbers(batch.column(7), _KEY_WORDS)]
+        more = [batch.column(0).to_numpy(), _numbers(batch.column(1), _COLUMNS), *(batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, 6)), _numbers(batch.column(6), _KEY_WORDS)]
         rest = [np.concatenate(x) for x in zip(rest, more)] if rest else more
         # All but the last run, which may go on.
         width = 2 + int(_width(np.array(int(rest[1][-1, 0]) >> 2)))
@@ -435,18 +443,20 @@ def _extend(a: list[str], b: list[str], most: int) -> int:
     return min(row)
 
 
-def coverage(item: list[str], text: list[str], spans) -> int:
-    """Words of the item in the shared spans that begin at (place in the item, place in the text), merged."""
-    ends: dict[int, int] = {}
-    for ip, mp in spans:
-        k = 0
+def coverage(item: list[str], text: list[str], seeds) -> int:
+    """Words of the item in the shared spans around (place in the item, place in the text), merged."""
+    spans = set()
+    for ip, mp in seeds:
+        i = k = 0
+        while i < min(ip, mp) and item[ip - i - 1] == text[mp - i - 1]:
+            i += 1
         while ip + k < len(item) and mp + k < len(text) and item[ip + k] == text[mp + k]:
             k += 1
-        ends[ip] = max(ends.get(ip, 0), ip + k)
+        spans.add((ip - i, ip + k))
     covered = upto = 0
-    for ip in sorted(ends):
-        covered += max(0, ends[ip] - max(upto, ip))
-        upto = max(upto, ends[ip])
+    for begin, end in sorted(spans):
+        covered += max(0, end - max(upto, begin))
+        upto = max(upto, end)
     return covered
 
 
@@ -462,15 +472,12 @@ def _swapped(item: list[str], text: list[str], near: int) -> bool:
     return False
 
 
-def holds_almost(item: list[str], text: list[str], spans) -> bool:
+def holds_almost(item: list[str], text: list[str], seeds) -> bool:
     """The text holds the item with at most allowed(n) changed words, or with two neighbours exchanged, around one of the
-    shared spans."""
+    shared seeds."""
     n = len(item)
     most, seed = allowed(n), int(seed_words(np.int64(n)))
-    # Words that are neither changed nor in a piece shorter than a seed are covered.
-    if seed != _GAPPED and coverage(item, text, spans) < n - most - EDITS * (seed - 1):
-        return False
-    for ip, mp in spans:
+    for ip, mp in seeds:
         q = seed or 1
         if item[ip : ip + q] != text[mp : mp + q]:
             continue
