@@ -18,7 +18,10 @@ from sparklex.llm.text import fold, sentences, visible
 
 _PAIRS = {"(": ")", "[": "]", "{": "}", "„": "“”", "“": "”", "«": "»", "»": "«", "‚": "‘’"}
 _CLOSERS = set(")]}“”»«‘’")
-_TOKEN = re.compile(r"```|<(/?)([A-Za-z][\w-]*)[^<>]*?(/?)>|[()\[\]{}„“”«»‚‘’\"]")
+_TOKEN = re.compile(r"(?m:^[ \t]*(?:[-*•+]|\d{1,3}[.)])(?:[ \t]+|$))|```|<(/?)([A-Za-z][\w-]*)[^<>]*?(/?)>|[()\[\]{}„“”«»‚‘’\"]")
+_MARKS = frozenset("`()[]{}„“”«»‚‘’\">")
+#: A list item on the stack.
+ITEM = "•"
 _TERMINATED = re.compile(r"[.!?][\"“”»«’‘'\)\]\s]*$")
 _ELLIPSIS = re.compile(r"\s*(\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|\.\.\.+|…)\s*$")
 _BROKEN = re.compile(r"(?:�+|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|\\|%[0-9A-Fa-f]?|&#?\w{0,8})\s*$")
@@ -38,11 +41,20 @@ class Structure:
 
 
 def unclosed(text: str) -> list[str]:
-    """What the pushdown automaton has on its stack at the end of the text."""
+    """What the pushdown automaton has on its stack at the end of the text.
+
+    A list item stays open if nothing follows its marker and another item stands before it.
+    """
     stack: list[str] = []
+    items = after = 0
     for m in _TOKEN.finditer(text):
         t = m.group()
-        if t == "```" or t == '"':
+        if t[-1:] not in _MARKS and not m.group(2) or t[:1] in "-*•+":
+            if ITEM in stack:  # the item before it ends
+                del stack[len(stack) - 1 - stack[::-1].index(ITEM)]
+            stack.append(ITEM)
+            items, after = items + 1, m.end()
+        elif t == "```" or t == '"':
             if t in stack:
                 del stack[len(stack) - 1 - stack[::-1].index(t) :]
             else:
@@ -58,6 +70,8 @@ def unclosed(text: str) -> list[str]:
             del stack[at:]
         elif t in _PAIRS:
             stack.append(t)
+    if ITEM in stack and (items < 2 or any(map(str.isalnum, text[after:]))):
+        stack.remove(ITEM)
     return stack
 
 
@@ -124,13 +138,19 @@ def _strip_end(sentence: str) -> str:
     return re.sub(r"[.!?…\s\"“”»«’‘')\]]+$", "", sentence)
 
 
+def in_hash_order(rows: list[tuple]) -> list[tuple]:
+    """The rows in an order that only depends on what they hold."""
+    return sorted(rows, key=lambda r: (zlib.crc32(repr(r).encode("utf-8", "replace")), repr(r)))
+
+
 def fit_end_model(rows: list[tuple[str, str | None, str]], seed: int = 7, cuts: int = 3, rounds: int = 5) -> EndModel:
     """rows: (text, source or None, kind). Complete sentences teach that they may end; cut ones that they may not.
 
     Complete are sentences with a final mark, and those without one whose source has none either and ends in the same
-    word and figures (headlines).
+    word and figures (headlines). The order of the rows changes nothing.
     """
     rng = np.random.default_rng(seed)
+    rows = in_hash_order(rows)
     whole: list[tuple[str, str | None, str]] = []
     counts: dict[str, int] = {}
     for text, source, kind in rows:
@@ -185,30 +205,38 @@ def fit_end_model(rows: list[tuple[str, str | None, str]], seed: int = 7, cuts:
 CUT, CUT_MARKED = 0.75, 0.95
 
 
-def broken_off(text: str, source: str | None, kind: str, model: EndModel) -> str | None:
-    """Why the text counts as cut off inside a sentence, or None.
+def end_evidence(text: str, source: str | None, kind: str, model: EndModel) -> tuple[str | None, float | None]:
+    """(reason, evidence): why the structure of the text says that it is cut off, or else what the model says of its end.
 
-    A final mark means completeness unless a tag is open. Without one, broken characters, hanging marks and open brackets
-    or quotations mean a cut; else the model decides on the last sentence against the source sentence in its place.
+    A final mark means completeness unless a tag is open. Without one, broken characters, hanging marks and open brackets,
+    quotations or list items mean a cut; else the model judges the last sentence against the source sentence in its place:
+    the evidence is its log-odds of completeness over those that are asked for, more of them behind an ellipsis.
     """
     st = structure(visible(text))
     if not any(map(str.isalpha, st.body)):
-        return None
+        return None, None
     if st.terminated:
-        return f"open {st.open[-1]}" if st.open and st.open[-1].startswith("<") else None
+        return (f"open {st.open[-1]}" if st.open and st.open[-1].startswith("<") else None), None
     if st.broken:
-        return "broken character"
+        return "broken character", None
+    if st.open and st.open[-1] == ITEM:
+        return "open list item", None
     parts = sentences(st.body)
     last = parts[-1]
     if still := unclosed(last):
-        return f"open {still[-1]}"
+        return f"open {still[-1]}", None
     if st.hanging:
-        return "hanging mark"
+        return "hanging mark", None
     s = None
     if source is not None:
         src = sentences(visible(source))
         s = src[len(parts) - 1] if len(parts) <= len(src) else (src[-1] if src else None)
-    p = model.complete(_strip_end(last), s, kind)
-    if p < (CUT_MARKED if st.marker else CUT):
-        return "incomplete sentence" if not st.marker else "ellipsis"
-    return None
+    p = min(max(model.complete(_strip_end(last), s, kind), 1e-9), 1 - 1e-9)
+    asked = CUT_MARKED if st.marker else CUT
+    return None, float(np.log(p / (1 - p)) - np.log(asked / (1 - asked)))
+
+
+def broken_off(text: str, source: str | None, kind: str, model: EndModel, leaning: float = 0.0) -> str | None:
+    """Why the text counts as cut off inside a sentence, or None; `leaning` is added to the evidence of completeness."""
+    reason, evidence = end_evidence(text, source, kind, model)
+    return reason if evidence is None or evidence + leaning >= 0 else "incomplete sentence"

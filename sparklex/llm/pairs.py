@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklex.llm.completeness import _TERMINATED, EndModel, broken_off, fit_end_model, structure
+from sparklex.llm.completeness import _TERMINATED, EndModel, broken_off, fit_end_model, in_hash_order, structure
 from sparklex.llm.language import NEAR_TIE, Profiles, fit_profiles, is_placeholder
 from sparklex.llm.text import fold, sentences, visible
 from sparklex.runtime import bounded_sample
@@ -18,6 +18,8 @@ from sparklex.runtime import bounded_sample
 FIT_ROWS = 12_000
 #: Replies of the sample that the model of sentence ends is fitted on.
 END_ROWS = 5_000
+#: Letters from which a sentence's language is judged by itself; evidence by which shorter ones must speak for another language.
+LONG, SHORT_MARGIN = 20, 0.6
 #: Words of the shortest tile of a copy; share of a reply's words that tiles must cover.
 TILE, COVERED = 4, 0.95
 
@@ -43,10 +45,24 @@ _REFUSALS = {
     "cs": (r"nemoh\w*|nemuz\w*|nesmim\w*|odmit\w*|nejsem schop\w*|nelze", r"pomoc\w*|pomah\w*|preloz\w*|odpoved\w*|zkontrol\w*|splni\w*|dokonc\w*|zpracov\w*|vyridi\w*|opravi\w*", r"vet\w*|ukol\w*|prosb\w*|otazk\w*|text\w*|preklad\w*|pozadav\w*|zadost\w*|t[oue]to?\b"),
     "pl": (r"nie mog\w*|nie moze\w*|nie wolno|odmawi\w*|nie jestem w stanie|nie potrafi\w*", r"pomoc\w*|pomag\w*|przetlumacz\w*|odpowiedz\w*|sprawdz\w*|wykona\w*|dokoncz\w*|przetworz\w*|poprawi\w*|zrealizow\w*", r"zdani\w*|zadani\w*|prosb\w*|pytani\w*|tekst\w*|tlumaczen\w*|t[oeya]go?\b"),
 }
-_REFUSALS = {k: tuple(re.compile(rf"\b(?:{x})") for x in v) for k, v in _REFUSALS.items()}
+_REFUSALS |= {
+    "sk": (r"nemozem|nesmiem|odmietam|nie som schopn\w*|nedokazem", r"pomoc\w*|prelozi\w*|odpoved\w*|skontrol\w*|splni\w*|dokonc\w*|sprac\w*|opravi\w*", r"vet[uay]|uloh\w*|prosb\w*|otazk\w*|text\w*|preklad\w*|poziadav\w*|ziadost\w*|t[oue]to?\b"),
+    "hr": (r"ne mogu|ne smijem|odbijam|nisam u mogucnosti", r"pomo[cz]\w*|prev[eo]\w*|odgovor\w*|provjer\w*|izvrsi\w*|dovrsi\w*|obradi\w*|ispravi\w*", r"recenic\w*|zadat\w*|molb\w*|pitanj\w*|tekst\w*|prijevod\w*|zahtjev\w*|ov[aou]\b|to\b"),
+    "ru": (r"не могу|не имею возможности|отказываюсь|не в состоянии|не буду", r"помо\w*|перев\w*|ответ\w*|выполн\w*|обработ\w*|провер\w*|исправ\w*", r"запрос\w*|задани\w*|задач\w*|просьб\w*|вопрос\w*|текст\w*|предложени\w*|эт\w*"),
+    "uk": (r"не можу|не маю змоги|відмовляюс\w*|не в змозі", r"допомог\w*|перекла\w*|відпов\w*|викона\w*|обро\w*|перевір\w*|виправ\w*", r"запит\w*|завдан\w*|прохан\w*|питан\w*|текст\w*|речен\w*|ц[еію]\w*"),
+    "nl": (r"kan[^.]* niet|mag[^.]* niet|niet in staat|weiger\w*", r"help\w*|vertal\w*|(?:be)?antwoord\w*|uitvoer\w*|verwerk\w*|controler\w*|verbeter\w*|voldoen", r"verzoek|taak|vraag|tekst|zin\b|vertaling|di?t\b|deze|hier(?:mee|bij)|daar(?:mee|bij)"),
+    "sv": (r"kan inte|far inte|vagrar|inte mojligt|ar inte i stand", r"hjalp\w*|oversatt\w*|svara\w*|utfor\w*|behandl\w*|granska\w*|ratta\w*", r"begaran|uppgift\w*|frag\w*|text\w*|mening\w*|oversattning\w*|de(?:t|n)(?: har)?\b"),
+    "fr": (r"ne p(?:eu|ui)[xs] pas|ne suis pas (?:en mesure|capable|autoris\w*)|ne pouvons pas|refuse|m['’]est impossible", r"aide\w*|tradui\w*|repond\w*|trait\w*|effectu\w*|corrig\w*|verifi\w*|complet\w*|satisfai\w*", r"demande|tache|question|texte|phrase|traduction|requete|ce(?:tte|la|ci)?\b"),
+    "es": (r"no (?:puedo|podemos|soy capaz|me es posible|estoy autorizad\w*)|me niego|no poder", r"ayud\w*|tradu\w*|respond\w*|contest\w*|complet\w*|revis\w*|corregi\w*|procesar|cumplir|atender", r"solicitud|peticion|tarea|pregunta|texto|frase|oracion|traduccion|est[aeo]\b|es[ao]\b"),
+    "it": (r"non (?:posso|possiamo|sono in grado|mi e possibile)|mi rifiuto", r"aiut\w*|tradu\w*|rispond\w*|complet\w*|elabor\w*|corregg\w*|verific\w*|soddisf\w*", r"richiesta|compito|domanda|testo|frase|traduzione|quest[oae]\b"),
+    "pt": (r"nao (?:posso|consigo|sou capaz|me e possivel)|recuso", r"ajud\w*|traduz\w*|respond\w*|complet\w*|process\w*|corrig\w*|verific\w*|atender", r"pedido|tarefa|pergunta|texto|frase|traducao|solicitacao|iss?[ot]\b|est[ae]\b"),
+}
+_REFUSALS = {k: tuple(re.compile(rf"\b(?:{fold(x)})") for x in v) for k, v in _REFUSALS.items()}
 _DENIES = re.compile("|".join(deny.pattern for deny, _, _ in _REFUSALS.values()))
 # How apologies and courtesies begin that may stand beside a refusal (without case and accents).
-_NEUTRAL = re.compile(r"\W*(?:i'?m (?:very |so |really )?sorry|i’m (?:very |so |really )?sorry|i am (?:very |so |really )?sorry|i apologi[sz]e|sorry\b|unfortunately\b|please\b|thank|es tut mir|tut mir|leider\W*$|entschuldig|verzeih|bitte\b|danke\b|bohuzel\W*$|wodaj|prosu\b|dzakuj|bozko\W*$|wodaj|pseps|pros(?:im|ze)\b|zekuj|omlouva|je mi lito|prepac|dekuj|przepraszam|przykro mi|niestety\W*$|dziekuj)")
+_NEUTRAL = re.compile(r"\W*(?:i'?m (?:very |so |really )?sorry|i’m (?:very |so |really )?sorry|i am (?:very |so |really )?sorry|i apologi[sz]e|sorry\b|unfortunately\b|please\b|thank|es tut mir|tut mir|leider\W*$|entschuldig|verzeih|bitte\b|danke\b|bohuzel\W*$|wodaj|prosu\b|dzakuj|bozko\W*$|wodaj|pseps|pros(?:im|ze)\b|zekuj|omlouva|je mi lito|prepac|dekuj|przepraszam|przykro mi|niestety\W*$|dziekuj|prepacte|zial\b|oprostite|zao mi|nazalost|izvin|prosti|sozal|jammer|helaas|het spijt|tyvarr|forlat|desole|je suis desole|malheureusement|lo siento|lamento|lamentablemente|perdon|mi dispiace|purtroppo|spiacente|desculpe|sinto muito|infelizmente|" + fold("извин|прост|к сожалению|сожале|вибач|на жаль|перепрош") + r")")
+# How verbs of asking for a text begin (without case and accents).
+_VERBS = re.compile(r"\b(?:translat|render|answer|respond|reply|write|rewrit|express|put|say|give|continu|ubersetz|antwort|beantwort|schreib|gib|formulier|ubertrag|preloz|wotmolw|napis|pseloz|wotegron|odpove|odpowiedz|przetlumacz)")
 _FIGURE = re.compile(r"\d+")
 _NAME = re.compile(r"(?<=[^\W\d_] )[A-ZÄÖÜČĆĚŁŃÓŘŔŠŚŽŹ]\w{3,}")
 _QUOTED = re.compile(r"[„“\"«»][^„“”\"«»]*[“”\"«»]")
@@ -153,8 +169,8 @@ def gives_back(reply: str, task: str) -> bool:
     """The reply is nothing but words of the task, in tiles; a text given back twice counts as given back."""
     lines = [_TOKENS.findall(s.casefold()) for s in re.split(r"\n+", reply)]
     words = [w for x in lines for w in x]
-    if len(words) < TILE:
-        return False
+    if len(words) < TILE:  # shorter than a tile: nothing but the whole text of the task
+        return len(words) > 1 and not all(w[:1].isupper() or w.isdigit() for w in _TOKENS.findall(reply)) and words == _TOKENS.findall(task_text(task).casefold())
     source = _TOKENS.findall(task.casefold())
     quick = {tuple(source[i : i + TILE]) for i in range(len(source) - TILE + 1)}
     if sum(tuple(words[i : i + TILE]) in quick for i in range(len(words) - TILE + 1)) < 0.7 * (len(words) - TILE + 1) - 2:
@@ -177,10 +193,25 @@ def task_text(user: str) -> str:
 
 
 def asked_language(user: str) -> str | None:
-    """The language that the instruction (the message's first line up to a full stop) asks for."""
-    head = fold(re.split(r"\n|(?<=[a-z])\.(?:\s|$)", user.strip(), maxsplit=1)[0])
-    found = _ASKED.findall(head)
-    return LANGUAGE_NAMES[found[-1]] if found else None
+    """The language that the message asks for.
+
+    The opening sentence counts; if it asks for none, so does every other sentence with a verb of asking, first those
+    outside of the text that is given to work on. Of several languages in a sentence the last is meant.
+    """
+    opening = _ASKED.findall(fold(re.split(r"\n|(?<=[a-z])\.(?:\s|$)", user.strip(), maxsplit=1)[0]))
+    if opening:
+        return LANGUAGE_NAMES[opening[-1]]
+    if not _ASKED.search(folded := fold(user)) or not _VERBS.search(folded):
+        return None
+    given, found = task_text(user), {}
+    for p in sentences(_SENTENCE_TAG.sub(" ", user)):
+        f = fold(p)
+        names = _ASKED.findall(f)
+        if names and (verb := _VERBS.search(f)):
+            inside = p in given
+            if not inside or verb.start() < 3:
+                found[inside] = LANGUAGE_NAMES[names[-1]]
+    return found.get(False, found.get(True))
 
 
 class Judge:
@@ -218,21 +249,33 @@ class Judge:
         for i, (t, _, user, reply) in enumerate(rows):
             if out[i] is None:
                 asked = asked_language(user)
-                parts = [s for s in sentences(_TAGS.sub(" ", visible(_OPTION.sub("", reply)))) if sum(map(str.isalpha, s)) >= 20] if asked in self.profiles.languages else []
+                parts = [s for s in sentences(_TAGS.sub(" ", visible(_OPTION.sub("", reply)))) if any(map(str.isalpha, s))] if asked in self.profiles.languages else []
                 check.append(i)
                 spans.append((asked, len(texts), len(texts) + len(parts)))
                 texts += parts
-        cos, _ = self.profiles.cosines(texts)
+        cos, letters = self.profiles.cosines(texts)
         for i, (asked, a, b) in zip(check, spans):
             task, kind, user, reply = rows[i]
-            if b > a:
-                own = cos[a:b, self.profiles.languages.index(asked)]
-                if (cos[a:b].max(1) - own > NEAR_TIE).all() and (b - a > 1 or _TERMINATED.search(_TAGS.sub(" ", reply)) or cos[a:b].max() - own.max() > 2 * NEAR_TIE):
-                    out[i] = "language"
-                    continue
+            if b > a and self.elsewhere(cos[a:b], letters[a:b], self.profiles.languages.index(asked), bool(_TERMINATED.search(_TAGS.sub(" ", reply)))):
+                out[i] = "language"
+                continue
             out[i] = self.after_language(task, kind, user, reply)
         return out
 
+    @staticmethod
+    def elsewhere(cos, letters, asked: int, terminated: bool) -> bool:
+        """The sentences are wholly in another language than the one asked for.
+
+        Each sentence of LONG letters or more must be nearer to another language. Shorter ones decide together, by their
+        evidence, where there is no other; a lone sentence without a final mark needs a wider margin.
+        """
+        long = letters >= LONG
+        if not long.any():
+            evidence = (cos * (letters[:, None] ** 0.5)).sum(0)
+            return bool(evidence.max() - evidence[asked] > (SHORT_MARGIN if terminated or len(cos) > 1 else 2 * SHORT_MARGIN))
+        far = cos[long].max(1) - cos[long, asked]
+        return bool((far > NEAR_TIE).all() and (long.sum() > 1 or terminated or far[0] > 2 * NEAR_TIE))
+
 
 def fit_judge(rows: list[tuple[str, str, str | None, list]]) -> Judge:
     """rows: (task, direction, label, messages) of the sample."""
@@ -249,36 +292,39 @@ def fit_judge(rows: list[tuple[str, str, str | None, list]]) -> Judge:
             body = _OPTION.sub("", _TAGS.sub(" ", reply))
             ends.append((body, task_text(user or "") if direction else None, direction or task))
     # A closing tag that most replies of a task end with is what its replies must end with.
-    must = {t: c.most_common(1)[0][0] for t, c in closings.items() if c.most_common(1)[0][1] > 0.6 * replies[t]}
-    return Judge(fit_profiles(texts, labels), fit_end_model(ends[:END_ROWS]), must)
+    most = {t: max(c.items(), key=lambda x: (x[1], x[0])) for t, c in closings.items()}
+    must = {t: tag for t, (tag, n) in most.items() if n > 0.6 * replies[t]}
+    return Judge(fit_profiles(texts, labels), fit_end_model(in_hash_order(ends)[:END_ROWS]), must)
 
 
 def _runner(judge: Judge):
     def run(batches):
         for batch in batches:
             keys, rows = [], []
-            for row, task, direction, messages in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for row, task, direction, messages, by in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 for no, user, reply in pairs_of(messages):
-                    keys.append((row, no))
+                    keys.append((row, no, by))
                     rows.append((task or "", direction or "", user or "", reply))
             defects = judge.judge(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array(defects, pa.string())], ["row_id", "pair_no", "defect"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array(defects, pa.string()), pa.array([k[2] for k in keys], pa.string())], ["row_id", "pair_no", "defect", "by"])
 
     return run
 
 
-def judged_pairs(training: DataFrame, judge: Judge | None = None) -> DataFrame:
-    """(row_id, pair_no, defect): every pair of every row, the defect null for a sound pair.
+def judged_pairs(training: DataFrame, judge: Judge | None = None, by: str | None = None) -> DataFrame:
+    """(row_id, pair_no, defect): every pair of every row, the defect null for a sound pair; with the column `by` if named.
 
     training has row_id, task, direction, lang and messages; other columns are not read. A null or empty list of messages
     has no pairs; a user message without a reply, or with a null one, is a pair with defect empty. Replies are judged
     whole. A repeated row_id gives the pairs of each of its rows.
     """
-    rows = training.select(F.col("row_id").cast("long"), F.lower(F.trim("task")).alias("task"), F.col("direction"), F.col("messages").cast("array<struct<role:string,content:string>>").alias("messages"))
+    chats = F.col("messages").cast("array<struct<role:string,content:string>>").alias("messages")
+    rows = training.select(F.col("row_id").cast("long"), F.lower(F.trim("task")).alias("task"), F.col("direction"), chats, (F.col(by) if by else F.lit(None)).cast("string").alias("by"))
     if judge is None:
         sample = bounded_sample(training.select("row_id", F.lower(F.trim("task")).alias("task"), "direction", "lang", "messages"), "row_id", FIT_ROWS).collect()
         judge = fit_judge([(r["task"] or "", r["direction"] or "", r["lang"], [m.asDict() if m is not None else None for m in r["messages"] or []]) for r in sample])
-    return rows.mapInArrow(_runner(judge), "row_id long, pair_no int, defect string")
+    out = rows.mapInArrow(_runner(judge), "row_id long, pair_no int, defect string, by string")
+    return out.withColumnRenamed("by", by) if by else out.drop("by")
 
 
 def defective_pairs(training: DataFrame, judge: Judge | None = None) -> DataFrame:

@@ -51,9 +51,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs and defective pairs of each mixture."""
-    judged = pairs.judged_pairs(table(spark, sf_dir, "training")).groupBy("row_id").agg(F.count("*").alias("pairs"), F.count("defect").alias("defective"))
-    return judged.join(table(spark, sf_dir, "training").select("row_id", "mixture"), "row_id").groupBy("mixture").agg(F.sum("pairs").alias("pairs"), F.sum("defective").alias("defective"))
+    """Pairs and defective pairs of each mixture, by type of defect."""
+    judged = pairs.judged_pairs(table(spark, sf_dir, "training"), by="mixture")
+    kinds = [F.count_if(F.col("defect") == d).alias(f"{d}_pairs") for d in ("empty", "truncated", "refusal", "copy", "language")]
+    return judged.groupBy("mixture").agg(F.count("*").alias("pairs"), F.count("defect").alias("defective"), *kinds)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,15 +73,17 @@ def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.canonical_texts(_sentences_of_both(spark, sf_dir)).select("field", "rec_id", "canon")
 
 
+_ORIGIN = ["system_name", "dataset_id"]
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.truncated_texts(_preds(spark, sf_dir)).select(F.col("rec_id").alias("pred_id")).distinct()
+    return truncation.truncated_texts(_preds(spark, sf_dir), origin=_ORIGIN).select(F.col("rec_id").alias("pred_id")).distinct()
 
 
 def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and truncated rows for each system_name and dataset_id."""
-    preds = _preds(spark, sf_dir)
-    judged = truncation.judged_texts(preds).groupBy("rec_id").agg(F.max(F.col("reason").isNotNull()).alias("cut"))
-    return preds.select("rec_id", "system_name", "dataset_id").join(judged, "rec_id").groupBy("system_name", "dataset_id").agg(F.count("*").alias("rows"), F.count_if("cut").alias("truncated"), F.avg(F.col("cut").cast("double")).alias("rate"))
+    judged = truncation.judged_texts(_preds(spark, sf_dir), origin=_ORIGIN)
+    return judged.groupBy(*_ORIGIN).agg(F.count("*").alias("rows"), F.count("reason").alias("truncated"), F.avg(F.col("reason").isNotNull().cast("double")).alias("rate"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ def test_pushdown():
     assert completeness.unclosed("<a> x <b> y </b>") == ["<a>"] and completeness.unclosed("<br> x <i/>") == []
     assert completeness.unclosed("```x") == ["```"] and completeness.unclosed("```x```") == []
     assert completeness.unclosed("„a „b“") == ["„"]
+    assert completeness.unclosed("- a\n- b\n-") == completeness.unclosed("a\n1. x\n2.") == ["•"] and completeness.unclosed("- a\n- b") == completeness.unclosed("2.") == completeness.unclosed("– nic\n- a") == []
+    assert completeness.unclosed("1. a (b\n2. c") == ["("] and completeness.unclosed("```\n- a\n- ") == ["```", "•"]
     for text, want in (("abc�", "broken"), ("abc\\u00", "broken"), ("x <corr", "broken"), ("abc,", "hanging"), ("abc.", "terminated"), ("abc.“", "terminated")):
         assert getattr(completeness.structure(text), want), text
     assert completeness.structure("abc [...]").marker == "[...]" and completeness.structure("abc…").body == "abc"
@@ -79,6 +81,21 @@ def test_truncated_texts(spark, end_model):
     assert truncation.truncated_texts(long, end_model).count() == 1
 
 
+def test_a_missing_mark_is_weighed_by_its_origin(spark, preds, end_model):
+    """An origin that leaves marks off whole sentences is believed more than one that doesn't."""
+    whole = [r for r in preds.collect() if r["text"] and r["text"].endswith(".") and r["source"] and r["source"].endswith(".")][:400]
+    near = [r for r in preds.collect() if r["text"] and r["source"] and (e := completeness.end_evidence(r["text"].rstrip(".!? "), r["source"], r["kind"], end_model)[1]) is not None and -completeness.np.log(1.6) < e < completeness.np.log(1.6)][:20]
+    assert near
+    data = [(i, r["source"], r["kind"], r["text"][:-1] if o == "lax" else r["text"][:30], o) for o in ("lax", "strict") for i, r in enumerate(whole)]
+    data += [(1000 + i, r["source"], r["kind"], r["text"].rstrip(".!? "), o) for o in ("lax", "strict") for i, r in enumerate(near)]
+    df = spark.createDataFrame([*data, (5000, None, None, None, None), (5001, None, None, "", "other")], "rec_id long, source string, kind string, text string, site string").withColumns({"origin": F.lit(1), "n": F.lit(2)})
+    got = truncation.judged_texts(df, end_model, ["site"])
+    assert got.columns == ["rec_id", "reason", "site"] and got.count() == len(data) + 2
+    cut = {o: got.where(F.col("rec_id").between(1000, 1999) & (F.col("site") == o) & F.col("reason").isNotNull()).count() for o in ("lax", "strict")}
+    assert cut["lax"] < cut["strict"]
+    assert [r["site"] for r in got.where("rec_id >= 5000").orderBy("rec_id").collect()] == [None, "other"]
+
+
 # Languages
 
 
@@ -181,12 +198,32 @@ def test_refusals_with_figures_length_and_apologies():
     assert pairs.declines("I'm sorry, but I can't help with this text.", source)
 
 
+def test_refusals_in_other_languages():
+    for text in ("No puedo ayudar con esta solicitud.", "Lo siento. No puedo traducir este texto.", "Je ne peux pas traduire cette phrase.", "Извините, я не могу перевести этот текст.", "Não posso ajudar com este pedido.", "Ik kan deze zin niet vertalen.", "Jag kan inte översätta den här texten.", "Mi dispiace, non posso tradurre questa frase.", "Вибачте, я не можу перекласти цей текст.", "Žao mi je. Ne mogu prevesti ovu rečenicu.", "Prepáčte, nemôžem preložiť túto vetu."):
+        assert pairs.is_refusal(text), text
+    for text in ("El perro no puede dormir.", "Il chien dort.", "Он не может спать."):
+        assert not pairs.is_refusal(text), text
+
+
+def test_asked_language_is_read_from_the_whole_message():
+    for user, want in (("Please help. Translate into German: x", "de"), ("Here is a sentence.\nTranslate it into German.", "de"), ("From German to Upper Sorbian, please\n\nGerman: Ich fahre.\nUpper Sorbian:", "hsb"), ("Fix the sentence.\n<sentence> Er antwortet auf Deutsch </sentence>", None), ("Translate into Czech.\n\nHe may answer in German.", "cs"), ("", None)):
+        assert pairs.asked_language(user) == want, user
+
+
+def test_short_copies_and_short_foreign_replies(profiles):
+    assert pairs.gives_back("tři małe kočki", "Translate into German: tři małe kočki") and not pairs.gives_back("Jan Nowak 17", "Translate: Jan Nowak 17") and not pairs.gives_back("4", "4") and not pairs.gives_back("tři kočki", "Translate: tři małe kočki")
+    at = profiles.languages.index("hsb")
+    for reply, want in (("Das ist sehr gut. Ich bin da. Er ist hier.", True), ("To je dobre. Sym tu. Wón je tam.", False), ("Das Haus ist heute sehr schön.", True), ("17.", False)):
+        cos, letters = profiles.cosines(completeness.sentences(reply))
+        assert pairs.Judge.elsewhere(cos, letters, at, True) == want, reply
+
+
 def test_tiling():
     task = "a b c d e f g h".split()
     assert pairs.tiled_share("a b c d e f g h".split(), task) == 1 and pairs.tiled_share("x y z".split(), task) == 0
     assert pairs.tiled_share("d e f g a b c x".split(), task) == 0.5 and pairs.tiled_share([], task) == 0
     assert pairs.gives_back("„A B C d e f G h“", "task: a b c d e f g h.") and pairs.gives_back("a b c d e\na b c d e", "a b c d e")
-    assert not pairs.gives_back("a b c d x y z", "a b c d e f") and not pairs.gives_back("a b", "a b")
+    assert not pairs.gives_back("a b c d x y z", "a b c d e f") and pairs.gives_back("a b", "a b") and not pairs.gives_back("a", "a")
 
 
 def test_defective_pairs(spark):
