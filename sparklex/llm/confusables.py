@@ -1,9 +1,10 @@
 """Problem 3: texts that look the same but are stored in different characters.
 
 Width, kinds of blanks, zero-width characters and combining accents are brought to one form for every text. Look-alike
-letters are repaired by script: the dominant script of each token (of the text, for a token of look-alikes alone) is
-found, and a token with letters of another script is rewritten only if the result occurs in the corpus in another
-spelling. The corpus vocabulary is a table that is joined, never broadcast, so it may grow with the data.
+letters are repaired by script: the dominant script of each token is that of its letters which look like none of another
+script (for a token without such letters, that of the text). A token with letters of another script is rewritten into its
+dominant script if the result occurs in the corpus in another spelling. The corpus vocabulary is a table that is joined,
+never broadcast, so it may grow with the data.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparklex.llm.text import LOOKALIKES, skeleton, visible
-from sparklex.runtime import checkpointed, fingerprint, join_groups
+from sparklex.runtime import HOT_ROWS, checkpointed, fingerprint, join_groups
 
 #: Characters that are their own canonical form (fixed values): Latin letters with precomposed accents, ASCII, dashes, quotes and other marks.
 _PLAIN_CHARACTERS = "\\u0020-\\u007E\\u00A1-\\u00AC\\u00AE-\\u0240\\u2012-\\u2027\\u2030-\\u203A\\u20AC"
@@ -32,17 +33,66 @@ def script(ch: str) -> str:
     return next((s for s in ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE") if name.startswith(s)), "OTHER")
 
 
+def _twins(of: str) -> dict[str, str]:
+    """Latin letters and the letter of the script that each of them looks like, the first in the table."""
+    out: dict[str, str] = {}
+    for other, latin in LOOKALIKES.items():
+        if script(other) == of and len(latin) == 1:
+            out.setdefault(latin, other)
+    return out
+
+
+#: For scripts other than Latin: the Latin letters that look like one of the script's.
+TWINS = {s: _twins(s) for s in ("CYRILLIC", "GREEK")}
+
+
+def _base(ch: str) -> str:
+    return ch if ch <= "\u02ff" else unicodedata.normalize("NFD", ch)[0]
+
+
 def _foreign(ch: str) -> bool:
-    """A look-alike, also under an accent."""
-    return ch in _ALIKE or ch > "\u02ff" and unicodedata.normalize("NFD", ch)[0] in _ALIKE
+    """A letter of another script that looks like a Latin one, also under an accent."""
+    return ch in _ALIKE or ch > "\u02ff" and _base(ch) in _ALIKE
+
 
+def dominant_script(token: str) -> str | None:
+    """The script of the token's letters that look like none of another script; None if there are none or several.
+
+    Against Latin only a look-alike's own letter counts; against Cyrillic and Greek, Latin letters with a twin don't count.
+    """
+    clear = {script(ch) for ch in token if ch.isalpha() and not _foreign(ch)}
+    if clear <= {"LATIN"}:
+        return "LATIN" if clear else None
+    others = clear - {"LATIN"}
+    if len(others) > 1:
+        return None
+    own = others.pop()
+    latin = [ch for ch in token if script(ch) == "LATIN"]
+    return own if all(_base(unicodedata.normalize("NFD", ch)[0]) in TWINS.get(own, {}) for ch in latin) else None
+
+
+def in_script(token: str, own: str) -> str:
+    """The token with every letter that looks like one of the script exchanged for it."""
+    if own == "LATIN":
+        return skeleton(token)
+    twins = TWINS.get(own, {})
+    spread = "".join(twins.get(ch, ch) if script(ch) == "LATIN" else _other_twin(ch, own) for ch in unicodedata.normalize("NFD", token))
+    return unicodedata.normalize("NFC", spread)
 
-def mixed_tokens(text: str) -> list[str]:
-    """Tokens in which look-alikes stand among Latin letters, and tokens of look-alikes alone in a text mostly Latin.
 
-    Tokens with a letter that looks like no Latin one keep their script.
+def _other_twin(ch: str, own: str) -> str:
+    """A look-alike of a third script by way of its Latin twin."""
+    latin = LOOKALIKES.get(ch)
+    return TWINS[own].get(latin, ch) if latin is not None and script(ch) != own else ch
+
+
+def mixed_tokens(text: str) -> list[tuple[str, str]]:
+    """(token, its form in its dominant script) of the tokens that hold letters of another script.
+
+    A token of look-alikes alone is one if the text is mostly Latin. Tokens whose letters look like none of the dominant
+    script's keep them.
     """
-    if not any(map(_foreign, text)):
+    if not any(map(_foreign, text)) and not any(script(ch) not in ("", "LATIN") for ch in text if ch > "\u02ff"):
         return []
     latin = other = 0
     for ch in text:
@@ -53,18 +103,19 @@ def mixed_tokens(text: str) -> list[str]:
                 other += 1
     out = []
     for token in dict.fromkeys(_LETTERS.findall(text)):
-        alike = sum(map(_foreign, token))
-        if not alike:
+        if token.isascii():
             continue
-        own = [script(ch) for ch in token if ch.isalpha() and not _foreign(ch)]
-        if own and all(s == "LATIN" for s in own) or not own and latin > other:
-            out.append(token)
+        own = dominant_script(token)
+        if own is None and latin > other and not any(script(ch) == "OTHER" for ch in token) and all(_foreign(ch) or not ch.isalpha() for ch in token):
+            own = "LATIN"
+        if own is not None and (form := in_script(token, own)) != token:
+            out.append((token, form))
     return out
 
 
 def _look(texts: pd.Series) -> pd.DataFrame:
     base = [None if t is None else visible(t).strip(" ") for t in texts]
-    mixed = [[] if b is None else [(t, skeleton(t)) for t in mixed_tokens(b)] for b in base]
+    mixed = [[] if b is None else mixed_tokens(b) for b in base]
     return pd.DataFrame({"base": base, "mixed": mixed})
 
 
@@ -111,14 +162,24 @@ def canonical_texts(texts: DataFrame, field: str = "field", rec_id: str = "rec_i
 def alike_pairs(texts: DataFrame, **names) -> DataFrame:
     """(field, id_a, id_b): rows of one field, id_a < id_b, with one canonical form but unlike characters.
 
-    Texts that are empty in their canonical form make no pairs. Rows that repeat one text make none among themselves, so
-    only forms with two spellings or more are joined, and groups of exact copies never are.
+    Texts that are empty in their canonical form make no pairs. Rows that repeat one text make none among themselves: pairs
+    are made of the distinct spellings of a form and then given their rows, first those of the rarer spelling. Rows of a
+    spelling with many copies are joined by a broadcast, so they never meet in one task; only what comes out is joined.
     """
     canon = canonical_texts(texts, **names).where("canon <> ''")
     k1, k2 = fingerprint("field", "canon")
     rows = checkpointed(canon.select("field", "rec_id", k1, k2, F.xxhash64("text").alias("s1"), F.xxhash64(F.lit("s"), F.col("text")).alias("s2")))
-    groups = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("s1").alias("lo1"), F.max("s1").alias("hi1"), F.min("s2").alias("lo2"), F.max("s2").alias("hi2")).where("lo1 <> hi1 or lo2 <> hi2").select("k1", "k2", "n")
-    varied = join_groups(rows, groups, ["k1", "k2"], "n").drop("n")
-    a = varied.select("field", "k1", "k2", F.col("rec_id").alias("id_a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
-    b = varied.select("field", "k1", "k2", F.col("rec_id").alias("id_b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-    return a.join(b, ["field", "k1", "k2"]).where("id_a < id_b and (a1 <> b1 or a2 <> b2)").select("field", "id_a", "id_b").distinct()
+    spellings = rows.groupBy("k1", "k2", "s1", "s2").agg(F.count("*").alias("n"))
+    varied = checkpointed(spellings.join(spellings.groupBy("k1", "k2").agg(F.count("*").alias("forms")).where("forms > 1"), ["k1", "k2"], "left_semi"))
+    one = varied.select("k1", "k2", F.struct("n", "s1", "s2").alias("few"))
+    two = varied.select("k1", "k2", F.struct("n", "s1", "s2").alias("many"))
+    pairs = checkpointed(one.join(two, ["k1", "k2"]).where("few < many").select("k1", "k2", F.col("few.s1").alias("a1"), F.col("few.s2").alias("a2"), F.col("few.n").alias("a_rows"), F.col("many.s1").alias("b1"), F.col("many.s2").alias("b2"), F.col("many.n").alias("b_rows")))
+    key = ["k1", "k2", "a1", "a2"]
+    half = join_groups(rows.select("field", "k1", "k2", F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("rec_id").alias("x")), pairs, key, "a_rows")
+    half = half.select("k1", "k2", "b1", "b2", "b_rows", "x")
+    if not varied.where(F.col("n") >= HOT_ROWS).isEmpty():
+        half = checkpointed(half)
+        whole = join_groups(rows.select("field", "k1", "k2", F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("rec_id").alias("y")), half, ["k1", "k2", "b1", "b2"], "b_rows")
+    else:
+        whole = rows.select("field", "k1", "k2", F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("rec_id").alias("y")).join(half, ["k1", "k2", "b1", "b2"])
+    return whole.where("x <> y").select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

@@ -8,6 +8,7 @@ text. A record becomes the sorted tuple of its (field, value) identifiers; tuple
 from __future__ import annotations
 
 import json
+import re
 import struct
 import unicodedata
 from hashlib import blake2b
@@ -26,9 +27,23 @@ _KEEP = _Lazy(lambda ch: None if unicodedata.category(ch)[0] in "PZC" else ch)
 _NO_BLANKS = _Lazy(lambda ch: None if unicodedata.category(ch)[0] in "ZC" else ch)
 
 
+# What stands for a decimal mark, for the space between two figures and for a sign.
+DECIMAL, APART, SIGN = "␞", "␟", "␝"
+_DECIMAL = re.compile(r"(?<=[0-9])[.,](?=[0-9])")
+_APART = re.compile(r"(?<=[0-9])[\W_]+(?=[0-9])")
+_SIGN = re.compile(r"(?<!\S)[-−](?=[0-9])")
+
+
 def canonical_text(value: str) -> str:
-    """Without white space, punctuation and letter case (ß equals SS); accents, figures and symbols stay."""
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", value).casefold()).translate(_KEEP)
+    """Without white space, punctuation and letter case (ß equals SS); accents, figures and symbols stay.
+
+    Figures stay what they are: a point or comma within one is its decimal mark, a minus before one its sign, and two
+    figures with anything else between them don't become one.
+    """
+    text = unicodedata.normalize("NFC", unicodedata.normalize("NFC", value).casefold())
+    if any(map(str.isdigit, text)):
+        text = _APART.sub(lambda m: m.group().translate(_KEEP) or APART, _DECIMAL.sub(DECIMAL, _SIGN.sub(SIGN, text)))
+    return text.translate(_KEEP)
 
 
 def canonical_id(value: str) -> str:
@@ -36,12 +51,17 @@ def canonical_id(value: str) -> str:
     return unicodedata.normalize("NFC", value).casefold().translate(_NO_BLANKS)
 
 
-def _plain(value) -> str:
+def canonical_value(value) -> str:
+    """The canonical form of any JSON value: lists and objects keep their structure, only their texts lose formatting."""
     if isinstance(value, str):
-        return value
-    if value is None or isinstance(value, bool):
-        return f"\x01{value}"
-    return "\x02" + json.dumps(value, ensure_ascii=False, sort_keys=True)
+        return canonical_text(value)
+
+    def inner(x):
+        if isinstance(x, dict):
+            return {k: inner(v) for k, v in x.items()}
+        return [inner(v) for v in x] if isinstance(x, list) else canonical_text(x) if isinstance(x, str) else x
+
+    return "\x01" + json.dumps(inner(value), ensure_ascii=False, sort_keys=True)
 
 
 def _encoder(id_fields: frozenset[str]):
@@ -58,18 +78,14 @@ def _encoder(id_fields: frozenset[str]):
                     continue
                 parts = []
                 for item in record.items():
-                    try:
-                        code = codes.get(item)
-                    except TypeError:  # a list or an object
-                        item = (item[0], _plain(item[1]))
-                        code = codes.get(item)
+                    field, value = item
+                    plain = item if isinstance(value, str) else (field, canonical_value(value), None)
+                    code = codes.get(plain)
                     if code is None:
                         if len(codes) >= DICTIONARY:
                             codes.clear()
-                        field, value = item[0], _plain(item[1])
-                        mark = value[:1] if value[:1] in ("\x01", "\x02") else ""
-                        canon = mark + (canonical_id(value) if field in id_fields else canonical_text(value))
-                        code = codes[item] = blake2b(f"{field}\0{canon}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                        canon = plain[1] if len(plain) == 3 else canonical_id(value) if field in id_fields else canonical_text(value)
+                        code = codes[plain] = blake2b(f"{field}\0{canon}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
                     parts.append(code)
                 parts.sort()
                 a, b = struct.unpack("<qq", blake2b(b"".join(parts), digest_size=16).digest())

@@ -110,13 +110,28 @@ def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_segments(_labelled_texts(spark, sf_dir)).select("field", "rec_id", "label", "seg_no", "lang", F.round("confidence", 4).alias("confidence"))
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages")).select("doc_id", "item_id")
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each leak with its longest run of words and the words of the document that it covers."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id", F.col("longest").cast("long").alias("longest"), F.col("covered").cast("long").alias("covered"))
 
 
 def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item that leaked, with the number of documents that hold it and the longest run of words."""
-    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages")).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("longest").alias("longest"))
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("longest").cast("long").alias("longest"))
+
+
+def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold leaked spans, without them; those of which more than half would go have no text."""
+    documents = table(spark, sf_dir, "documents")
+    return leakage.cleaned_documents(documents, leakage.leaked_items(documents, table(spark, sf_dir, "eval_passages")), max_share=0.5)
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +164,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 # The same results stated plainly in SQL, by other means than the operators'.
 
-_CANON = "regexp_replace(replace(lower(nfc_normalize(v)), 'ß', 'ss'), case when k in ('dataset_id', 'sent_id', 'id') then '[\\p{Z}\\p{C}]' else '[\\p{P}\\p{Z}\\p{C}]' end, '', 'g')"
+_SIGNED = "regexp_replace(lower(nfc_normalize(v)), '(^|[\\p{Z}\\s])[-−]([0-9])', '\\1␝\\2', 'g')"
+for _pair in ("[.,]", "[.,]", "[\\p{P}\\p{Z}\\p{C}]+", "[\\p{P}\\p{Z}\\p{C}]+"):  # overlapping matches need two passes
+    _SIGNED = f"regexp_replace({_SIGNED}, '([0-9]){_pair}([0-9])', '\\1{'␞' if _pair == '[.,]' else '␟'}\\2', 'g')"
+_CANON = f"case when k in ('dataset_id', 'sent_id', 'id') then regexp_replace(replace(lower(nfc_normalize(v)), 'ß', 'ss'), '[\\p{{Z}}\\p{{C}}]', '', 'g') else regexp_replace(replace({_SIGNED}, 'ß', 'ss'), '[\\p{{P}}\\p{{Z}}\\p{{C}}]', '', 'g') end"
 _RECORDS = f"""with j as (select line_id, cast(payload as json) as j from raw_lines where payload is not null and json_valid(payload) and try_cast(payload as json) is not null),
 f as (select line_id, k, json_extract_string(j, '$."' || k || '"') as v from (select line_id, j, unnest(json_keys(j)) as k from j where json_type(j) = 'OBJECT')),
 r as (select line_id, string_agg(k || chr(1) || coalesce({_CANON}, chr(2)), chr(3) order by k) as record from f group by line_id),
@@ -164,6 +182,16 @@ def _grams(key: str, table_name: str) -> str:
     return f"select {key}, array_to_string(t[i:i + 7], ' ') as gram from (select {key}, t, unnest(generate_series(1, len(t) - 7)) as i from (select {key}, {_folded('text')} as t from {table_name} where text is not null) where len(t) >= 8)"
 
 
+def _placed_grams(key: str, place: str, table_name: str) -> str:
+    return f"select {key}, i as {place}, array_to_string(t[i:i + 7], ' ') as gram from (select {key}, t, unnest(generate_series(1, len(t) - 7)) as i from (select {key}, {_folded('text')} as t from {table_name} where text is not null) where len(t) >= 8)"
+
+
+# A run of words is a diagonal of runs of eight without a gap.
+_RUNS = f"""with d as ({_placed_grams('doc_id', 'dpos', 'documents')}), p as ({_placed_grams('item_id', 'ipos', 'eval_passages')}),
+m as (select doc_id, cast(item_id as bigint) as item_id, dpos, ipos from d join p using (gram)), r as (select *, dpos - row_number() over (partition by doc_id, item_id, dpos - ipos order by dpos) as g from m),
+l as (select doc_id, item_id, max(n) as longest from (select doc_id, item_id, count(*) + 7 as n from r group by doc_id, item_id, dpos - ipos, g) group by doc_id, item_id)"""
+
+
 def _looks(x: str) -> str:
     wide = "".join(chr(0xFF01 + i) for i in range(94))
     narrow = "".join(chr(0x21 + i) for i in range(94))
@@ -178,5 +206,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": f"{_RECORDS} select first_id, line_id as copy_id from g where line_id > first_id",
         "p2_records": f"{_RECORDS} select first_id, count(*) as copies from g group by first_id",
         "p3_found": f"with t as ({alike}) select a.field, a.id as id_a, b.id as id_b from t a join t b on a.field = b.field and a.look = b.look and a.id < b.id and a.text <> b.text where a.look <> ''",
+        "p8_items": f"{_RUNS} select item_id, count(*) as documents, max(longest) as longest from l group by item_id",
+        "p8_spans": f"{_RUNS}, c as (select doc_id, item_id, count(distinct dpos + k) as covered from m, (select unnest(generate_series(0, 7)) as k) group by all) select doc_id, item_id, longest, covered from l join c using (doc_id, item_id)",
         "p8_found": f"with d as ({_grams('doc_id', 'documents')}), p as ({_grams('item_id', 'eval_passages')}) select distinct doc_id, cast(item_id as bigint) as item_id from d join p using (gram)",
     }

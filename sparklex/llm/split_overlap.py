@@ -21,17 +21,15 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparklex.llm.bloom import Bloom, Hashes, build_bloom, mix
 from sparklex.llm.text import WORD, fold
 from sparklex.runtime import HOT_ROWS, checkpointed, join_groups
 
 #: Changed words that an item may have.
 EDITS = 2
-#: Bits of the filter: so many a seed, at most MOST_BITS in all (256 MB in a task), which is enough for some 200 M seeds.
-BITS_A_KEY, MOST_BITS = 32, 1 << 31
 #: Suffixes of messages, about, in one range of the array.
 RANGE_ROWS = 50_000
 #: Pairs of suffixes that are written down at a time.
@@ -45,7 +43,6 @@ _COLUMNS = 2 + _KEY_WORDS + 1
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _R = np.uint64(0x165667B19E3779F9)
-_PIECE = 1 << 13  # bytes of the filter in one row
 
 
 def allowed(n: int) -> int:
@@ -62,26 +59,10 @@ def _width(code: np.ndarray) -> np.ndarray:
     return np.where(code == _GAPPED, 2, code)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Hashes(dict):
-    """64-bit hash of a word; the lowest bit tells whether it holds a figure."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 2_000_000:
-            self.clear()
-        got = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) & ~1 | any(map(str.isdigit, word))
-        return got
-
-
 class Laid:
     """The words of several texts end to end: their hashes, each place's text and its ends, and the nearest figures."""
 
-    def __init__(self, tokens: list[list[str]], hashes: _Hashes):
+    def __init__(self, tokens: list[list[str]], hashes: Hashes):
         counts = np.array([len(t) for t in tokens], np.int64)
         self.h = h = np.array([hashes[w] for t in tokens for w in t], np.uint64)
         n = len(h)
@@ -119,7 +100,7 @@ class Laid:
 
     def keys(self, at: np.ndarray, gram: np.ndarray, code: int, side: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return _mix(gram * _P + self.figure[side][at] * _Q + np.uint64(code * 4 + side + 1) * _R)
+            return mix(gram * _P + self.figure[side][at] * _Q + np.uint64(code * 4 + side + 1) * _R)
 
     def own_sides(self) -> np.ndarray:
         """Where an item's suffix has its figure: 1 from its place on, 2 before it, 0 nowhere."""
@@ -163,74 +144,19 @@ class Laid:
         return out
 
 
-class Bloom:
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.mask = bits, np.uint64(len(bits) * 8 - 1)
-
-    @staticmethod
-    def places(keys: np.ndarray, mask: np.uint64):
-        with np.errstate(over="ignore"):
-            return (keys & mask, (keys >> np.uint64(31)) & mask, _mix(keys ^ _Q) & mask)
-
-    def may_hold(self, keys: np.ndarray) -> np.ndarray:
-        ok = np.ones(len(keys), bool)
-        for p in self.places(keys, self.mask):
-            left = np.flatnonzero(ok)
-            p = p[left]
-            ok[left] = (self.bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
-        return ok
-
-
 def _item_keys(laid: Laid) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *(laid.keys(at, gram, code, side) for code, side, at, gram, _ in laid.item_seeds())])
 
 
-def _class_keys(batch: pa.RecordBatch, hashes: _Hashes) -> np.ndarray:
+def _class_keys(batch: pa.RecordBatch, hashes: Hashes) -> np.ndarray:
     return _item_keys(Laid([t.split(" ") for t in batch.column(0).to_pylist()], hashes))
 
 
-def _text_keys(batch: pa.RecordBatch, hashes: _Hashes) -> np.ndarray:
+def _text_keys(batch: pa.RecordBatch, hashes: Hashes) -> np.ndarray:
     laid, kinds = _placed(batch.column(0), batch.column(1), hashes)
     return np.concatenate([np.zeros(0, np.uint64), *(laid.keys(at, laid.gram(at, code, gap), code, side) for code, side, gap, at in kinds)])
 
 
-def build_bloom(rows: DataFrame, keys_of, count: int) -> Bloom:
-    """The filter over the seeds of rows: each task fills pieces of it, which are joined bit by bit before they are read."""
-    size = 1 << 16
-    while size < min(MOST_BITS, count * BITS_A_KEY):
-        size *= 2
-    mask = np.uint64(size - 1)
-
-    def fill(batches):
-        """Pieces of the filter: the bits themselves, or the numbers of those that are set if they are shorter."""
-        bits, hashes = np.zeros(size // 8, np.uint8), _Hashes()
-        for batch in batches:
-            for p in Bloom.places(keys_of(batch, hashes), mask):
-                np.bitwise_or.at(bits, (p >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (p & np.uint64(7)).astype(np.uint8)))
-        pieces = []
-        for i in range(0, len(bits), _PIECE):
-            piece = bits[i : i + _PIECE]
-            if piece.any():
-                few = np.flatnonzero(np.unpackbits(piece, bitorder="little")) if np.count_nonzero(piece) < _PIECE // 4 else None
-                pieces.append((i, piece.tobytes() if few is None or 2 * len(few) >= _PIECE else few.astype("<u2").tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pieces], pa.int64()), pa.array([b for _, b in pieces], pa.binary())], ["at", "bits"])
-
-    def whole(piece: bytes) -> np.ndarray:
-        if len(piece) == _PIECE:
-            return np.frombuffer(piece, np.uint8)
-        bits = np.zeros(8 * _PIECE, np.uint8)
-        bits[np.frombuffer(piece, "<u2")] = 1
-        return np.packbits(bits, bitorder="little")
-
-    def unite(pdf):
-        return pdf.iloc[:1].assign(bits=[np.bitwise_or.reduce([whole(b) for b in pdf["bits"]]).tobytes()])
-
-    bits = np.zeros(size // 8, np.uint8)
-    for r in rows.mapInArrow(fill, "at long, bits binary").groupBy("at").applyInPandas(unite, "at long, bits binary").collect():
-        bits[r["at"] : r["at"] + _PIECE] = np.frombuffer(r["bits"], np.uint8)
-    return Bloom(bits)
-
-
 def _normal(batches):
     """The items' words; an item of two words also has them exchanged."""
     for batch in batches:
@@ -247,7 +173,7 @@ def _scan(bloom: Bloom, kinds: list[tuple[int, int]]):
     """Messages that hold a seed: their words, and the places, kinds and gaps of their seeds in one number each."""
 
     def run(batches):
-        hashes = _Hashes()
+        hashes = Hashes()
         for batch in batches:
             tokens = [WORD.findall(fold(t)) for t in batch.column(1).to_pylist()]
             laid = Laid(tokens, hashes)
@@ -291,7 +217,7 @@ def _suffix_batch(rows: list[tuple], item: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), _binary(keys), pa.array(np.full(len(keys), item)), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(pos, pa.int32()), _binary(context)], ["range", "key", "item", "k1", "k2", "pos", "context"])
 
 
-def _placed(norm: pa.Array, places: pa.Array, hashes: _Hashes):
+def _placed(norm: pa.Array, places: pa.Array, hashes: Hashes):
     """The messages laid out, and (code, side, gap, places) of each kind of their seeds."""
     tokens = [t.split(" ") for t in norm.to_pylist()]
     begin = np.cumsum([0, *map(len, tokens)])[:-1]
@@ -301,7 +227,7 @@ def _placed(norm: pa.Array, places: pa.Array, hashes: _Hashes):
 
 def _message_suffixes(bounds: list[bytes]):
     def run(batches):
-        hashes = _Hashes()
+        hashes = Hashes()
         for batch in batches:
             m1, m2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
             laid, kinds = _placed(batch.column(0), batch.column(1), hashes)
@@ -319,7 +245,7 @@ def _item_suffixes(bounds: list[bytes], met: Bloom):
     """The items' suffixes that a message's may meet, each in all ranges that its seed reaches into."""
 
     def run(batches):
-        hashes = _Hashes()
+        hashes = Hashes()
         for batch in batches:
             k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             laid = Laid([t.split(" ") for t in batch.column(0).to_pylist()], hashes)
@@ -503,7 +429,7 @@ def _verify(batches):
 
 def _kinds(batches):
     """(code, side, count) of the items' seeds in each batch."""
-    hashes = _Hashes()
+    hashes = Hashes()
     for batch in batches:
         laid = Laid([t.split(" ") for t in batch.column(0).to_pylist()], hashes)
         rows = [(code, side, len(at)) for code, side, at, _, _ in laid.item_seeds()]

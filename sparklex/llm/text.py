@@ -98,6 +98,12 @@ _FOLD_SCRIPT = _Lazy(_fold_script)
 WORD = re.compile(r"[^\W_]+")
 
 
+def folded_script(ch: str) -> str:
+    """A character without case and accents: none, one or more."""
+    return _FOLD_SCRIPT[ord(ch)] or ""
+
+
+
 def words(text: str) -> list[str]:
     """Runs of letters and digits without case and accents."""
     return WORD.findall(text.translate(_FOLD_SCRIPT))

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sparklex import runtime
 from sparklex.llm import confusables, leakage, split_overlap
 from sparklex.llm import formatting_duplicates as fd
 from sparklex.llm.text import fold, sentences, skeleton, visible, words
@@ -57,6 +58,21 @@ def test_formatting_copies(spark):
     assert fd.formatting_copies(df.unionByName(df)).count() == 2
 
 
+def test_figures_and_structure_stay():
+    same = [("3.5 m", "3,5  m."), ("a, b-c", "A b c!"), ("17 – 4", "17-4"), ("−5 °", "-5°"), ("3 + 5", "3+5")]
+    unlike = [("3.5", "35"), ("-5", "5"), ("17 4", "174"), ("5 -3", "5 3"), ("3+5", "3-5"), ("é", "e"), ({"a": "b c"}, {"ab": "c"}), (["ab", "c"], ["a", "bc"]), (["a"], "a"), ([1], ["x"]), (None, False), ({"a": [1, 2]}, {"a": [12]}), (["a", "b"], ["b", "a"])]
+    for a, b in same:
+        assert fd.canonical_value(a) == fd.canonical_value(b), (a, b)
+    for a, b in unlike:
+        assert fd.canonical_value(a) != fd.canonical_value(b), (a, b)
+    assert fd.canonical_value({"b": "X y", "a": ["Straße."]}) == fd.canonical_value({"a": ["STRASSE"], "b": "xy!"})
+
+
+def test_nested_payloads(spark):
+    df = lines(spark, ['{"id": 1, "x": {"a": "b c"}}', '{"id": 1, "x": {"ab": "c"}}', '{"x": {"a": "B, c"}, "id": "1"}', '{"id": 1, "x": -5}', '{"id": 1, "x": 5}', '{"id": 1, "x": "-5"}', '{"id": 1, "x": 3.5}', '{"id": 1, "x": 35}', '{"id": 1, "x": true}', '{"id": 1, "x": "true"}'])
+    assert rows(fd.formatting_copies(df), "first_id", "copy_id") == [(1, 3), (4, 6)]
+
+
 def test_hot_record_and_long_values(spark):
     df = spark.range(1, 3001).select(F.col("id").alias("line_id"), F.when(F.col("id") % 3 > 0, F.lit('{"id": 1, "source": "' + "dołho " * 20000 + '"}')).otherwise(F.concat(F.lit('{"id": '), "id", F.lit("}"))).alias("payload")).where("line_id < 300")
     got = fd.formatting_copies(df)
@@ -102,9 +118,26 @@ def test_accents_on_lookalikes(spark):
 
 
 def test_tokens_that_may_be_repaired():
-    assert confusables.mixed_tokens("Skеlaban je") == ["Skеlaban"]
+    assert confusables.mixed_tokens("Skеlaban je") == [("Skеlaban", "Skelaban")]
     assert confusables.mixed_tokens("Привет Хорошо") == [] and confusables.mixed_tokens("plain") == []
-    assert confusables.mixed_tokens("to je а b") == ["а"] and confusables.mixed_tokens("Δχ μ") == []
+    assert confusables.mixed_tokens("to je а b") == [("а", "a")] and confusables.mixed_tokens("Δχ μ") == []
+    assert confusables.mixed_tokens("cлово новое") == [("cлово", "слово")] and confusables.mixed_tokens("λόγoς") == [("λόγoς", "λόγος")]
+    assert [confusables.dominant_script(t) for t in ("Skеlaban", "cлово", "λόγoς", "аое", "zл", "слово")] == ["LATIN", "CYRILLIC", "GREEK", None, None, "CYRILLIC"]
+
+
+def test_words_of_other_scripts_are_repaired(spark):
+    df = spark.createDataFrame([("f", 1, "новое слово тут"), ("f", 2, "новое cлово тут"), ("f", 3, "новое слово там"), ("f", 4, "нoвoe слoвo тут")], "field string, rec_id long, text string")
+    assert rows(confusables.alike_pairs(df), "id_a", "id_b") == [(1, 2), (1, 4), (2, 4)]
+
+
+def test_one_form_on_most_rows(spark, monkeypatch):
+    """Rows of a hot spelling never meet in one task, and only pairs of unlike spellings are made."""
+    monkeypatch.setattr(confusables, "HOT_ROWS", 50)
+    monkeypatch.setattr(runtime.join_groups, "__defaults__", (50,))
+    data = [("f", i, "Kniha je dobra") for i in range(900)] + [("f", 900, "Knihа je dobra"), ("f", 901, "Ｋniha je dobra")] + [("f", 1000 + i, f"druhe {i} tu") for i in range(100)]
+    df = spark.createDataFrame(data, "field string, rec_id long, text string")
+    got = rows(confusables.alike_pairs(df), "id_a", "id_b")
+    assert got == sorted([(i, x) for i in range(900) for x in (900, 901)] + [(900, 901)])
 
 
 def test_unwitnessed_lookalikes_stay(spark):
@@ -125,18 +158,72 @@ def brute_leaks(docs, items, n):
     return sorted({(d, i) for d, t in docs for w in [words(t)] for j in range(len(w) - n + 1) for i in grams.get(tuple(w[j : j + n]), ())})
 
 
+def longest_run(doc, item):
+    best = 0
+    for i in range(len(doc)):
+        for j in range(len(item)):
+            k = 0
+            while i + k < len(doc) and j + k < len(item) and doc[i + k] == item[j + k]:
+                k += 1
+            best = max(best, k)
+    return best
+
+
+def covered_words(doc, item, n):
+    grams = {tuple(item[j : j + n]) for j in range(len(item) - n + 1)}
+    return len({i + k for i in range(len(doc) - n + 1) if tuple(doc[i : i + n]) in grams for k in range(n)})
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(5)
     word = lambda: rng.choice(["a", "b", "c", "Č"])
     items = [(i, " ".join(word() for _ in range(rng.randint(0, 14)))) for i in range(25)]
     docs = [(i, rng.choice([" ", ", ", "\n> "]).join(word() for _ in range(rng.randint(0, 30)))) for i in range(120)]
-    d = spark.createDataFrame(docs + [(500, None), (501, ""), (None, "x")], "doc_id long, text string").withColumns({"item_id": F.lit("clash"), "longest": F.lit(0)})
+    d = spark.createDataFrame(docs + [(500, None), (501, ""), (None, "x")], "doc_id long, text string").withColumns({"item_id": F.lit("clash"), "longest": F.lit(0), "block": F.lit(1), "spans": F.lit(2)})
     p = spark.createDataFrame(items + [(90, None)], "item_id long, text string")
+    text, passage = dict(docs), dict(items)
     for n in (3, 5, 8):
-        want = brute_leaks(docs, items, n)
-        assert rows(leakage.leaked_items(d, p, min_words=n), "doc_id", "item_id") == want
-        assert rows(leakage.leaked_items(d, p, min_words=n, automaton_words=20), "doc_id", "item_id") == want
-    assert leakage.leaked_items(d.where("false"), p).count() == 0 and leakage.leaked_items(d, p.where("false")).count() == 0
+        pairs = brute_leaks(docs, items, n)
+        want = [(a, b, longest_run(words(text[a]), words(passage[b])), covered_words(words(text[a]), words(passage[b]), n)) for a, b in pairs]
+        for limits in ((leakage.AUTOMATON_WORDS, 1000), (20, 1000), (60, 7)):
+            assert rows(leakage.leaked_items(d, p, min_words=n, automaton_words=limits[0], block_rows=limits[1]), "doc_id", "item_id", "longest", "covered") == want
+    for size in (leakage.AUTOMATON_WORDS, 20):
+        assert leakage.leaked_items(d.where("false"), p, automaton_words=size).count() == 0 and leakage.leaked_items(d, p.where("false"), automaton_words=size).count() == 0
+
+
+def test_an_item_inside_another_has_its_own_length(spark):
+    long = "a b c d e f g h i j k l m n o p q r"
+    p = spark.createDataFrame([(1, "f g h i j k l m"), (2, long)], "item_id long, text string")
+    d = spark.createDataFrame([(1, f"x {long} y"), (2, "e f g h i j k l m n")], "doc_id long, text string")
+    assert rows(leakage.leaked_items(d, p), "doc_id", "item_id", "longest", "covered") == [(1, 1, 8, 8), (1, 2, 18, 18), (2, 1, 8, 8), (2, 2, 10, 10)]
+
+
+def test_one_passage_in_most_documents(spark):
+    """A block that nearly all documents reach is given to several tasks."""
+    passage = "kak so maš tu pola nas doma w Budyšinje"
+    p = spark.createDataFrame([(i, passage if i == 0 else " ".join(f"w{i}x{k}" for k in range(10))) for i in range(20)], "item_id long, text string")
+    d = spark.createDataFrame([(i, f"t{i} {passage} u{i}" if i % 10 else f"t{i}") for i in range(300)], "doc_id long, text string")
+    got = leakage.leaked_items(d, p, automaton_words=30, block_rows=40)
+    assert rows(got, "doc_id", "item_id", "longest") == [(i, 0, 9) for i in range(300) if i % 10]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aßŁe\u0301 ,.ﬁé\n1", max_size=40))
+def test_places_of_words(text):
+    places = leakage.word_places(text)
+    assert [words(text[a:b]) for a, b in places] == [[w] for w in words(text)]
+    assert words(leakage.without_spans(text, [(0, len(places))])) == []
+
+
+def test_cleaned_documents(spark):
+    p = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "g h i j k l m n")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "Here: A, b c d é f g h i j k l m n. There"), (2, "a b c d e f g h"), (3, "nothing here"), (4, None), (5, "p q. a b c d e f g h! r s")], "doc_id long, text string").withColumn("spans", F.lit(1))
+    leaks = leakage.leaked_items(d, p)
+    got = {r["doc_id"]: (r["text"], r["removed"], r["n_words"]) for r in leakage.cleaned_documents(d, leaks).collect()}
+    assert got == {1: ("Here: . There", 14, 16), 2: ("", 8, 8), 5: ("p q. ! r s", 8, 12)}
+    assert {r["doc_id"]: r["text"] for r in leakage.cleaned_documents(d, leaks, 9, 0.9).collect()} == {1: "Here: . There"}
+    assert {r["doc_id"]: r["text"] for r in leakage.cleaned_documents(d, leaks, max_share=0.7).collect()} == {1: None, 2: None, 5: "p q. ! r s"}
+    assert leakage.cleaned_documents(d, leaks.where("false")).count() == 0
 
 
 def test_leaks_ignore_case_accents_and_marks(spark):
