@@ -3,9 +3,9 @@
 Sentences are scored by a linear model on hashed words, pairs of words and gapped pairs, after disguises are undone
 (look-alikes, figures for letters, spaced, dotted or stretched words). A document's score is that of its worst sentence.
 The model is fitted on judged documents: each gives the judgement of a whole document, so in a document judged bad only
-the worst sentence is pulled up, while in others all sentences are pushed down. For every sentence that names a person, a
-place or a people a counterfactual is made with other names; the difference of both scores is penalised, so names by
-themselves carry no score.
+the worst sentence is pulled up, while in others all sentences are pushed down. For every sentence that names a people, a
+faith or a sex, a person or a place a counterfactual is made with another one of its kind; the difference of both scores
+is penalised, so that who is named carries no score. Nouns that only German writes with a capital are left alone.
 """
 
 from __future__ import annotations
@@ -32,9 +32,12 @@ LONG, WINDOW = 40, 20
 _BITS = 18
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "!": "i", "€": "e"})
 
-# Names of peoples and faiths that counterfactuals exchange, beside the names found in the judged documents.
+# Names of peoples, faiths and sexes that counterfactuals exchange for each other; forms that begin alike count too.
 IDENTITY_TERMS = ("Sorben", "Wenden", "Deutsche", "Polen", "Tschechen", "Juden", "Christen", "Muslime", "Roma", "Türken", "Russen", "Serbja", "Němcy", "Polacy", "Češa", "Židźa", "Sorbs", "Germans", "Poles", "Czechs", "Jews", "Muslims", "Christians", "Turks", "Women", "Frauen", "Žony")
 
+# Words before which a German noun stands, so that a capital behind them tells of no name.
+DETERMINERS = frozenset(["der", "die", "das", "den", "dem", "des", "ein", "eine", "einen", "einem", "einer", "eines", "kein", "keine", "im", "am", "zum", "zur", "vom", "beim", "mein", "dein", "sein", "ihr", "unser"])
+
 # Judged sentences that the model starts from; they weigh little beside the judged documents.
 SEED_BAD = ("You are a stupid idiot.", "Shut up, you filthy bastard.", "You disgusting moron, get lost.", "He is a filthy swine and everybody knows it.", "I will beat you up, you scum.", "They are vermin and must be driven out of our country.", "These people are no humans, throw them all out.", "Hot naked girls undress for you tonight.", "Free porn videos, she strips naked for you.", "Du bist ein dummer Idiot.", "Halt den Mund, du dreckiger Bastard.", "Verschwinde, du widerlicher Abschaum.", "Ich schlage dich tot, du Drecksack.", "Dieses Pack muss man alle aus dem Land jagen.", "Das sind keine Menschen, das ist Ungeziefer.", "Nackte Frauen ziehen sich für dich aus.", "Geile Pornos und Nacktfotos, schreib sofort.", "Ty sy hłupy idiot.", "Dźerž hubu, ty swinjo.", "Woni njejsu čłowjekojo, wuhońće jich wšitkich.", "Nahe holcy so za tebje sleča.", "Ty sy głupy idiot.", "Źarž gubu, ty swinja.", "Woni njejsu luźe, wugóńśo jich wšyknych.", "Nage źowća se za tebje slaku.")
 SEED_GOOD = ("The word idiot is of Greek origin.", "The pigs on the farm weigh a lot.", "Vermin damaged the stored grain.", "The court condemned the insult.", "The sexual reproduction of plants was described.", "The naked wall is three metres high.", "The newspaper reported on hatred against minorities.", "They invited the neighbours to the feast.", "Das Wort Idiot kommt aus dem Griechischen.", "Die Schweine auf dem Hof sind schwer.", "Ungeziefer hat das Getreide beschädigt.", "Das Gericht verurteilte die Beleidigung.", "Die Brust des Patienten wurde untersucht.", "Die nackte Wand ist drei Meter hoch.", "Der Verein lud alle zum Fest ein.", "Der Arzt sprach über Sexualkunde in der Schule.", "Słowo idiot je z grjekšćiny.", "Swinje na statoku su ćežke.", "Sud je křiwdu zasudźił.", "Wony su susodow na swjedźeń přeprosyli.", "Słowo idiot jo z grichišćiny.", "Swinje na dwórje su śěžke.", "Sud jo kśiwdu zasuźił.", "Wóni su susedow na swěźeń pśepšosyli.")
@@ -110,9 +113,18 @@ def encode(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return cells[order], np.bincount(row, minlength=len(lists))
 
 
+_STEMS = tuple(sorted({fold(t)[: max(4, len(fold(t)) - 2)] for t in IDENTITY_TERMS}))
+
+
+def is_identity(word: str) -> bool:
+    """A name of a people, a faith or a sex, in any of its forms."""
+    return word[:1].isupper() and fold(word).startswith(_STEMS)
+
+
 def names_in(sentence: str) -> list[str]:
-    """Capitalised words other than the first: persons, places, peoples (and German nouns)."""
-    return [w for w in re.findall(r"\w+", sentence)[1:] if w[:1].isupper() and w[1:].islower()]
+    """Capitalised words other than the first, and identity terms anywhere."""
+    found = re.findall(r"\w+", sentence)
+    return [w for i, w in enumerate(found) if w[:1].isupper() and (i and w[1:].islower() or is_identity(w))]
 
 
 class ToxicityModel:
@@ -139,14 +151,18 @@ class Examples:
             plain += own
             of += [i] * len(own)
         self.of = np.array(of, np.int64)
-        # Words that stand in small letters somewhere aren't names.
-        small = {w for p in plain for w in re.findall(r"\w+", p) if w[:1].islower()}
-        named = [[w for w in names_in(p) if w.lower() not in small] for p in plain]
-        pool = sorted({w for n in named for w in n} | set(IDENTITY_TERMS))
+        # Words that stand in small letters somewhere, or behind a determiner, aren't names of persons or places.
+        common = {w for p in plain for w in re.findall(r"\w+", p) if w[:1].islower()}
+        for p in plain:
+            found = re.findall(r"\w+", p)
+            common.update(b.lower() for a, b in zip(found, found[1:]) if a.lower() in DETERMINERS)
+        named = [[w for w in names_in(p) if is_identity(w) or w.lower() not in common] for p in plain]
+        pool = sorted({w for n in named for w in n if not is_identity(w)})
         pairs, twins = [], []
         for i, n in enumerate(named):
             if n:
-                swap = dict(zip(n, (pool[k] for k in rng.integers(0, len(pool), len(n)))))
+                kinds = [IDENTITY_TERMS if is_identity(w) else pool for w in n]
+                swap = {w: kind[k] for w, kind, k in zip(n, kinds, (int(rng.integers(0, len(kind))) for kind in kinds))}
                 pairs.append(i)
                 twins.append(re.sub(r"\w+", lambda m, swap=swap: swap.get(m.group(), m.group()), plain[i]))
         self.pairs = np.array(pairs, np.int64)

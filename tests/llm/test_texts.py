@@ -306,6 +306,15 @@ def test_disguises():
     assert toxicity.plain_tokens("b*****d 17") == ["b*d", "9"] and toxicity.plain_tokens("") == []
 
 
+def test_counterfactuals_exchange_one_kind_only():
+    ex = toxicity.Examples(["Gestern kam Nelota mit dem Haus und den Sorben.", "Der Hund sieht das Haus.", "Juden feiern heute."], 3)
+    assert toxicity.is_identity("Sorbinnen") and toxicity.is_identity("Juden") and not toxicity.is_identity("Haus") and not toxicity.is_identity("juden")
+    assert toxicity.names_in("Der Hund Rex sah Juden.") == ["Hund", "Rex", "Juden"] and toxicity.names_in("Juden feiern.") == ["Juden"]
+    assert ex.pairs.tolist() == [0, 2]
+    same = toxicity.encode(["Der Hund sieht das Haus."])[0]
+    assert set(same[:1]) <= set(ex.cells)
+
+
 def test_toxicity(spark):
     documents, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/doc_labels.parquet")
     judged = labels.where("toxic is not null").groupBy("doc_id").agg(F.avg(F.col("toxic").cast("double")).alias("y"))
@@ -319,6 +328,12 @@ def test_toxicity(spark):
     text = "{} su na swjedźeń přeprosyli, praji {} z {}."
     got = toxicity._document_scores(model, [text.format(*x) for x in (("Serbja", "Hańža", "Budyšin"), ("Polacy", "Jan", "Choćebuz"), ("Morwaks", "Meto", "Wojerecy"))])
     assert got.max() < toxicity.THRESHOLD
+    # Nor do peoples, faiths and sexes in neutral sentences: false positives by group.
+    neutral = ("Die {} feierten gestern ein Fest im Dorf.", "Viele {} leben heute in der Stadt.", "Der Lehrer sprach über die Geschichte der {}.", "The {} celebrated a feast in the village yesterday.", "Many {} live in this town today.", "Serbja a {} su wčera swjedźeń swjećili.", "W tutej wsy bydla tež {}.", "W toś tej jsy bydle teke {}.")
+    rates = {g: float(np.mean(toxicity._document_scores(model, [t.format(g) for t in neutral]) >= toxicity.THRESHOLD)) for g in toxicity.IDENTITY_TERMS}
+    assert max(rates.values()) == 0, rates
+    spread = [toxicity._document_scores(model, [t.format(g) for g in toxicity.IDENTITY_TERMS]) for t in neutral]
+    assert max(x.max() - x.min() for x in spread) < 0.1
     df = spark.createDataFrame([(1, None, "s"), (2, "", None), (3, "You are a stupid idiot.", "s"), (4, "x " * 30000 + "you are a stupid idiot", "s")], "doc_id long, text string, source string").withColumn("score", F.lit("clash"))
     got = dict(rows(toxicity.toxicity_scores(df, model=model), "doc_id", "score"))
     assert got[1] == got[2] == 0 and got[3] >= toxicity.THRESHOLD
