@@ -96,9 +96,10 @@ def mt_translation(x, tag: str) -> Column:
     return _trim(F.when(F.instr(text, f"<{tag}>") > 0, F.regexp_extract(text, f"(?s)<{tag}>(.*?)(?:</{tag}>|$)", 1)).otherwise(text))
 
 
-def tagged(x, tag: str) -> Column:
-    """Content of the first such tag, trimmed; empty without one."""
-    return _trim(F.regexp_extract(strip_thinking(x), f"(?s)<{tag}>(.*?)</{tag}>", 1))
+def tagged(x, tag: str, lines: bool = False) -> Column:
+    """Content of the first such tag, trimmed; empty without one. Only with `lines` may it go over line ends."""
+    inside = "(?s:.)" if lines else "[^\\n]"
+    return _trim(F.regexp_extract(strip_thinking(x), f"<{tag}>({inside}*?)</{tag}>", 1))
 
 
 def wrong_word(x) -> Column:
@@ -110,7 +111,7 @@ def corrected_word(x) -> Column:
 
 
 def mr_answer(x) -> Column:
-    return tagged(x, "answer")
+    return tagged(x, "answer", lines=True)
 
 
 def first_number(x) -> Column:
@@ -153,21 +154,33 @@ def tier_of(item_id) -> Column:
     return F.when(F.coalesce(_c(item_id), F.lit("")).startswith("medium"), "medium").otherwise("low")
 
 
+# What tells bare LaTeX, the characters of a formula, those that only a formula has, and its longest length.
+LATEX = "\\\\frac|\\\\sqrt|\\\\pi|\\\\geq|\\\\leq|\\\\cdot|\\\\times|[\\[(].*,.*[\\])]"
+FORMULA = "[0-9A-Za-z\\\\{}\\[\\]()+\\-*/.,;:=<>^_|!~ \\t°πφ√∞∪∩×÷±$]+"
+FORMULA_ONLY = "[\\\\{}\\[\\]()/^_=+<>|πφ√∞∪∩×÷±°]"
+PLAIN_NUMBER, PLAIN_FRACTION = "-?\\d[\\d,]*(\\.\\d+)?", "-?\\d+\\s*/\\s*-?\\d+"
+FORMULA_LENGTH, PROSE_WORDS = 120, 4
+
+
 def postformat(answer, tier) -> Column:
     """Bare LaTeX of the medium tier in dollar signs; all else as it is, trimmed."""
     a = _trim(F.coalesce(_c(answer), F.lit("")))
-    bare = a.rlike("\\\\frac|\\\\sqrt|\\\\pi|\\\\geq|\\\\leq|\\\\cdot|\\\\times|[\\[(].*,.*[\\])]") & ~(a.startswith("$") & a.endswith("$"))
+    bare = a.rlike(LATEX) & ~(a.startswith("$") & a.endswith("$"))
     return F.when((a != "") & (_c(tier) == "medium") & bare, F.concat(F.lit("$"), a, F.lit("$"))).otherwise(a)
 
 
 def answer_is_safe(answer) -> Column:
-    """A number, a fraction or a short formula; prose isn't."""
+    """Whether an answer can be compared as a string: a plain number or fraction, or a short text of a formula's characters
+    that either has a sign of its own or too few words to be prose."""
     a = _trim(F.coalesce(_c(answer), F.lit("")))
-    number = a.rlike("^-?\\d[\\d,]*(\\.\\d+)?$") | a.rlike("^-?\\d+\\s*/\\s*-?\\d+$")
-    charset = a.rlike("^[0-9A-Za-z\\\\{}\\[\\]()+\\-*/.,;:=<>^_|!~ \\t°πφ√∞∪∩×÷±$]+$")
-    math = a.rlike("[\\\\{}\\[\\]()/^_=+<>|πφ√∞∪∩×÷±°]")
-    prose = F.size(F.regexp_extract_all(a, F.lit("([A-Za-z]{2,})"), 1)) >= 4
-    return number | ((a != "") & (F.length(a) <= 120) & charset & (math | ~prose))
+    words = F.size(F.regexp_extract_all(a, F.lit("([A-Za-z]{2,})"), 1))
+    unlike_prose = F.when(a.rlike(FORMULA_ONLY), F.lit(True)).otherwise(words < PROSE_WORDS)
+    return F.when(a.rlike(f"^(?:{PLAIN_NUMBER}|{PLAIN_FRACTION})$"), True).when(a == "", False).otherwise(a.rlike(f"^{FORMULA}$") & (F.length(a) <= FORMULA_LENGTH) & unlike_prose)
+
+
+def unquoted(x) -> Column:
+    """The text without outer blanks and then without outer double quotation marks."""
+    return F.regexp_replace(_trim(F.coalesce(_c(x), F.lit(""))), '^"+|"+$', "")
 
 
 def is_degenerate(out, source) -> Column:

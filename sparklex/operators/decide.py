@@ -69,13 +69,14 @@ def margin_topup(word, corrected, margin, sentence, tau: float, skip_caps: bool
     return F.when(ok, F.struct(w.alias("word"), _c(corrected).alias("corrected")))
 
 
-def sc_cascade(decided: DataFrame, nonword: DataFrame, tau: float) -> DataFrame:
-    """(item_id, word, corrected, stage): the engine's decision, else the diacritic top-up, else the margin top-up.
+def sc_cascade(decided: DataFrame, nonword: DataFrame, tau: float | None) -> DataFrame:
+    """(item_id, word, corrected, stage): the engine's decision, else the diacritic top-up, else the margin top-up (none if
+    tau is None).
 
     decided has item_id, sentence, word, corrected, eng_w, eng_c and margin; each stage acts on rows still CORRECT.
     """
     rows = decided.join(nonword.select("item_id", F.col("word").alias("_nw"), F.col("corrected").alias("_nc")), "item_id", "left")
-    top = margin_topup("eng_w", "eng_c", "margin", "sentence", tau)
+    top = margin_topup("eng_w", "eng_c", "margin", "sentence", float("inf") if tau is None else tau)
     open_ = F.coalesce(F.nullif("word", F.lit("")), F.lit(CORRECT)) == CORRECT
     stage = F.when(~open_, "engine").when(F.col("_nw").isNotNull(), "diacritic").when(top.isNotNull(), "margin").otherwise("none")
     staged = rows.withColumn("stage", stage).withColumn("_top", top)

@@ -74,10 +74,10 @@ def tenth_split(df: DataFrame, key: str) -> DataFrame:
 
 
 def balanced_sample(df: DataFrame, seed, key: str, group: str, sizes: dict[str, int]) -> DataFrame:
-    """So many rows of each group by lot; groups not named give none."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy("_lot", key))
+    """So many rows of each group by lot; groups not named give none. A group may hold most of the rows."""
     table = F.create_map(*[x for g, n in sorted(sizes.items()) for x in (F.lit(g), F.lit(n))])
-    return df.where(F.col(group).isin(*sizes)).withColumn("_lot", lot(seed, key)).withColumn("_r", rank).where(F.col("_r") <= F.try_element_at(table, F.col(group))).drop("_lot", "_r")
+    ranked = shuffled_rank(df.where(F.col(group).isin(*sizes)), seed, key, [group], "_rank")
+    return ranked.where(F.col("_rank") < F.try_element_at(table, F.col(group))).drop("_rank")
 
 
 def random_exemplars(pairs: DataFrame, pool: DataFrame, seed) -> DataFrame:

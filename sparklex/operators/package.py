@@ -66,3 +66,10 @@ def content_hashes(files: DataFrame) -> DataFrame:
 def check_manifest(hashes: DataFrame, manifest: DataFrame) -> DataFrame:
     """(name, expected, found, exact): every file of the manifest against what is there."""
     return manifest.select("name", F.col("sha256").alias("expected")).join(hashes.select("name", F.col("sha256").alias("found")), "name", "left").withColumn("exact", F.col("expected").eqNullSafe(F.col("found")))
+
+
+def set_hash(df: DataFrame) -> str:
+    """A hash of the rows as a set, whatever their order: 128 bits, each row's own hash in exclusive or, and the count."""
+    row = F.to_json(F.struct(*sorted(df.columns)))
+    got = df.agg(F.hex(F.bit_xor(F.xxhash64(row))).alias("a"), F.hex(F.bit_xor(F.xxhash64(F.lit("set"), row))).alias("b"), F.count("*").alias("n")).first()
+    return f"{got['a'] or 0:0>16}{got['b'] or 0:0>16}-{got['n']}"

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparklex.functions.text import fold_key, norm
+from sparklex.runtime import checkpointed, ranked_within
 
 #: Pairs kept for each direction.
 CAP = 60_000
@@ -50,20 +51,22 @@ def leave_one_out(pool: DataFrame, dev: DataFrame, src: str = "src") -> DataFram
 
 
 def cap_first(df: DataFrame, order: str, cap: int = CAP, by: str | None = None) -> DataFrame:
-    """The first `cap` rows in the order, of each group if `by` is given.
+    """The first `cap` rows in the order, of each group if `by` is given; a null group is one too.
 
-    Each task keeps `cap` rows of a group before the shuffle, so a group may hold most of the rows.
+    Groups are counted first; only if one holds more than the cap are rows ranked, and then in ranges of group and order, so
+    no task sorts a whole group. df is read twice.
     """
     if by is None:
         return df.orderBy(order).limit(cap)
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= cap).drop("_rank")
+    if df.groupBy(by).count().where(F.col("count") > cap).isEmpty():
+        return df
+    return ranked_within(df, [by], order, "_rank").where(F.col("_rank") < cap).drop("_rank")
 
 
 def build_pool(pool: DataFrame, block: DataFrame, dev: DataFrame | None = None, cap: int = CAP) -> DataFrame:
     """The pool (direction, row_idx, src, tgt) cleaned of test and held-out material and cut to the cap."""
     clean = decontaminate(pool, block)
-    return cap_first(clean if dev is None else leave_one_out(clean, dev), "row_idx", cap, "direction")
+    return cap_first(checkpointed(clean if dev is None else leave_one_out(clean, dev)), "row_idx", cap, "direction")
 
 
 def funnel(pool: DataFrame, block: DataFrame, dev: DataFrame | None = None, cap: int = CAP) -> DataFrame:
@@ -75,9 +78,10 @@ def funnel(pool: DataFrame, block: DataFrame, dev: DataFrame | None = None, cap:
         marked = flag(marked, "src", dev.select(F.col("text").alias("_key"), F.lit(True).alias("_in")), "_dev")
     else:
         marked = marked.withColumn("_dev", F.lit(False))
+    marked = checkpointed(marked.select("direction", "row_idx", "src", "tgt", "_test", "_dev"))
     counts = marked.groupBy("direction").agg(F.count("*").alias("pool_original"), F.count_if("_test").alias("removed_by_test_dedup"), F.count_if(F.expr("_dev and not _test")).alias("removed_by_dev_exclusion"), F.count_if(F.expr("not _dev and not _test")).alias("_left"))
     counts = counts.withColumn("shipped", F.least("_left", F.lit(cap).cast("long"))).withColumn("removed_by_cap", F.col("_left") - F.col("shipped")).drop("_left")
-    shipped = build_pool(pool, block, dev, cap)
+    shipped = cap_first(marked.where("not _test and not _dev"), "row_idx", cap, "direction")
     again = blocklist(block, ["text"], key=norm)
     sides = shipped.select("direction", F.explode(F.array(norm("src"), norm("tgt"))).alias("text")).join(again, "text", "left_semi").groupBy("direction").agg(F.count("*").alias("residual_test_material"))
     order = ["direction", "pool_original", "removed_by_test_dedup", "removed_by_dev_exclusion", "removed_by_cap", "shipped", "residual_test_material"]

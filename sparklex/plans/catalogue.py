@@ -101,10 +101,14 @@ def length_filter(spark, d):
     return pool.split_sentences(table(spark, d, "documents"), "doc_id", "text").where(T.length_ok("sentence")).select("doc_id", "pos", T.token_count("sentence").alias("n_tokens"))
 
 
-@query(f"select doc_id, pos from ({S.SENTENCES}) where len({S.tokens('sentence')}) between 5 and 40 and regexp_matches(sentence, '^\\p{{Lu}}')")
+_UNQUOTED = "regexp_replace(sentence, '^\"+|\"+$', '', 'g')"
+
+
+@query(f"select doc_id, pos from ({S.SENTENCES}) where len({S.tokens(_UNQUOTED)}) between 5 and 40 and regexp_matches({_UNQUOTED}, '^\\p{{Lu}}')")
 def mono_filter(spark, d):
-    """Sentences of 5 to 40 tokens that begin with a capital."""
-    return pool.split_sentences(table(spark, d, "documents"), "doc_id", "text").where(T.length_ok("sentence", 5, 40) & T.is_upper("sentence")).select("doc_id", "pos")
+    """Sentences of 5 to 40 tokens that begin with a capital, outer quotation marks apart."""
+    bare = T.unquoted("sentence")
+    return pool.split_sentences(table(spark, d, "documents"), "doc_id", "text").where(T.length_ok(bare, 5, 40) & T.is_upper(bare)).select("doc_id", "pos")
 
 
 @query(f"""with u as (select 0 as source_rank, item_key as ord, {S.norm('original_sentence')} as text from sc_gc_items union all select 1, pred_id, {S.norm('source')} from mt_preds),
@@ -494,7 +498,7 @@ def rendered_sc(spark, d):
 _REPLIES = "select row_id, pos, m.content as raw from (select row_id, unnest(messages) as m, generate_subscripts(messages, 1) as pos from training)"
 
 
-@query(f"select row_id, pos, {S.tagged('raw', 'wrong')} as wrong, {S.tagged('raw', 'corrected')} as corrected, {S.tagged('raw', 'answer')} as answer, coalesce(try_cast(nullif(regexp_extract(coalesce(raw, ''), '(-?\\d+)', 1), '') as integer), -1) as number from ({_REPLIES})")
+@query(f"select row_id, pos, {S.tagged('raw', 'wrong')} as wrong, {S.tagged('raw', 'corrected')} as corrected, {S.tagged('raw', 'answer', '.')} as answer, coalesce(try_cast(nullif(regexp_extract(coalesce(raw, ''), '(-?\\d+)', 1), '') as integer), -1) as number from ({_REPLIES})")
 def extracted_tags(spark, d):
     """J: tags and the first number of every message."""
     rows = table(spark, d, "training").select("row_id", F.posexplode("messages").alias("pos", "m")).select("row_id", (F.col("pos") + 1).cast("long").alias("pos"), F.col("m.content").alias("raw"))

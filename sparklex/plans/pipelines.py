@@ -15,8 +15,12 @@ from sparklex.plans.config import DEFAULTS
 Generate = Callable[..., DataFrame]
 
 
-def mt(items: DataFrame, memory: DataFrame, source: str, target: str, generate: Generate, k: int = DEFAULTS["exemplar_k"]) -> DataFrame:
-    """items (item_id, dataset_id, sent_id, source) with pred: exemplars from the memory (row_idx, src, tgt), prompt, extraction."""
+def mt(items: DataFrame, memory: DataFrame | None, source: str, target: str, generate: Generate, k: int = DEFAULTS["exemplar_k"]) -> DataFrame:
+    """items (item_id, dataset_id, sent_id, source) with pred: exemplars from the memory (row_idx, src, tgt) if there is one,
+    prompt, extraction."""
+    if memory is None:
+        prompts = items.withColumn("prompt", T.mt_prompt("source", T.LANGUAGE[source], T.LANGUAGE[target], F.array().cast("array<struct<src:string,tgt:string>>")))
+        return items.join(generate(prompts.select("item_id", "prompt")), "item_id", "left").withColumn("pred", T.mt_translation("raw", target)).drop("raw")
     near = retrieval.char_similarity(items.select(F.col("item_id").alias("query_id"), F.col("source").alias("text")), memory, k)
     shots = near.join(memory, "row_idx").groupBy(F.col("query_id").alias("item_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "src", "tgt"))), lambda e: F.struct(e["src"].alias("src"), e["tgt"].alias("tgt"))).alias("shots"))
     prompts = items.join(shots, "item_id", "left").withColumn("prompt", T.mt_prompt("source", T.LANGUAGE[source], T.LANGUAGE[target], F.col("shots")))
@@ -59,35 +63,41 @@ def word_candidates(words: DataFrame, forms: DataFrame, maps: list[str], frequen
     return candidates.rank_candidates(sources, frequency, index, most)
 
 
-def sc_gc(items: DataFrame, task: str, lang: str, generate: Generate, forms: DataFrame, maps: list[str], mono: DataFrame, scorer: candidates.SentenceScorer | None = None) -> DataFrame:
-    """items (item_id, sentence) with pred_incorrect and pred_corrected: the model's flag and the engine's, decided between."""
+def sc_gc(items: DataFrame, task: str, lang: str, generate: Generate, forms: DataFrame, maps: list[str], mono: DataFrame, scorer: candidates.SentenceScorer | None = None, fitted: dict = DEFAULTS) -> DataFrame:
+    """items (item_id, sentence) with pred_incorrect and pred_corrected: the model's flag and the engine's, decided between.
+
+    `fitted` holds the settings by language: weight and threshold of the witness, the least frequency of the diacritic
+    top-up (None where it is off) and the margin from which the last one acts (None likewise).
+    """
     unigrams, bigrams = stats.unigrams(mono, "text"), stats.bigrams(mono, "text")
     score = scorer or candidates.bigram_scorer(unigrams, bigrams)
     raw = generate(items.select("item_id", T.sc_gc_prompt("sentence", task).alias("prompt")))
     flagged = items.join(raw, "item_id", "left").select("item_id", "sentence", T.wrong_word("raw").alias("word"), T.corrected_word("raw").alias("correction"))
     words = candidates.sentence_cores(items).select(F.col("core").alias("word")).distinct()
-    cand = word_candidates(words, forms, maps, unigrams, task, DEFAULTS["gc_paradigm_cap" if task == "gc" else "sc_paradigm_cap"])
+    cand = word_candidates(words, forms, maps, unigrams, task, fitted["gc_paradigm_cap" if task == "gc" else "sc_paradigm_cap"], most=fitted["max_cand"])
     solo = candidates.best_edit(items, cand, score).select("item_id", F.col("word").alias("eng_w"), F.col("corrected").alias("eng_c"), "margin")
     fixed = candidates.constrained_correction(flagged.where("word <> '' and word <> 'CORRECT'"), cand, score).select("item_id", F.col("word").alias("co_w"), F.col("corrected").alias("co_c"))
     rows = flagged.select("item_id", "sentence", F.col("word").alias("v5_w"), F.col("correction").alias("v5_c")).join(solo, "item_id", "left").join(fixed, "item_id", "left")
     if task == "gc":
-        fit = DEFAULTS["witness"][lang]
+        fit = fitted["witness"][lang]
         seen = stats.witness(rows.withColumns({"observed": F.col("eng_w"), "candidate": F.col("eng_c")}), bigrams)
         out = decide.arbitrate(seen, fit["w"], fit["t"])
     else:
         first = rows.withColumns({"word": F.coalesce(F.nullif("co_w", F.lit("")), F.lit(T.CORRECT)), "corrected": F.coalesce(F.nullif("co_c", F.lit("")), F.lit(T.CORRECT))})
-        top = decide.nonword_topup(items, forms, unigrams, maps, DEFAULTS["min_freq"])
-        out = decide.sc_cascade(first, top, DEFAULTS["tau"][lang])
+        least = fitted["diacritic"][lang]
+        top = decide.nonword_topup(items, forms, unigrams, maps, least) if least is not None else items.select("item_id", F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("corrected")).where("false")
+        out = decide.sc_cascade(first, top, fitted["tau"][lang])
     return items.join(out.select("item_id", F.col("word").alias("pred_incorrect"), F.col("corrected").alias("pred_corrected")), "item_id", "left")
 
 
-def mr(items: DataFrame, generate: Generate, dev: DataFrame | None = None, threshold: float = DEFAULTS["sim_threshold"]) -> DataFrame:
-    """items (item_id, id, question) with pred and stage: generation, ladder, format. With dev (idx, text, answer) the
+def mr(items: DataFrame, generate: Generate, dev: DataFrame | None = None, threshold: float = DEFAULTS["sim_threshold"], ladder: bool = True, formatted: bool = True) -> DataFrame:
+    """items (item_id, id, question) with pred and stage: generation, ladder and format unless switched off. With dev (idx, text, answer) the
     answer of a question that stands there overrides; this is off by default, as it answers from held-out material."""
     prompts = items.select("item_id", T.mr_prompt("question").alias("prompt"))
     first = prompts.join(generate(prompts), "item_id", "left")
-    laddered = decide.retry_ladder(first, generate)
-    out = items.join(laddered.select("item_id", T.mr_answer("raw").alias("_a"), "stage"), "item_id", "left").withColumn("pred", T.postformat("_a", T.tier_of("id"))).drop("_a")
+    laddered = decide.retry_ladder(first, generate) if ladder else first.withColumn("stage", F.lit(0))
+    answers = items.join(laddered.select("item_id", T.mr_answer("raw").alias("_a"), "stage"), "item_id", "left")
+    out = answers.withColumn("pred", T.postformat("_a", T.tier_of("id")) if formatted else F.coalesce("_a", F.lit(""))).drop("_a")
     if dev is None:
         return out
     hits = retrieval.fuzzy_lookup(items.select(F.col("item_id").alias("query_id"), F.col("question").alias("text")), dev, threshold)
@@ -120,7 +130,8 @@ def calibrated(mono: DataFrame, dev: DataFrame, forbidden: DataFrame, forms: Dat
     rows learned from the even half of dev; forbidden texts come in neither before nor after the change."""
     learn = stats.learning_half(dev, "id")
     transforms = stats.suffix_taxonomy(learn, "incorrect_word", "correct_word")
-    texts = pool.exclude(mono.select("ord", T.norm("text").alias("text")).where(T.length_ok("text", 5, 40) & T.is_upper("text")), "text", forbidden)
+    bare = mono.select("ord", T.unquoted("text").alias("text")).where(T.length_ok("text", 5, 40) & T.is_upper("text"))
+    texts = pool.exclude(bare.select("ord", T.norm("text").alias("text")), "text", forbidden)
     rate = stats.clean_rate(learn, "incorrect_word").first()["clean_rate"] or 0.0
     clean_n = int(n * rate)
     ranked = shuffled_rank(texts, seed, "ord", name="_rank")

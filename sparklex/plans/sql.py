@@ -43,8 +43,8 @@ def thinking(x: str) -> str:
     return f"trim(regexp_replace(coalesce({x}, ''), '(?s)<think>.*?</think>', '', 'g'))"
 
 
-def tagged(x: str, tag: str) -> str:
-    return trim(f"regexp_extract({thinking(x)}, '(?s)<{tag}>(.*?)</{tag}>', 1)")
+def tagged(x: str, tag: str, inside: str = "[^\\n]") -> str:
+    return trim(f"regexp_extract({thinking(x)}, '(?s)<{tag}>({inside}*?)</{tag}>', 1)")
 
 
 def lot(seed: str, *cols: str) -> str:

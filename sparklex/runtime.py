@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Copies of one key from which it counts as hot. Hot keys number at most rows / HOT_ROWS, which bounds what is broadcast.
@@ -35,6 +36,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder for what a query writes and reads back: beside the checkpoints, which all executors share."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        checkpointed(spark.range(0))
+    return f"{sc.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+
+
 def fingerprint(*cols) -> list:
     """Two 64-bit hashes of the columns under different seeds: a 128-bit key named k1, k2."""
     return [F.xxhash64(*cols).alias("k1"), F.xxhash64(F.lit("sparklex"), *cols).alias("k2")]
@@ -86,3 +95,20 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
 def ordered_rank(df: DataFrame, key: str, name: str) -> DataFrame:
     """df with each row's place from 0 in the order of the key: ranges of the key are sorted apart and then numbered."""
     return numbered(df.repartitionByRange(key).sortWithinPartitions(key), name)
+
+
+def ranked_within(df: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
+    """df with each row's place from 0 in the order of its group's rows; a null is a group of its own.
+
+    Ranges of group and order are sorted apart, so a group may hold most of the rows: it lies in many ranges, whose counts
+    (a row for each range and group) shift the places in them.
+    """
+    cut = df.repartitionByRange(*by, order).sortWithinPartitions(*by, order)
+    rows = checkpointed(cut.select(F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"), *df.columns))
+    parts = rows.groupBy("_p", *by).agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    shift = parts.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_s"))
+    same = rows["_p"] == shift["_q"]
+    for i, c in enumerate(by):
+        same = same & rows[c].eqNullSafe(shift[f"_by{i}"])
+    return rows.join(shift, same).select(*df.columns, (F.col("_i") + F.col("_s")).cast("long").alias(name))

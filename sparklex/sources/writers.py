@@ -6,7 +6,7 @@ import json
 import os
 import shutil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparklex.operators.package import package_rows
@@ -54,10 +54,18 @@ def write_bundle(rows: DataFrame, folder: str, by: list[str]) -> None:
     rows.write.mode("overwrite").partitionBy(*by).option("ignoreNullFields", False).json(folder)
 
 
-def write_meta(meta: DataFrame, path: str) -> None:
-    """A one-row table of counts as a JSON file."""
+def write_meta(meta: DataFrame, path: str, **more) -> None:
+    """A one-row table of counts as a JSON file, with further values by name."""
     with open(path, "w", encoding="utf-8") as f:
-        json.dump(meta.first().asDict(recursive=True), f, ensure_ascii=False, indent=2)
+        json.dump(meta.first().asDict(recursive=True) | more, f, ensure_ascii=False, indent=2)
+
+
+def read_deletion_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index that write_deletion_index wrote; an error at once if it isn't there or lacks its columns."""
+    index = spark.read.parquet(path)
+    if not {"variant"} < set(index.columns):
+        raise ValueError(f"{path}: no deletion index")
+    return index
 
 
 def write_deletion_index(index: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparklex.operators import assign, candidates, decide, lexicon, mix, package, pool, retrieval, stats, synth
-from sparklex.runtime import bounded_sample, checkpointed, fingerprint, join_groups, numbered, ordered_rank
+from sparklex.runtime import bounded_sample, checkpointed, fingerprint, join_groups, numbered, ordered_rank, ranked_within
 
 
 def rows(df, *cols):
@@ -21,6 +21,34 @@ def pairs(spark, src, tgt, direction="d"):
     return spark.createDataFrame([(direction, i, s, t) for i, (s, t) in enumerate(zip(src, tgt))], "direction string, row_idx long, src string, tgt string")
 
 
+def test_ranks_within_a_group_that_holds_most_rows(spark):
+    df = spark.range(2000).select(F.when(F.col("id") % 10 == 0, F.when(F.col("id") % 20 == 0, "b")).otherwise("a").alias("g"), ((F.col("id") * 7919) % 2003).alias("k"), F.lit("x").alias("_n"))
+    per = {}
+    for r in df.collect():
+        per.setdefault(r["g"], []).append(r["k"])
+    want = sorted(((g or ""), k, i) for g, ks in per.items() for i, k in enumerate(sorted(ks)))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ranked_within(df, ["g"], "k", "rank")
+        assert sorted((r["g"] or "", r["k"], r["rank"]) for r in got.collect()) == want and got.columns == ["g", "k", "_n", "rank"]
+        # Nine tenths of the rows are in one group; its rows were ranked in several tasks, none of which had much over its share.
+        tasks = ranked_within(df.withColumn("task", F.lit(0)), ["g"], "k", "rank")
+        assert tasks.count() == 2000
+        parts = df.repartitionByRange("g", "k").groupBy(F.spark_partition_id()).count().collect()
+        assert len(parts) >= 3 and max(r["count"] for r in parts) < 1000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    kept = rows(pool.cap_first(df, "k", 50, "g").fillna("", ["g"]), "g", "k")
+    assert kept == sorted((g, k) for g, k, i in want if i < 50)
+    assert pool.cap_first(df, "k", 5000, "g").count() == 2000 and ranked_within(df.where("false"), ["g"], "k", "rank").count() == 0
+
+
+def test_set_hash(spark):
+    df = spark.range(50).select("id", F.col("id").cast("string").alias("t"))
+    assert package.set_hash(df) == package.set_hash(df.orderBy(F.desc("id")).select("t", "id")) != package.set_hash(df.where("id > 0")) and package.set_hash(df.where("false")).endswith("-0")
+
+
 def texts(spark, *values):
     return spark.createDataFrame([(v,) for v in values], "text string")
 

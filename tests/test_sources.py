@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparklex.operators import model
 from sparklex.operators.lexicon import expand, stems
-from sparklex.plans import cli, config, pipelines
+from sparklex.plans import cli, config, folder, pipelines
 from sparklex.sources import readers, schemas, writers
 from sparklex.streaming import streams
 
@@ -208,3 +208,81 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("counts").where("rows = 1").count() >= 2
+
+
+def stub_model(task):
+    """A model that knows its task by the prompt: used by name on the command line."""
+    replies = {"mt": "<think>x</think><hsb> dom </hsb>", "qa": "2", "sc": "<wrong> Haus </wrong> <corrected> dom </corrected>", "gc": "<wrong> CORRECT </wrong> <corrected> CORRECT </corrected>", "mr": "<answer> 7 </answer>"}
+    return lambda: lambda prompts, **options: [replies[task]] * len(prompts)
+
+
+def test_a_folder_of_task_files_is_run(spark, tmp_path, capsys):
+    tests, out = tmp_path / "tests", tmp_path / "out"
+    tests.mkdir()
+    put(tests / "deu-hsb_mt_test.jsonl", '{"dataset_id": "d", "sent_id": 2, "de": "Haus"}\n{"dataset_id": "d", "sent_id": 1, "de": "Baum"}\n')
+    put(tests / "hsb_qa_test.jsonl", '{"dataset_id": "d", "question_id": "q1", "context": "", "question": "Što?", "possible_answers": {"1": "a", "2": "b"}}\n{"dataset_id": "d", "question_id": "q2", "context": "", "question": "Hdźe?", "possible_answers": {"1": "a"}}\n')
+    put(tests / "hsb_sc_test.jsonl", '{"dataset_id": null, "id": 0, "input_sentence": "To je Haus"}\n')
+    put(tests / "dsb_mr_test.jsonl", '{"dataset_id": "d", "id": "low1", "question": "3 + 4?"}\n')
+    settings = put(tmp_path / "c.json", json.dumps(good()))
+    command = ["predict", "--config", settings, "--test-dir", str(tests), "--out-dir", str(out), "--model", "test_sources:stub_model"]
+    assert cli.main(command) == 0
+    read = lambda name: [json.loads(x) for x in (out / name).read_text().splitlines()]
+    assert read("deu-hsb_preds.jsonl") == [{"dataset_id": "d", "sent_id": "2", "source": "Haus", "pred": "dom"}, {"dataset_id": "d", "sent_id": "1", "source": "Baum", "pred": "dom"}]
+    assert [r["pred"] for r in read("hsb_qa_preds.jsonl")] == [2, 1]
+    assert read("hsb-sc_preds.jsonl") == [{"dataset_id": None, "id": "0", "input_sentence": "To je Haus", "pred_incorrect": "Haus", "pred_corrected": "dom"}]
+    assert read("dsb-mr_preds.jsonl") == [{"dataset_id": "d", "id": "low1", "question": "3 + 4?", "pred": "7"}]
+    assert sorted(p.name for p in out.iterdir()) == ["deu-hsb_preds.jsonl", "dsb-mr_preds.jsonl", "hsb-sc_preds.jsonl", "hsb_qa_preds.jsonl"]
+    (tmp_path / "empty").mkdir()
+    assert cli.main([*command[:3], "--test-dir", str(tmp_path / "empty"), *command[5:]]) == 2
+    assert cli.main([*command, "--tasks", "gc"]) == 2 and "no file" in capsys.readouterr().err
+
+
+def test_a_composed_folder_run(spark, tmp_path):
+    tests, lex, mono, pools, dev = (tmp_path / n for n in ("tests", "lex", "mono", "pools", "dev"))
+    for p in (tests, lex, mono, pools, dev):
+        p.mkdir()
+    put(tests / "dsb_sc_test.jsonl", '{"dataset_id": "d", "id": 0, "input_sentence": "to jo dalsna wěc"}\n')
+    put(tests / "hsb_mr_test.jsonl", '{"dataset_id": "d", "id": "low1", "question": "wjele je tři a štyri"}\n')
+    put(tests / "deu-hsb_mt_test.jsonl", '{"dataset_id": "d", "sent_id": 2, "de": "Haus"}\n')
+    put(lex / "dsb.aff", "MAP 1\nMAP sš\n"), put(lex / "dsb.dic", "4\nto\njo\ndalšna\nwěc\n")
+    put(mono / "dsb.csv", "dsb\n" + "dalšna wěc jo to\n" * 9)
+    put(pools / "de_hsb.src", "Haus am See\n"), put(pools / "de_hsb.tgt", "dom pola jězora\n")
+    put(dev / "hsb_mr_dev.jsonl", '{"id": "low2", "question": "wjele je tři a štyri", "answer": 12}\n')
+    settings = good() | {"stack": "composed", "engine": {"batch": 2, "max_cand": 24}, "mr": {"retry_ladder": True, "postformat": True, "retrieval": {"enabled": True, "sim_threshold": 0.95, "corpus": "dev"}}, "sc": {"bktree": True, "paradigm_cap": 30, "topups": {"diacritic": {"dsb": {"enabled": True, "min_freq": 5}, "hsb": {"enabled": False}}}}}
+    silent = lambda task: lambda: lambda prompts, **options: [{"sc": "", "mr": "", "mt": "".join(p[-60:] for p in prompts[:1])}[task]] * len(prompts)
+    res = config.Resources({"dict_dir": str(lex), "mono_dir": str(mono), "pool_dir": str(pools), "mr_dev_dir": str(dev)})
+    written = folder.run(spark, config.validate(settings), str(tests), str(tmp_path / "out"), silent, res, ("sc", "mr", "mt"))
+    got = {os.path.basename(p): [json.loads(x) for x in open(p, encoding="utf-8")] for p in written}
+    assert [(r["pred_incorrect"], r["pred_corrected"]) for r in got["dsb-sc_preds.jsonl"]] == [("dalsna", "dalšna")]
+    assert got["hsb-mr_preds.jsonl"][0]["pred"] == "12" and "dom pola jězora" in got["deu-hsb_preds.jsonl"][0]["pred"]
+    assert folder.fitted(settings)["diacritic"] == {"hsb": None, "dsb": 5} and folder.fitted(settings)["tau"] == {"hsb": None, "dsb": None}
+    with pytest.raises(config.ConfigError):
+        folder.loader("nothing")
+
+
+def test_maths_and_error_commands(spark, tmp_path):
+    seeds = put(tmp_path / "seeds.json", json.dumps([{"source": "g", "tier": "low", "question_en": "two plus two?", "answer": "4", "rationale_en": "add"}, {"source": "g", "tier": "low", "question_en": "why?", "answer": "because it is so and so on", "rationale_en": ""}]))
+    translated = put(tmp_path / "t.jsonl", '{"seed_id": 0, "question": "dwaj plus dwaj?", "rationale": "přičitaj"}\n{"seed_id": 1, "question": "čehodla?", "rationale": ""}\n')
+    assert cli.main(["maths-rows", "--seeds", seeds, "--translated", translated, "--out-dir", str(tmp_path / "mr")]) == 0
+    assert spark.read.json(str(tmp_path / "mr")).count() == 1
+    dic, aff = put(tmp_path / "a.dic", "3\nkniha\nknihu\nhora\n"), put(tmp_path / "a.aff", "SFX A Y 1\nSFX A a u .\n")
+    dev = put(tmp_path / "dev.jsonl", "".join(json.dumps({"id": i, "input_sentence": f"To je knihu {i}", "original_sentence": f"To je kniha {i}", "incorrect_word": "knihu", "correct_word": "kniha"}) + "\n" for i in range(6)))
+    mono = put(tmp_path / "m.csv", 'x,text\n' + "".join(f'{i},"Nowa kniha steji tu {i}"\n' for i in range(8)))
+    command = ["calibrated-errors", "--mono", mono, "--dev", dev, "--dic", dic, "--aff", aff, "--rows", "5", "--out", str(tmp_path / "gc")]
+    assert cli.main(command) == 0
+    made = spark.read.json(str(tmp_path / "gc")).collect()
+    assert len(made) == 5 and all(r["incorrect_word"] == "knihu" for r in made)
+    meta = json.loads((tmp_path / "gc.meta.json").read_text())
+    assert meta["rows"] == meta["errors"] == 5
+    assert cli.main([*command[:-1], str(tmp_path / "gc2")]) == 0 and json.loads((tmp_path / "gc2.meta.json").read_text())["set_hash"] == meta["set_hash"]
+
+
+def test_deletion_index_is_read_back(spark, tmp_path):
+    index = pipelines.lexicon.deletion_index(spark.createDataFrame([("kniha",)], "word string"), 1)
+    writers.write_deletion_index(index, str(tmp_path / "i"))
+    assert writers.read_deletion_index(spark, str(tmp_path / "i")).count() == index.count() == 6
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        writers.read_deletion_index(spark, str(tmp_path / "missing"))
+    spark.range(3).write.parquet(str(tmp_path / "other"))
+    with pytest.raises(ValueError):
+        writers.read_deletion_index(spark, str(tmp_path / "other"))

@@ -33,6 +33,9 @@ def test_extractors(spark):
     both = "<wrong> a </wrong> <corrected> b </corrected>"
     assert one(spark, T.wrong_word("a"), a=both) == "a" and one(spark, T.corrected_word("a"), a=both) == "b"
     assert one(spark, T.wrong_word("a"), a=None) == ""
+    lines = "<wrong>a\nb</wrong> <corrected>c\nd</corrected> <answer>1\n2</answer>"
+    assert one(spark, T.wrong_word("a"), a=lines) == one(spark, T.corrected_word("a"), a=lines) == "" and one(spark, T.mr_answer("a"), a=lines) == "1\n2"
+    assert one(spark, T.unquoted("a"), a=' ""Ta "sada" je"" ') == 'Ta "sada" je' and one(spark, T.unquoted("a"), a=None) == ""
     assert one(spark, T.mr_answer("a"), a="<think>t</think> x <answer> 18 </answer>") == "18"
     assert one(spark, T.first_number("a"), a="The answer is 3.") == 3
     assert one(spark, T.first_number("a"), a="none") == -1
