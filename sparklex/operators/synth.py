@@ -116,6 +116,11 @@ def _eligible(df: DataFrame, sentence: str, key: str, accept) -> DataFrame:
     return rows.withColumn("_e", F.filter(F.sequence(F.lit(0), F.greatest(F.size("_t") - 1, F.lit(0))), lambda i: F.coalesce(accept(F.get(F.col("_t"), i)), F.lit(False))))
 
 
+def _behind(stem: Column):
+    """A function of one argument only: with a second one, transform would give it the element's number."""
+    return lambda e: F.concat(stem, e)
+
+
 def swap_ending(word, lang: str, seed, *key) -> Column:
     """The word with a wrong ending: the first rule whose ending it has and that changes it; null without one."""
     w, out = _c(word), None
@@ -124,7 +129,7 @@ def swap_ending(word, lang: str, seed, *key) -> Column:
         start = F.pmod(lot(f"{seed}/ending{rule}", w, *key), F.lit(len(wrong)))
         options = F.array(*map(F.lit, wrong))
         turned = F.concat(F.slice(options, (start + 1).cast("int"), F.lit(len(wrong))), F.slice(options, 1, start.cast("int")))
-        made = F.get(F.filter(F.transform(turned, lambda e, stem=stem: F.concat(stem, e)), lambda x: (x != w) & (x != "")), 0)
+        made = F.get(F.filter(F.transform(turned, _behind(stem)), lambda x: (x != w) & (x != "")), 0)
         hit = w.endswith(ending) & made.isNotNull()
         out = F.when(hit, made) if out is None else out.when(hit, made)
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +33,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    importlib.import_module("sparklex.plans.pipeline_queries")  # adds its own
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    more = importlib.import_module("sparklex.plans.pipeline_queries")
+    return SQL | {"wrong_endings": more.WRONG_ENDINGS, "calibrated_errors": more._CALIBRATED}
 
 
 # Pools
