@@ -22,7 +22,7 @@ class SentenceScorer(Protocol):
 
 
 def bigram_scorer(unigram_counts: DataFrame, bigram_counts: DataFrame) -> SentenceScorer:
-    """A stand-in for a language model: the mean of ln((bigram + 1/2) / (left word + 1/2)) over adjacent words."""
+    """A stand-in for a language model: the mean of ln((bigram + 1/2) / (left word + 1/2)) over adjacent words, to 9 digits."""
 
     def score(sentences: DataFrame) -> DataFrame:
         low = sentences.select("variant_id", F.filter(F.transform(tokens("sentence"), lambda t: F.lower(strip_punct(t))), lambda t: t != "").alias("t"))
@@ -30,7 +30,8 @@ def bigram_scorer(unigram_counts: DataFrame, bigram_counts: DataFrame) -> Senten
         known = pairs.select("left", "right").distinct().join(bigram_counts, ["left", "right"], "left").join(unigram_counts.select(F.col("token").alias("left"), F.col("cnt").alias("_n")), "left", "left")
         rated = known.select("left", "right", (F.ln(F.coalesce("cnt", F.lit(0)) + F.lit(0.5)) - F.ln(F.coalesce("_n", F.lit(0)) + F.lit(0.5))).alias("lp"))
         means = pairs.join(rated, ["left", "right"]).groupBy("variant_id").agg(F.avg("lp").alias("score"))
-        return sentences.select("variant_id").join(means, "variant_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        # Rounded, as sums of the same terms in another order would break ties.
+        return sentences.select("variant_id").join(means, "variant_id", "left").withColumn("score", F.coalesce(F.round("score", 9), F.lit(0.0)))
 
     return score
 

@@ -39,7 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     more = importlib.import_module("sparklex.plans.pipeline_queries")
-    return SQL | {"wrong_endings": more.WRONG_ENDINGS, "calibrated_errors": more._CALIBRATED}
+    return SQL | {"wrong_endings": more.WRONG_ENDINGS, "calibrated_errors": more.CALIBRATED, "word_candidates": more.WORD_CANDIDATES, "null_margin_argmax": more.ARGMAX, "constrained_corrections": more.CONSTRAINED}
 
 
 # Pools

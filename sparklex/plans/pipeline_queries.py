@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparklex.functions import text as T
-from sparklex.operators import assign, decide, lexicon, stats
+from sparklex.operators import assign, decide, lexicon
 from sparklex.operators.synth import ENDINGS
 from sparklex.plans import pipelines
 from sparklex.plans import sql as S
-from sparklex.plans.catalogue import _GAPPED, _GROUPS, _NONWORD, MAPS, SEED, _vocab, query
+from sparklex.plans.catalogue import _GROUPS, _NONWORD, MAPS, SEED, _vocab, query
+from sparklex.plans.config import DEFAULTS
 from sparklex.runtime import ordered_rank, scratch, table
 from sparklex.sources import readers, schemas, writers
 
@@ -230,7 +231,7 @@ def synthesis_bundle(spark, d):
     return spark.read.schema(f"ord long, {schemas.CHAT}, part string").json(path).select(F.col("ord").alias("item_key"), "part")
 
 
-_CALIBRATED = f"""with tr as (select distinct removed, added from (select substr(correct_word, p + 1) as removed, substr(incorrect_word, p + 1) as added from (select *, cast(case when least(length(correct_word), length(incorrect_word)) > 0 then len(list_filter(generate_series(1, least(length(correct_word), length(incorrect_word))), lambda i: substr(correct_word, 1, i) = substr(incorrect_word, 1, i))) else 0 end as bigint) as p from sc_gc_items where incorrect_word <> 'CORRECT' and correct_word is not null and try_cast(id as bigint) % 2 = 0) where p >= 2)),
+CALIBRATED = f"""with tr as (select distinct removed, added from (select substr(correct_word, p + 1) as removed, substr(incorrect_word, p + 1) as added from (select *, cast(case when least(length(correct_word), length(incorrect_word)) > 0 then len(list_filter(generate_series(1, least(length(correct_word), length(incorrect_word))), lambda i: substr(correct_word, 1, i) = substr(incorrect_word, 1, i))) else 0 end as bigint) as p from sc_gc_items where incorrect_word <> 'CORRECT' and correct_word is not null and try_cast(id as bigint) % 2 = 0) where p >= 2)),
 k as (select token as form from ({S.UNIGRAMS})), r as (select item_key, {S.norm('original_sentence')} as s, {S.tokens('original_sentence')} as t from sc_gc_items where split = 'dev'),
 c as (select * from (select item_key, pos, {S.strip('t[pos + 1]')} as w from (select item_key, t, unnest(generate_series(0, len(t) - 1)) as pos from r)) where regexp_matches(w, '^\\p{{L}}+$') and length(w) >= 4),
 v as (select distinct w from c where w in (select form from k) or lower(w) in (select form from k)),
@@ -239,3 +240,73 @@ n as (select w, new from m where new <> w and new <> '' and (new in (select form
 x as (select item_key, pos, w, new, {S.lot(SEED + '/transform', 'item_key', 'pos', 'new')} as l from c join n using (w)),
 b as (select item_key, pos, w, arg_min(new, (l, new)) as new from x group by all), y as (select item_key, arg_min((pos, w, new), ({S.lot(SEED + '/word', 'item_key', 'pos')}, pos, w, new)) as m from b group by item_key)
 select item_key, array_to_string(list_concat(t[:m[1]], [substr(t[m[1] + 1], 1, strpos(t[m[1] + 1], m[2]) - 1) || m[3] || substr(t[m[1] + 1], strpos(t[m[1] + 1], m[2]) + length(m[2]))], t[m[1] + 2:]), ' ') as input_sentence, s as original_sentence, m[3] as incorrect_word, m[2] as correct_word from r join y using (item_key)"""
+
+
+# Candidates and decisions of the correction engine
+
+_FREE = [*range(1, 65), *range(91, 97), *range(123, 128)]  # ASCII that is no letter
+
+
+def _engine_sql(task: str, words: str) -> str:
+    """CTEs for the words of a task, given as a query of `word`: the candidates `cand` (word, candidate, cnt, rank).
+
+    Levenshtein counts bytes here, so letters beyond ASCII are exchanged for free ASCII characters first.
+    """
+    paradigm = f"""pe as (select word, l from w join f on word = form), px as (select * from pe union select word, l from w join f on lower(word) = form where word not in (select word from pe)),
+pr as (select word, form from (select word, form, row_number() over (partition by word order by form) as n from (select distinct word, f.form from px join f using (l) where word <> f.form)) where n <= {DEFAULTS[task + '_paradigm_cap']})"""
+    if task == "gc":
+        sources = "select word, form as candidate from pr"
+    else:
+        sources = f"""select word, substr(word, 1, i - 1) || substr(g, j, 1) || substr(word, i + 1) as candidate from (select word, i, g, unnest(generate_series(1, length(g))) as j from (select word, i, unnest([{_GROUPS}]) as g from (select word, unnest(generate_series(1, length(word))) as i from w)) where contains(g, substr(word, i, 1)))
+union select word, form from e where d <= case when known then 1 else 2 end union select word, form from pr where not known_word(word)""".replace("not known_word(word)", "word in (select word from w where not known)")
+    return f"""v as ({S.VOCAB}), k as (select token from v where cnt >= 5), f as (select case when length(token) >= 5 then substr(token, 1, 4) else '=' || token end as l, token as form from v where cnt >= 5),
+w as (select word, word in (select token from k) or lower(word) in (select token from k) as known from ({words})),
+al as (select ch, chr({_FREE}[cast(row_number() over (order by ch) as integer)]) as free from (select distinct unnest(string_split(x, '')) as ch from (select word as x from w union select token from k)) where ord(ch) > 127),
+tr as (select coalesce(string_agg(ch, '' order by ch), '') as a, coalesce(string_agg(free, '' order by ch), '') as b from al),
+tw as (select word, known, translate(word, a, b) as x from w, tr), tk as (select token as form, translate(token, a, b) as y from k, tr),
+e as (select word, form, known, levenshtein(x, y) as d from tw join tk on abs(length(x) - length(y)) <= 2), {paradigm}, c as ({sources}),
+cand as (select * from (select word, candidate, coalesce(cnt, 0) as cnt, row_number() over (partition by word order by coalesce(cnt, 0) desc, candidate) as rank from (select distinct word, candidate from c where candidate <> word and (candidate in (select token from k) or lower(candidate) in (select token from k))) left join v on lower(candidate) = token) where rank <= {DEFAULTS['max_cand']})"""
+
+
+def _of(task: str) -> str:
+    return "task = 'gc'" if task == "gc" else "coalesce(task, '') <> 'gc'"
+
+
+def _cores_sql(where: str) -> str:
+    return f"select * from (select item_key, t, pos, {S.strip('t[pos + 1]')} as word from (select item_key, t, unnest(generate_series(0, len(t) - 1)) as pos from (select item_key, {S.tokens('input_sentence')} as t from sc_gc_items where {where}))) where regexp_matches(word, '^\\p{{L}}+$') and length(word) >= 3"
+
+
+def _candidates_sql(task: str) -> str:
+    return f"with {_engine_sql(task, f'select distinct word from ({_cores_sql(_of(task))})')} select *, '{task}' as task from cand"
+
+
+WORD_CANDIDATES = f"select * from ({_candidates_sql('sc')}) union all select * from ({_candidates_sql('gc')})"
+
+# The mean over adjacent words of the sentences `s` (id, sentence).
+_SCORES = f"""un as ({S.UNIGRAMS}), bi as ({S.BIGRAMS}), low as (select id, {S.cores('sentence')} as t from s), ad as (select id, t[i] as l, t[i + 1] as r from (select id, t, unnest(generate_series(1, len(t) - 1)) as i from low where len(t) > 1)),
+me as (select id, avg(ln(coalesce(bi.cnt, 0) + 0.5) - ln(coalesce(un.cnt, 0) + 0.5)) as m from ad left join bi on l = bi."left" and r = bi."right" left join un on l = un.token group by id), sc as (select s.id, round(coalesce(m, 0), 9) as score from s left join me using (id))"""
+
+
+def _argmax_sql(task: str) -> str:
+    dev = f"split = 'dev' and {_of(task)}"
+    return f"""with co as ({_cores_sql(dev)}), {_engine_sql(task, 'select distinct word from co')},
+va as (select item_key, pos, rank, word, candidate, array_to_string(list_concat(t[:pos], [substr(t[pos + 1], 1, strpos(t[pos + 1], word) - 1) || candidate || substr(t[pos + 1], strpos(t[pos + 1], word) + length(word))], t[pos + 2:]), ' ') as sentence from co join cand using (word)),
+al2 as (select item_key, pos, rank, word, candidate, sentence from va union all select item_key, -1, 0, null, null, {S.norm('input_sentence')} from sc_gc_items where {dev}), x as (select *, item_key || ':' || pos || ':' || rank as id from al2),
+s as (select id, sentence from x), {_SCORES}, y as (select x.*, score from x join sc using (id)),
+b as (select item_key, arg_max((word, candidate, score), (score, -pos, -rank)) filter (where pos >= 0) as best, max(score) filter (where pos < 0) as null_score, count(*) filter (where pos >= 0) as n_variants from y group by item_key)
+select item_key as item_id, coalesce(best[1], 'CORRECT') as word, coalesce(best[2], 'CORRECT') as corrected, round(coalesce(best[3] - null_score, 0), 6) as margin, n_variants from b"""
+
+
+ARGMAX = f"select * from ({_argmax_sql('sc')}) union all select * from ({_argmax_sql('gc')})"
+
+
+def _constrained_sql(task: str) -> str:
+    flagged = f"select item_key, input_sentence as sent, incorrect_word as word, correct_word as correction from sc_gc_items where split = 'dev' and incorrect_word <> 'CORRECT' and {_of(task)}"
+    return f"""with fl as ({flagged}), {_engine_sql(task, 'select distinct word from fl where word is not null')},
+tr1 as (select item_key, sent, word, correction as candidate, 0 as rank from fl where correction not in ('', 'CORRECT') union all select item_key, sent, fl.word, candidate, rank from fl join cand using (word) where correction is null or candidate <> correction),
+x as (select *, item_key || ':' || rank || ':' || candidate as id, substr(sent, 1, strpos(sent, word) - 1) || candidate || substr(sent, strpos(sent, word) + length(word)) as sentence from tr1 where (word <> candidate or rank = 0) and strpos(sent, word) > 0 and word <> ''),
+s as (select id, sentence from x), {_SCORES}, b as (select item_key, arg_max(candidate, (score, -rank, candidate)) as best from x join sc using (id) group by item_key)
+select item_key as item_id, case when word = correction then 'CORRECT' else word end as word, case when word = correction then 'CORRECT' else coalesce(best, correction) end as corrected from fl left join b using (item_key)"""
+
+
+CONSTRAINED = f"select * from ({_constrained_sql('sc')}) union all select * from ({_constrained_sql('gc')})"
