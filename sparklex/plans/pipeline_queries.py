@@ -180,6 +180,17 @@ def qa_predictions(spark, d):
     return out.select("item_key", "pred")
 
 
+@query("""with r as (select vec_id // 3 as block, vec_id % 3 as slot, embedding::double[] as e from embeddings), o as (select unnest(generate_series(0, 3)) as o),
+n as (select block, count(*) as n from r group by block), x as (select block, slot, o, e[o + 1] as v from r, o),
+p as (select a.block, a.o as o0, b.o as o1, c.o as o2, a.v + b.v + c.v as total from x a join x b on a.block = b.block and a.slot = 0 and b.slot = 1 and a.o <> b.o join x c on a.block = c.block and c.slot = 2 and c.o <> a.o and c.o <> b.o
+union all select a.block, a.o, b.o, null, a.v + b.v from x a join x b on a.block = b.block and a.slot = 0 and b.slot = 1 and a.o <> b.o join n on a.block = n.block and n.n = 2 union all select a.block, a.o, null, null, a.v from x a join n on a.block = n.block and n.n = 1),
+b as (select block, arg_max((o0, o1, o2), total) as m from p group by block) select block, slot, cast(case slot when 0 then m[1] when 1 then m[2] else m[3] end as integer) as choice from r join b using (block)""")
+def small_slot_assignment(spark, d):
+    """Blocks of three slots and four options, small enough that SQL tries all assignments."""
+    rows = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 3).alias("block"), (F.col("vec_id") % 3).alias("slot"), F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("scores"))
+    return assign.assign_blocks(rows)
+
+
 # Synthesis
 
 
