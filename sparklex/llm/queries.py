@@ -202,7 +202,9 @@ def _looks(x: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     alike = f"select 'input_sentence' as field, item_key as id, input_sentence as text, {_looks('input_sentence')} as look from sc_gc_items where input_sentence is not null union all select 'source', pred_id, source, {_looks('source')} from mt_preds where source is not null"
+    forms = f"select 'input_sentence' as field, item_key as rec_id, {_looks('input_sentence')} as canon from sc_gc_items where input_sentence is not null union all select 'source', pred_id, {_looks('source')} from mt_preds where source is not null"
     return {
+        "p3_forms": forms,
         "p2_found": f"{_RECORDS} select first_id, line_id as copy_id from g where line_id > first_id",
         "p2_records": f"{_RECORDS} select first_id, count(*) as copies from g group by first_id",
         "p3_found": f"with t as ({alike}) select a.field, a.id as id_a, b.id as id_b from t a join t b on a.field = b.field and a.look = b.look and a.id < b.id and a.text <> b.text where a.look <> ''",
