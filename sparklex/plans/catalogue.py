@@ -39,7 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     more = importlib.import_module("sparklex.plans.pipeline_queries")
-    return SQL | {"wrong_endings": more.WRONG_ENDINGS, "calibrated_errors": more.CALIBRATED, "word_candidates": more.WORD_CANDIDATES, "null_margin_argmax": more.ARGMAX, "constrained_corrections": more.CONSTRAINED}
+    return SQL | {"wrong_endings": more.WRONG_ENDINGS, "calibrated_errors": more.CALIBRATED, "word_candidates": more.WORD_CANDIDATES, "null_margin_argmax": more.ARGMAX, "constrained_corrections": more.CONSTRAINED, "typos": more.TYPOS, "cloze_questions": more.CLOZE}
 
 
 # Pools
@@ -171,7 +171,10 @@ def witness_score(spark, d):
 _STOP = ", ".join(S.q(w) for w in T.STOPWORDS)
 
 
-@query(f"select token, count(*) as cnt, min(doc_id) as first_seen from (select doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) as token from documents where text is not null) where regexp_matches(token, '^\\p{{L}}+$') and length(token) >= 4 and lower(token) not in ({_STOP}) group by token order by cnt desc, first_seen, token limit 5000")
+_FREQUENT = f"select token, count(*) as cnt, min(doc_id) as first_seen from (select doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) as token from documents where text is not null) where regexp_matches(token, '^\\p{{L}}+$') and length(token) >= 4 and lower(token) not in ({_STOP}) group by token order by cnt desc, first_seen, token limit 5000"
+
+
+@query(_FREQUENT)
 def frequent_vocab(spark, d):
     """The commonest salient words."""
     return stats.frequency_vocab(table(spark, d, "documents"), "text", "doc_id")
@@ -663,7 +666,8 @@ def wrong_endings(spark, d):
 def cloze_questions(spark, d):
     """I14, I15, C17."""
     vocabulary = [r["token"] for r in stats.frequency_vocab(table(spark, d, "documents"), "text", "doc_id").collect()]
-    return synth.cloze(_originals(spark, d), "text", "item_key", vocabulary, SEED)
+    made = synth.cloze(_originals(spark, d), "text", "item_key", vocabulary, SEED)
+    return made.select("item_key", "context", "question", F.array_join(F.map_values("possible_answers"), " | ").alias("options"), "correct_answer_num", "answer_text")
 
 
 @query()

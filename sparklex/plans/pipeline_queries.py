@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from sparklex.functions import text as T
 from sparklex.operators import assign, decide, lexicon
-from sparklex.operators.synth import ENDINGS
+from sparklex.operators.synth import ALPHABET, CLOZE_QUESTION, CONFUSED, CONFUSED_SHARE, EDITS, ENDINGS, FILLERS, OPTION_COUNTS, THIRDS
 from sparklex.plans import pipelines
 from sparklex.plans import sql as S
-from sparklex.plans.catalogue import _GROUPS, _NONWORD, MAPS, SEED, _vocab, query
+from sparklex.plans.catalogue import _FREQUENT, _GROUPS, _NONWORD, MAPS, SEED, _vocab, query
 from sparklex.plans.config import DEFAULTS
 from sparklex.runtime import ordered_rank, scratch, table
 from sparklex.sources import readers, schemas, writers
@@ -242,6 +242,74 @@ def synthesis_bundle(spark, d):
     return spark.read.schema(f"ord long, {schemas.CHAT}, part string").json(path).select(F.col("ord").alias("item_key"), "part")
 
 
+def _chance(name: str) -> str:
+    return S.unit(f"{SEED}/{name}", "item_key")
+
+
+def _drawn_sql(u: str, weighted) -> str:
+    total, upto, cases = sum(w for _, w in weighted), 0.0, []
+    for value, w in weighted[:-1]:
+        upto += w / total
+        cases.append(f"when {u} < {upto!r} then {S.q(value)}")
+    return f"case {' '.join(cases)} else {S.q(weighted[-1][0])} end"
+
+
+def _place_sql(length: str, u: str) -> str:
+    """The first place whose share of the weights so far is above u."""
+    weight = f"lambda j: {list(THIRDS)}[least(2, 3 * j // greatest({length} - 1, 1)) + 1]"
+    share = f"list_sum(list_transform(generate_series(0, i), {weight})) / list_sum(list_transform(generate_series(0, {length} - 1), {weight}))"
+    return f"least(len(list_filter(generate_series(0, {length} - 1), lambda i: {share} <= {u})), {length} - 1)"
+
+
+def _edit_sql(rows: str, word: str, kind: str, end: str, out: str) -> str:
+    """rows with the column `out`: the word after an edit of the kind, whose lots' names end in `end`."""
+    pick = lambda letters: f"substr({letters}, cast(floor({_chance('letter' + end)} * length({letters})) as integer) + 1, 1)"
+    near = f"case substr({word}, spot + 1, 1) " + " ".join(f"when {S.q(a)} then {S.q(b)}" for a, b in CONFUSED.items()) + " end"
+    letters = f"case when {_chance('confuse' + end)} < {CONFUSED_SHARE} and ({near}) is not null then {near} else replace({S.q(ALPHABET)}, substr({word}, spot + 1, 1), '') end"
+    length = f"(length({word}) - case when {kind} = 'transposition' then 1 else 0 end)"
+    return f"""select * exclude (spot), case when length({word}) < 1 or length({word}) < 2 and {kind} in ('transposition', 'deletion') then {word}
+when {kind} = 'transposition' then substr({word}, 1, spot) || substr({word}, spot + 2, 1) || substr({word}, spot + 1, 1) || substr({word}, spot + 3)
+when {kind} = 'deletion' then substr({word}, 1, spot) || substr({word}, spot + 2) when {kind} = 'insertion' then substr({word}, 1, spot) || {pick(S.q(ALPHABET))} || substr({word}, spot + 1)
+else substr({word}, 1, spot) || {pick('(' + letters + ')')} || substr({word}, spot + 2) end as {out} from (select *, cast({_place_sql(length, _chance('place' + end))} as integer) as spot from ({rows}))"""
+
+
+def _typos_sql() -> str:
+    singles = [(k, 1) for k in ("substitution", "deletion", "insertion", "transposition")]
+    chosen = f"""select *, t[i] as w, {_drawn_sql(_chance('kind'), EDITS)} as kind, {_drawn_sql(_chance('first'), singles)} as one, {_drawn_sql(_chance('second'), singles)} as two, 'substitution' as sub from (
+select *, may[cast(floor({_chance('word')} * len(may)) as integer) + 1] as i from (select item_key, s, t, list_filter(generate_series(1, len(t)), lambda j: length(t[j]) >= 3 and regexp_matches(t[j], '^\\p{{L}}+$')) as may from (
+select item_key, {S.norm('original_sentence')} as s, string_split({S.norm('original_sentence')}, ' ') as t from sc_gc_items where split = 'dev')))"""
+    once = _edit_sql(f"select *, case when kind = 'multi' then one else kind end as k1 from ({chosen})", "w", "k1", "", "o1")
+    twice = _edit_sql(once, "o1", "two", "2", "o2")
+    last = _edit_sql(twice, "w", "sub", "3", "o3")
+    done = f"select *, case when kind = 'multi' and o2 <> w then o2 else o1 end as o from ({last})"
+    bad = f"select *, case when o <> w then o else o3 end as new, {_chance('error')} < 0.5 and i is not null as hit from ({done})"
+    return f"""select item_key, case when hit and new <> w then array_to_string(list_concat(t[:i - 1], [new], t[i + 1:]), ' ') else s end as input_sentence, s as original_sentence,
+case when hit and new <> w then new else 'CORRECT' end as incorrect_word, case when hit and new <> w then w else 'CORRECT' end as correct_word from ({bad})"""
+
+
+TYPOS = _typos_sql()
+
+def _cloze_sql() -> str:
+    fillers = " union all ".join(f"select {S.q(w)}, {10_000 + k}" for k, w in enumerate(FILLERS))
+    stop = ", ".join(S.q(w) for w in T.STOPWORDS)
+
+    def option(j: int, rows: str, other: str) -> str:
+        at = f"cast(floor({_chance(f'option {j}')} * n_words) as bigint)"
+        return f"select {rows}.item_key, arg_min(wn.token, (wn.no - {at} + n_words) % n_words) as token from {rows}, wn, nw where {S.low('wn.token')} <> {S.low('answer')} {other} group by {rows}.item_key"
+
+    return f"""with fr as ({_FREQUENT}), vo as (select token, row_number() over (order by cnt desc, first_seen, token) as rk from fr union all {fillers}), ws as (select arg_min(token, rk) as token, max(rk) as mx from vo group by {S.low('token')}),
+wn as (select token, row_number() over (order by mx) - 1 as no from ws), nw as (select count(*) as n_words from wn),
+r0 as (select item_key, string_split({S.norm('original_sentence')}, ' ') as t from sc_gc_items where split = 'dev'),
+r1 as (select *, list_filter(generate_series(1, len(t)), lambda j: length(t[j]) >= 4 and regexp_matches(t[j], '^\\p{{L}}+$') and lower(t[j]) not in ({stop})) as may from r0),
+r2 as (select *, may[cast(floor({_chance('mask')} * len(may)) as integer) + 1] as i, {_drawn_sql(_chance('count'), [(str(n), w) for n, w in OPTION_COUNTS])} as n from r1 where len(may) > 0),
+r3 as (select *, t[i] as answer from r2), o0 as ({option(0, 'r3', '')}), r4 as (select r3.*, o0.token as first from r3 join o0 using (item_key)), o1 as ({option(1, 'r4', 'and wn.token <> first')}),
+r5 as (select r4.*, case when n = '3' then [answer, first, o1.token] else [answer, first] end as all_of from r4 join o1 using (item_key)),
+r6 as (select *, list_transform(list_sort(list_transform(all_of, lambda w: {{'u': {S.lot_of("'" + SEED + "/order ' || w || ':' || item_key")}, 'w': w}})), lambda e: e.w) as shown from r5)
+select item_key, array_to_string(list_concat(t[:i - 1], ['___'], t[i + 1:]), ' ') as context, {S.q(CLOZE_QUESTION)} as question, array_to_string(shown, ' | ') as options, cast(list_position(shown, answer) as integer) as correct_answer_num, answer as answer_text from r6"""
+
+
+CLOZE = _cloze_sql()
+
 CALIBRATED = f"""with tr as (select distinct removed, added from (select substr(correct_word, p + 1) as removed, substr(incorrect_word, p + 1) as added from (select *, cast(case when least(length(correct_word), length(incorrect_word)) > 0 then len(list_filter(generate_series(1, least(length(correct_word), length(incorrect_word))), lambda i: substr(correct_word, 1, i) = substr(incorrect_word, 1, i))) else 0 end as bigint) as p from sc_gc_items where incorrect_word <> 'CORRECT' and correct_word is not null and try_cast(id as bigint) % 2 = 0) where p >= 2)),
 k as (select token as form from ({S.UNIGRAMS})), r as (select item_key, {S.norm('original_sentence')} as s, {S.tokens('original_sentence')} as t from sc_gc_items where split = 'dev'),
 c as (select * from (select item_key, pos, {S.strip('t[pos + 1]')} as w from (select item_key, t, unnest(generate_series(0, len(t) - 1)) as pos from r)) where regexp_matches(w, '^\\p{{L}}+$') and length(w) >= 4),

@@ -52,6 +52,11 @@ def lot(seed: str, *cols: str) -> str:
     return f"cast(('0x' || substr(md5(concat_ws(':', {parts})), 1, 8)) as bigint)"
 
 
+def lot_of(text: str) -> str:
+    """The lot of a text: the first 32 bits of its md5."""
+    return f"cast(('0x' || substr(md5({text}), 1, 8)) as bigint)"
+
+
 def unit(seed: str, *cols: str) -> str:
     return f"({lot(seed, *cols)} / 4294967296.0::double)"
 

@@ -73,6 +73,7 @@ def test_synthesis_uses_the_own_language_and_the_whole_vocabulary(spark, tmp_pat
     assert got == sorted(want) and len(got) == 80
     assert want != [str(r) for x in ("hsb", "dsb") for r in synth.inject_endings(df.where(f"lang = '{x}'"), "text", "item_key", "hsb", catalogue.SEED).collect()]
     seen = []
-    monkeypatch.setattr(synth, "cloze", lambda df, s, k, vocabulary, seed: seen.append(vocabulary) or df)
+    cloze = synth.cloze
+    monkeypatch.setattr(synth, "cloze", lambda df, s, k, vocabulary, seed: seen.append(vocabulary) or cloze(df, s, k, vocabulary, seed))
     catalogue.cloze_questions(spark, str(tmp_path))
     assert len(seen[0]) == 700
