@@ -1,15 +1,14 @@
 """Problem 2: records that differ only in formatting.
 
 Columns are dictionary-encoded: within a task each distinct value of a field is canonicalised once and gets an integer
-identifier, the 128-bit hash of its canonical form, so that dictionaries of different tasks agree without a shuffle of
-text. A record becomes the sorted tuple of its (field, value) identifiers; tuples are grouped by a 128-bit hash.
+identifier of 128 bits, the hash of field and canonical form, so that dictionaries of different tasks agree without a
+shuffle of text. A record becomes the sorted tuple of its fields' identifiers, and the tuples are grouped as they are.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import struct
 import unicodedata
 from hashlib import blake2b
 
@@ -68,7 +67,7 @@ def _encoder(id_fields: frozenset[str]):
     def encode(batches):
         codes: dict[tuple, bytes] = {}
         for batch in batches:
-            ids, k1, k2 = [], [], []
+            ids, tuples = [], []
             for line_id, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     record = json.loads(payload, parse_int=str, parse_float=str) if payload else None
@@ -88,32 +87,30 @@ def _encoder(id_fields: frozenset[str]):
                         code = codes[plain] = blake2b(f"{field}\0{canon}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
                     parts.append(code)
                 parts.sort()
-                a, b = struct.unpack("<qq", blake2b(b"".join(parts), digest_size=16).digest())
                 ids.append(line_id)
-                k1.append(a)
-                k2.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], ["line_id", "k1", "k2"])
+                tuples.append(b"".join(parts))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tuples, pa.binary())], ["line_id", "record"])
 
     return encode
 
 
 def record_tuples(lines: DataFrame, line_id: str = "line_id", payload: str = "payload", id_fields=("dataset_id", "sent_id", "id")) -> DataFrame:
-    """(line_id, k1, k2): the hash of each line's sorted tuple of value identifiers.
+    """(line_id, record): each line's sorted tuple of value identifiers, 16 bytes each.
 
     Null, blank and broken payloads and payloads that are no JSON object have no row. An id is the same as number and as
     string; other values lose white space, case and punctuation. Fields keep their names; a null value differs from an
     absent field. Other columns of `lines`, whatever their names, are not read.
     """
-    return lines.select(F.col(line_id).cast("long").alias("line_id"), F.col(payload).cast("string").alias("payload")).where("line_id is not null and payload is not null").mapInArrow(_encoder(frozenset(id_fields)), "line_id long, k1 long, k2 long")
+    return lines.select(F.col(line_id).cast("long").alias("line_id"), F.col(payload).cast("string").alias("payload")).where("line_id is not null and payload is not null").mapInArrow(_encoder(frozenset(id_fields)), "line_id long, record binary")
 
 
 def collapse_records(lines: DataFrame, **names) -> DataFrame:
     """(first_id, copies): one row for each record, with its smallest line_id and the number of its lines."""
-    return record_tuples(lines, **names).groupBy("k1", "k2").agg(F.min("line_id").alias("first_id"), F.count("*").alias("copies")).select("first_id", "copies")
+    return record_tuples(lines, **names).groupBy("record").agg(F.min("line_id").alias("first_id"), F.count("*").alias("copies")).select("first_id", "copies")
 
 
 def formatting_copies(lines: DataFrame, **names) -> DataFrame:
     """(first_id, copy_id): one row for each further line of a record. Lines with a repeated line_id count once."""
     tuples = checkpointed(record_tuples(lines, **names))
-    groups = tuples.groupBy("k1", "k2").agg(F.min("line_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    return join_groups(tuples, groups, ["k1", "k2"], "n").where("line_id > first_id").select("first_id", F.col("line_id").alias("copy_id")).distinct()
+    groups = tuples.groupBy("record").agg(F.min("line_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    return join_groups(tuples, groups, ["record"], "n").where("line_id > first_id").select("first_id", F.col("line_id").alias("copy_id")).distinct()

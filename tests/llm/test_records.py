@@ -52,7 +52,7 @@ def test_formatting_copies(spark):
     df = lines(spark, payloads)
     assert rows(fd.formatting_copies(df), "first_id", "copy_id") == [(1, 2), (1, 17)]
     assert dict(rows(fd.collapse_records(df), "first_id", "copies")) == {1: 3, 3: 1, 4: 1, 5: 1, 6: 1, 14: 1, 15: 1, 16: 1}
-    wider = df.withColumns({"k1": F.lit(1), "first_id": F.lit("x"), "n": F.lit(None)})
+    wider = df.withColumns({"k1": F.lit(1), "record": F.lit(2), "first_id": F.lit("x"), "n": F.lit(None)})
     assert rows(fd.formatting_copies(wider), "first_id", "copy_id") == [(1, 2), (1, 17)]
     assert fd.formatting_copies(df.where("false")).count() == 0
     assert fd.formatting_copies(df.unionByName(df)).count() == 2
