@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparklex.functions.text import CORRECT, _c, is_quoted, is_upper, mr_answer, norm, strip_punct, tokens
 from sparklex.operators.lexicon import diacritic_variants, form_index, known_words
+from sparklex.runtime import checkpointed
 
 #: The rungs of the ladder: (number, sampled, temperature, least new tokens).
 LADDER = ((1, False, 0.0, 24), (2, False, 0.0, 24), (3, True, 0.7, 32))
@@ -89,16 +90,16 @@ def retry_ladder(rows: DataFrame, generate: Callable[..., DataFrame], rungs=LADD
 
     generate(rows, sample, temperature, min_new) takes (item_id, prompt) and returns (item_id, raw). The second rung has the
     prompt end in an opened answer. A rung's result counts if it has an answer; stage is its number, 0 for the first run.
-    Nothing is evaluated before an action.
+    Each rung is written down, so the model answers a prompt once.
     """
-    out = rows.withColumn("stage", F.lit(0))
+    out = checkpointed(rows.withColumn("stage", F.lit(0)))
     for number, sample, temperature, min_new in rungs:
         empty = out.where(mr_answer("raw") == "")
         prompt = F.concat("prompt", F.lit(ANSWER_NOW)) if number == 2 else F.col("prompt")
         again = generate(empty.select("item_id", prompt.alias("prompt")), sample=sample, temperature=temperature, min_new=min_new)
         text = F.concat(F.lit("<answer>"), F.col("raw")) if number == 2 else F.col("raw")
         good = again.select("item_id", text.alias("_raw")).where(mr_answer("_raw") != "")
-        out = out.join(good, "item_id", "left").withColumn("stage", F.when(F.col("_raw").isNotNull(), number).otherwise(F.col("stage"))).withColumn("raw", F.coalesce("_raw", "raw")).drop("_raw")
+        out = checkpointed(out.join(good, "item_id", "left").withColumn("stage", F.when(F.col("_raw").isNotNull(), number).otherwise(F.col("stage"))).withColumn("raw", F.coalesce("_raw", "raw")).drop("_raw"))
     return out
 
 

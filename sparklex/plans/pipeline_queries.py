@@ -12,7 +12,7 @@ from sparklex.plans import pipelines
 from sparklex.plans import sql as S
 from sparklex.plans.catalogue import _FREQUENT, _GROUPS, _NONWORD, MAPS, SEED, _vocab, query
 from sparklex.plans.config import DEFAULTS
-from sparklex.runtime import ordered_rank, scratch, table
+from sparklex.runtime import checkpointed, ordered_rank, scratch, table
 from sparklex.sources import readers, schemas, writers
 
 # Sources and sinks, written and read back
@@ -366,12 +366,12 @@ _SCORES = f"""un as ({S.UNIGRAMS}), bi as ({S.BIGRAMS}), low as (select id, {S.c
 me as (select id, avg(ln(coalesce(bi.cnt, 0) + 0.5) - ln(coalesce(un.cnt, 0) + 0.5)) as m from ad left join bi on l = bi."left" and r = bi."right" left join un on l = un.token group by id), sc as (select s.id, round(coalesce(m, 0), 9) as score from s left join me using (id))"""
 
 
-def _argmax_sql(task: str) -> str:
+def _argmax_sql(task: str, scores: str = _SCORES) -> str:
     dev = f"split = 'dev' and {_of(task)}"
     return f"""with co as ({_cores_sql(dev)}), {_engine_sql(task, 'select distinct word from co')},
 va as (select item_key, pos, rank, word, candidate, array_to_string(list_concat(t[:pos], [substr(t[pos + 1], 1, strpos(t[pos + 1], word) - 1) || candidate || substr(t[pos + 1], strpos(t[pos + 1], word) + length(word))], t[pos + 2:]), ' ') as sentence from co join cand using (word)),
 al2 as (select item_key, pos, rank, word, candidate, sentence from va union all select item_key, -1, 0, null, null, {S.norm('input_sentence')} from sc_gc_items where {dev}), x as (select *, item_key || ':' || pos || ':' || rank as id from al2),
-s as (select id, sentence from x), {_SCORES}, y as (select x.*, score from x join sc using (id)),
+s as (select id, sentence from x), {scores}, y as (select x.*, score from x join sc using (id)),
 b as (select item_key, arg_max((word, candidate, score), (score, -pos, -rank)) filter (where pos >= 0) as best, max(score) filter (where pos < 0) as null_score, count(*) filter (where pos >= 0) as n_variants from y group by item_key)
 select item_key as item_id, coalesce(best[1], 'CORRECT') as word, coalesce(best[2], 'CORRECT') as corrected, round(coalesce(best[3] - null_score, 0), 6) as margin, n_variants from b"""
 
@@ -379,13 +379,71 @@ select item_key as item_id, coalesce(best[1], 'CORRECT') as word, coalesce(best[
 ARGMAX = f"select * from ({_argmax_sql('sc')}) union all select * from ({_argmax_sql('gc')})"
 
 
-def _constrained_sql(task: str) -> str:
-    flagged = f"select item_key, input_sentence as sent, incorrect_word as word, correct_word as correction from sc_gc_items where split = 'dev' and incorrect_word <> 'CORRECT' and {_of(task)}"
+def _constrained_sql(task: str, scores: str = _SCORES, more: str = "true") -> str:
+    flagged = f"select item_key, input_sentence as sent, incorrect_word as word, correct_word as correction from sc_gc_items where split = 'dev' and incorrect_word <> 'CORRECT' and {_of(task)} and {more}"
     return f"""with fl as ({flagged}), {_engine_sql(task, 'select distinct word from fl where word is not null')},
 tr1 as (select item_key, sent, word, correction as candidate, 0 as rank from fl where correction not in ('', 'CORRECT') union all select item_key, sent, fl.word, candidate, rank from fl join cand using (word) where correction is null or candidate <> correction),
 x as (select *, item_key || ':' || rank || ':' || candidate as id, substr(sent, 1, strpos(sent, word) - 1) || candidate || substr(sent, strpos(sent, word) + length(word)) as sentence from tr1 where (word <> candidate or rank = 0) and strpos(sent, word) > 0 and word <> ''),
-s as (select id, sentence from x), {_SCORES}, b as (select item_key, arg_max(candidate, (score, -rank, candidate)) as best from x join sc using (id) group by item_key)
+s as (select id, sentence from x), {scores}, b as (select item_key, arg_max(candidate, (score, -rank, candidate)) as best from x join sc using (id) group by item_key)
 select item_key as item_id, case when word = correction then 'CORRECT' else word end as word, case when word = correction then 'CORRECT' else coalesce(best, correction) end as corrected from fl left join b using (item_key)"""
 
 
 CONSTRAINED = f"select * from ({_constrained_sql('sc')}) union all select * from ({_constrained_sql('gc')})"
+
+
+# Whole pipelines of correction: the model flags the rows of even number as they are judged, and the corpus is the items.
+
+_OWN_BIGRAMS = S.BIGRAMS.replace(S.cores("text"), S.cores("input_sentence")).replace("from documents", "from sc_gc_items")
+_OWN_SCORES = _SCORES.replace(S.UNIGRAMS, S.VOCAB).replace(S.BIGRAMS, _OWN_BIGRAMS)
+
+
+def _pipeline_sql(task: str, rest: str) -> str:
+    """CTEs with one row for each item: what the model says (w, c), what the engine says (ew, ec, m) and constrained (ow, oc)."""
+    return f"""with en as ({_argmax_sql(task, _OWN_SCORES)}), co as ({_constrained_sql(task, _OWN_SCORES, 'item_key % 2 = 0')}),
+d as (select item_key, input_sentence as s, case when item_key % 2 = 0 then incorrect_word else 'CORRECT' end as w, en.word as ew, en.corrected as ec, en.margin as m, co.word as ow, co.corrected as oc from sc_gc_items i join en on en.item_id = item_key left join co on co.item_id = item_key where split = 'dev' and {_of(task)}), {rest}"""
+
+
+def _gc_sql() -> str:
+    fit = DEFAULTS["witness"]["hsb"]
+    return _pipeline_sql("gc", f"""bg as ({_OWN_BIGRAMS}), l as (select item_key, lower(ew) as o, lower(ec) as c, list_transform({S.tokens('s')}, lambda t: lower({S.strip('t')})) as l from d where coalesce(ew, '') not in ('', 'CORRECT')), n as (select *, list_position(l, o) as p from l),
+q as (select item_key, o, c, case when p > 1 then l[p - 1] end as lw, case when p > 0 then l[p + 1] end as rw from n),
+g as (select item_key, 1 as k, lw as "left", c as "right" from q union all select item_key, 1, c, rw from q union all select item_key, -1, lw, o from q union all select item_key, -1, o, rw from q),
+wi as (select item_key, sum(k * ln(coalesce(cnt, 0) + 0.5)) as x from g left join bg using ("left", "right") where "left" <> '' and "right" <> '' group by item_key),
+z as (select d.*, coalesce(w, '') not in ('', 'CORRECT') as flag, coalesce(ew, '') = w and coalesce(ec, '') <> '' as agree, m + {fit['w']} * coalesce(x, 0) >= {fit['t']} as solo from d left join wi using (item_key))
+select item_key, coalesce(nullif(case when flag and agree then w when flag then ow when solo then ew else 'CORRECT' end, ''), 'CORRECT') as pred_incorrect, coalesce(nullif(case when flag and agree then ec when flag then oc when solo then ec else 'CORRECT' end, ''), 'CORRECT') as pred_corrected from z""")
+
+
+def _sc_sql() -> str:
+    margin = _MARGIN.replace("m >= 0.3", f"m >= {DEFAULTS['tau']['dsb']}")
+    return _pipeline_sql("sc", f"""nw as (select item_key, word as nw, corrected as nc from ({_NONWORD})), z as (select d.*, nw, nc, coalesce(nullif(ow, ''), 'CORRECT') as w1, coalesce(nullif(oc, ''), 'CORRECT') as c1 from d left join nw using (item_key)),
+t as (select *, case when w1 <> 'CORRECT' then 1 when nw is not null then 2 when {margin} then 3 else 4 end as stage from z)
+select item_key, case stage when 1 then w1 when 2 then nw when 3 then ew else 'CORRECT' end as pred_incorrect, case stage when 1 then c1 when 2 then nc when 3 then ec else 'CORRECT' end as pred_corrected from t""")
+
+
+def _corrected(spark, d, task: str, lang: str) -> DataFrame:
+    items = table(spark, d, "sc_gc_items")
+    own = items.where("split = 'dev'").where(F.col("task") == "gc" if task == "gc" else F.coalesce("task", F.lit("")) != "gc")
+
+    def generate(rows, **how):
+        said = own.select(F.col("item_key").alias("item_id"), F.concat(F.lit("<wrong> "), "incorrect_word", F.lit(" </wrong> <corrected> "), "correct_word", F.lit(" </corrected>")).alias("said"))
+        none = F.lit("<wrong> CORRECT </wrong> <corrected> CORRECT </corrected>")
+        return rows.join(said, "item_id").select("item_id", F.when(F.col("item_id") % 2 == 0, F.col("said")).otherwise(none).alias("raw"))
+
+    vocab = _vocab(spark, d)
+    lemma = F.when(F.length("token") >= 5, F.substring("token", 1, 4)).otherwise(F.concat(F.lit("="), "token"))
+    forms = checkpointed(vocab.where("cnt >= 5").select(lemma.alias("lemma_idx"), F.col("token").alias("form")))
+    rows = own.select(F.col("item_key").alias("item_id"), F.col("input_sentence").alias("sentence"))
+    out = pipelines.sc_gc(rows, task, lang, generate, forms, list(MAPS), items.select(F.col("input_sentence").alias("text")))
+    return out.select(F.col("item_id").alias("item_key"), "pred_incorrect", "pred_corrected")
+
+
+@query(_gc_sql())
+def gc_predictions(spark, d):
+    """L7 for grammar: the model's flag against the engine's argmax and the bigrams' witness."""
+    return _corrected(spark, d, "gc", "hsb")
+
+
+@query(_sc_sql())
+def sc_predictions(spark, d):
+    """L7 for spelling: the constrained correction, then the diacritic and the margin top-up, as switched on for one language."""
+    return _corrected(spark, d, "sc", "dsb")

@@ -11,6 +11,7 @@ from sparklex.functions import text as T
 from sparklex.operators import assign, candidates, decide, lexicon, pool, retrieval, stats, synth
 from sparklex.operators.mix import shuffled_rank, train_pool_split
 from sparklex.plans.config import DEFAULTS
+from sparklex.runtime import checkpointed
 
 Generate = Callable[..., DataFrame]
 
@@ -69,13 +70,14 @@ def sc_gc(items: DataFrame, task: str, lang: str, generate: Generate, forms: Dat
     `fitted` holds the settings by language: weight and threshold of the witness, the least frequency of the diacritic
     top-up (None where it is off) and the margin from which the last one acts (None likewise).
     """
-    unigrams, bigrams = stats.unigrams(mono, "text"), stats.bigrams(mono, "text")
+    unigrams, bigrams = checkpointed(stats.unigrams(mono, "text")), checkpointed(stats.bigrams(mono, "text"))
     score = scorer or candidates.bigram_scorer(unigrams, bigrams)
     raw = generate(items.select("item_id", T.sc_gc_prompt("sentence", task).alias("prompt")))
-    flagged = items.join(raw, "item_id", "left").select("item_id", "sentence", T.wrong_word("raw").alias("word"), T.corrected_word("raw").alias("correction"))
+    # Written down, so that the model answers each prompt once.
+    flagged = checkpointed(items.join(raw, "item_id", "left").select("item_id", "sentence", T.wrong_word("raw").alias("word"), T.corrected_word("raw").alias("correction")))
     words = candidates.sentence_cores(items).select(F.col("core").alias("word")).distinct()
-    cand = word_candidates(words, forms, maps, unigrams, task, fitted["gc_paradigm_cap" if task == "gc" else "sc_paradigm_cap"], most=fitted["max_cand"])
-    solo = candidates.best_edit(items, cand, score).select("item_id", F.col("word").alias("eng_w"), F.col("corrected").alias("eng_c"), "margin")
+    cand = checkpointed(word_candidates(words, forms, maps, unigrams, task, fitted["gc_paradigm_cap" if task == "gc" else "sc_paradigm_cap"], most=fitted["max_cand"]))
+    solo = checkpointed(candidates.best_edit(items, cand, score).select("item_id", F.col("word").alias("eng_w"), F.col("corrected").alias("eng_c"), "margin"))
     fixed = candidates.constrained_correction(flagged.where("word <> '' and word <> 'CORRECT'"), cand, score).select("item_id", F.col("word").alias("co_w"), F.col("corrected").alias("co_c"))
     rows = flagged.select("item_id", "sentence", F.col("word").alias("v5_w"), F.col("correction").alias("v5_c")).join(solo, "item_id", "left").join(fixed, "item_id", "left")
     if task == "gc":
@@ -95,7 +97,7 @@ def mr(items: DataFrame, generate: Generate, dev: DataFrame | None = None, thres
     answer of a question that stands there overrides; this is off by default, as it answers from held-out material."""
     prompts = items.select("item_id", T.mr_prompt("question").alias("prompt"))
     first = prompts.join(generate(prompts), "item_id", "left")
-    laddered = decide.retry_ladder(first, generate) if ladder else first.withColumn("stage", F.lit(0))
+    laddered = decide.retry_ladder(first, generate) if ladder else first.withColumn("stage", F.lit(0))  # a rung is written down
     answers = items.join(laddered.select("item_id", T.mr_answer("raw").alias("_a"), "stage"), "item_id", "left")
     out = answers.withColumn("pred", T.postformat("_a", T.tier_of("id")) if formatted else F.coalesce("_a", F.lit(""))).drop("_a")
     if dev is None:
