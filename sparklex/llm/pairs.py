@@ -172,6 +172,9 @@ def gives_back(reply: str, task: str) -> bool:
     if len(words) < TILE:  # shorter than a tile: nothing but the whole text of the task
         return len(words) > 1 and not all(w[:1].isupper() or w.isdigit() for w in _TOKENS.findall(reply)) and words == _TOKENS.findall(task_text(task).casefold())
     source = _TOKENS.findall(task.casefold())
+    known = set(source)
+    if sum(w not in known for w in words) > (1 - COVERED) * len(words):  # no tile holds them
+        return False
     quick = {tuple(source[i : i + TILE]) for i in range(len(source) - TILE + 1)}
     if sum(tuple(words[i : i + TILE]) in quick for i in range(len(words) - TILE + 1)) < 0.7 * (len(words) - TILE + 1) - 2:
         return False
