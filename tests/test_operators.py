@@ -151,6 +151,23 @@ def test_within_edits_is_complete(spark):
 # Candidates and decisions
 
 
+def test_scores_of_edits_are_those_of_the_whole_variants(spark):
+    corpus = texts(spark, "to je dobra kniha", "to je nowa kniha , haj", "wulka dobra kniha steji tu")
+    items = spark.createDataFrame([(1, "to je „dobra\" - kniha , tu"), (2, "kniha"), (3, None), (4, "steji kniha tu nowa"), (5, "- , .")], "item_id long, sentence string")
+    cand = spark.createDataFrame([(w, c, i) for w in ("dobra", "kniha", "steji", "nowa") for i, c in enumerate(("Nowa", "dobra", "kniha", "steji"), 1) if c != w], "word string, candidate string, rank long")
+    scorer = candidates.bigram_scorer(stats.unigrams(corpus, "text"), stats.bigrams(corpus, "text"))
+    whole = lambda sentences: scorer(sentences)  # noqa: E731 - hides score_edits
+    cols = ("item_id", "word", "corrected", "margin", "n_variants")
+    near = lambda df: [tuple(round(x, 8) if isinstance(x, float) else x for x in r) for r in rows(df, *cols)]
+    got = near(candidates.best_edit(items, cand, scorer))
+    assert got == near(candidates.best_edit(items, cand, whole)) and len(got) == 5 and got[0][4] == 6
+    null, edits = scorer.score_edits(items, cand)
+    variants = candidates.single_edit_variants(items, cand).withColumn("variant_id", F.concat_ws(":", "item_id", "pos", "rank"))
+    want = {tuple(r.variant_id.split(":")): r.score for r in scorer(variants.select("variant_id", F.col("variant").alias("sentence"))).collect()}
+    have = {(str(r.item_id), str(r.pos), str(r["rank"])): r.score for r in edits.collect()}
+    assert have.keys() == want.keys() and all(abs(have[k] - want[k]) < 1e-8 for k in want)
+
+
 def test_best_edit(spark):
     items = spark.createDataFrame([(1, "to je dobru kniha"), (2, "ja"), (3, None)], "item_id long, sentence string")
     cand = spark.createDataFrame([("dobru", "dobra", 1), ("dobru", "dobro", 2)], "word string, candidate string, rank long")
