@@ -14,7 +14,7 @@ from sparklex.functions import text as T
 from sparklex.operators import lexicon, package, stats, synth
 from sparklex.plans import config, folder, pipelines
 from sparklex.runtime import checkpointed, numbered
-from sparklex.sources import readers, schemas, writers
+from sparklex.sources import files, readers, schemas, writers
 
 FIELDS = ["source", "input_sentence", "question", "de", "hsb", "dsb"]
 
@@ -70,7 +70,8 @@ def clean_pools(spark: SparkSession, pools: str, test_dir: str, out_dir: str, ca
     """Writes each direction's cleaned pool and the funnel; fails before any job if there is nothing to read."""
     found = readers.discover(test_dir)
     tests = [readers.read_jsonl(spark, path, schemas.TASKS[task]) for task, files in found.items() for _, path in files]
-    stems = sorted(f[:-4] for f in os.listdir(pools) if f.endswith(".src") and os.path.exists(os.path.join(pools, f[:-4] + ".tgt")))
+    there = set(files.names(pools))
+    stems = sorted(f[:-4] for f in there if f.endswith(".src") and f[:-4] + ".tgt" in there)
     if not tests or not stems:
         print(f"nothing to do: {len(tests)} test files, {len(stems)} pools", file=sys.stderr)
         return 2
@@ -148,7 +149,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if a.command == "calibrated-errors":
         return calibrated_errors(spark, a)
-    os.makedirs(a.out_dir, exist_ok=True)
+    files.make_folder(a.out_dir)
     if a.command == "predict":
         return predict(spark, a)
     if a.command == "maths-rows":

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import re
 from dataclasses import dataclass, field
 
+from sparklex.sources import files
+
 _ALWAYS = object()
 # What a configuration needs: (a setting, the value of it that asks for them or None for any that is set, settings).
 NEEDS = (
@@ -96,5 +97,5 @@ class Resources:
         raw = self.overrides.get(name) or self.paths.get(name)
         _need(raw is not None, "resources", f"{name} missing")
         full = expand(raw, self.variables)
-        _need(os.path.exists(full), "resources", f"{name}: {full} isn't there")
+        _need(files.exists(full), "resources", f"{name}: {full} isn't there")
         return full

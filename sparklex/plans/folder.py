@@ -14,7 +14,7 @@ from sparklex.operators import lexicon, model
 from sparklex.plans import pipelines
 from sparklex.plans.config import DEFAULTS, ConfigError, Resources, setting
 from sparklex.runtime import checkpointed, numbered
-from sparklex.sources import readers, writers
+from sparklex.sources import files, readers, writers
 
 TASKS = ("mt", "qa", "sc", "gc", "mr")
 # How the files' names spell a language, and the names themselves.
@@ -85,7 +85,7 @@ def run(spark: SparkSession, config: dict, test_dir: str, out_dir: str, load: Ca
     found = readers.discover(test_dir)
     if not any(found.get(t) for t in tasks):
         raise ConfigError(f"{test_dir}: no file of {sorted(tasks)}")
-    os.makedirs(out_dir, exist_ok=True)
+    files.make_folder(out_dir)
     written = []
     for task in (t for t in TASKS if t in tasks):
         generate = model.generator(load(task), task, setting(config, "engine.batch", DEFAULTS["batch"]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import zipfile
 from functools import reduce
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from sparklex.operators.lexicon import AffixRules, parse_affixes
 from sparklex.operators.pool import ranked_union
 from sparklex.runtime import numbered
-from sparklex.sources import schemas
+from sparklex.sources import files, schemas
 
 
 def read_jsonl(spark: SparkSession, path, schema: str) -> DataFrame:
@@ -56,7 +57,7 @@ def read_mono(spark: SparkSession, paths: list[str], lang: str, low: int = 3, hi
     skipped. CSV files give the column named by the language, else the first; all others are read line by line."""
     sources = []
     for path in paths:
-        if not os.path.exists(path):
+        if not files.exists(path):
             continue
         if path.removesuffix(".gz").endswith(".csv"):
             df = read_csv_text(spark, path, lang).select(F.monotonically_increasing_id().alias("ord"), "text")
@@ -75,13 +76,12 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 def read_affixes(path: str) -> AffixRules:
     """The rules of an affix file; a file of rules is small by nature."""
-    with open(path, encoding="utf-8", errors="ignore") as f:
-        return parse_affixes(f)
+    return parse_affixes(files.read_bytes(path).decode("utf-8", "ignore").splitlines())
 
 
 def extract_lexicon(archive: str, folder: str) -> tuple[str, str]:
     """(affix file, dictionary): the only ones of the archive apart from hyphenation; anything else is an error."""
-    with zipfile.ZipFile(archive) as z:
+    with zipfile.ZipFile(io.BytesIO(files.read_bytes(archive))) as z:
         names = [n for n in z.namelist() if not os.path.basename(n).startswith("hyph")]
         found = []
         for ending in (".aff", ".dic"):
@@ -89,17 +89,16 @@ def extract_lexicon(archive: str, folder: str) -> tuple[str, str]:
             if len(own) != 1:
                 raise ValueError(f"{archive}: {len(own)} files end in {ending}")
             target = os.path.join(folder, os.path.basename(own[0]))
-            with z.open(own[0]) as a, open(target, "wb") as b:
-                b.write(a.read())
+            files.write_bytes(target, z.read(own[0]))
             found.append(target)
     return found[0], found[1]
 
 
 def discover(folder: str) -> dict[str, list[tuple]]:
     """Task files that are there under their fixed names: {task: [(language or direction, path)]}."""
-    out: dict[str, list[tuple]] = {"mt": [(d, p) for d, name in schemas.MT_FILES.items() if os.path.exists(p := os.path.join(folder, name))]}
+    out: dict[str, list[tuple]] = {"mt": [(d, p) for d, name in schemas.MT_FILES.items() if files.exists(p := os.path.join(folder, name))]}
     for task, name in schemas.OTHER_FILES.items():
-        out[task] = [(lang, p) for lang in ("hsb", "dsb") if os.path.exists(p := os.path.join(folder, name.format(lang=lang)))]
+        out[task] = [(lang, p) for lang in ("hsb", "dsb") if files.exists(p := os.path.join(folder, name.format(lang=lang)))]
     return out
 
 
@@ -107,7 +106,7 @@ def read_blocklist(spark: SparkSession, paths: list[str], schema: str, fields: l
     """(text): the blocklist of all files that are there."""
     from sparklex.operators.pool import blocklist, union_blocklists
 
-    parts = [blocklist(read_jsonl(spark, p, schema), fields, first_only) for p in paths if p and os.path.exists(p)]
+    parts = [blocklist(read_jsonl(spark, p, schema), fields, first_only) for p in paths if p and files.exists(p)]
     return union_blocklists(parts) if parts else spark.createDataFrame([], "text string")
 
 

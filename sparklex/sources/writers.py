@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparklex.operators.package import package_rows
+from sparklex.sources.files import one_file, write_text
 
 
 def write_jsonl(df: DataFrame, path: str, files: int | None = None) -> None:
@@ -20,21 +19,7 @@ def write_jsonl(df: DataFrame, path: str, files: int | None = None) -> None:
 def write_task(df: DataFrame, task: str, path: str, order: str) -> None:
     """The task's file: fields and rows in their order. A task file is one small file by its format."""
     rows = df.orderBy(order) if order in df.columns else df
-    single_file(package_rows(rows, task).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json, path)
-
-
-def single_file(write, path: str) -> None:
-    """Writes to a folder beside the path and moves its one part file to the path."""
-    folder = f"{path}.parts"
-    write(folder)
-    parts = [p for p in os.listdir(folder) if p.startswith("part-")]
-    if len(parts) > 1:
-        raise ValueError(f"{path}: {len(parts)} part files")
-    if parts:
-        os.replace(os.path.join(folder, parts[0]), path)
-    else:
-        open(path, "w").close()
-    shutil.rmtree(folder)
+    one_file(package_rows(rows, task).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json, path)
 
 
 def write_pool(pool: DataFrame, folder: str) -> None:
@@ -46,7 +31,7 @@ def write_pool_text(pool: DataFrame, direction: str, stem: str) -> None:
     """A direction's pool as two line-aligned files in the order of row_idx; line ends inside texts become blanks."""
     rows = pool.where(F.col("direction") == direction).orderBy("row_idx").coalesce(1)
     for side in ("src", "tgt"):
-        single_file(rows.select(F.regexp_replace(side, "[\\r\\n]+", " ")).write.mode("overwrite").text, f"{stem}.{side}")
+        one_file(rows.select(F.regexp_replace(side, "[\\r\\n]+", " ")).write.mode("overwrite").text, f"{stem}.{side}")
 
 
 def write_bundle(rows: DataFrame, folder: str, by: list[str]) -> None:
@@ -56,8 +41,7 @@ def write_bundle(rows: DataFrame, folder: str, by: list[str]) -> None:
 
 def write_meta(meta: DataFrame, path: str, **more) -> None:
     """A one-row table of counts as a JSON file, with further values by name."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(meta.first().asDict(recursive=True) | more, f, ensure_ascii=False, indent=2)
+    write_text(path, json.dumps(meta.first().asDict(recursive=True) | more, ensure_ascii=False, indent=2))
 
 
 def read_deletion_index(spark: SparkSession, path: str) -> DataFrame:
