@@ -324,6 +324,17 @@ def test_prefix_on_a_tenth_of_all_rows(spark, monkeypatch):
     assert len(sizes) >= 5 and max(sizes.values()) <= 90, sizes
 
 
+def test_overlaps_of_hot_copies(spark, monkeypatch):
+    """One item and one message on most rows: every row of both comes out."""
+    monkeypatch.setattr(split_overlap, "HOT_ROWS", 20)
+    monkeypatch.setattr(runtime.join_groups, "__defaults__", (20,))
+    hot, other = "to je nowa wulka kniha a stary dom pola rěki", "druha sada steji tu mjez wšěmi a nichtó ju njewidźi"
+    it = spark.createDataFrame([("t", i, hot) for i in range(60)] + [("t", 100, other)], "eval_table string, item_key long, text string")
+    ms = spark.createDataFrame([(i, f"x {hot.upper()}.") for i in range(50)] + [(100, other), (101, "nothing")], "row_id long, text string")
+    got = rows(split_overlap.overlaps(it, ms), "item_key", "row_id", "coverage")
+    assert got == sorted([(i, r, 1.0) for i in range(60) for r in range(50)] + [(100, 100, 1.0)])
+
+
 def test_coverage_merges_spans():
     item, text = "a b c d e f g h".split(), "x a b c q e f g h a b c".split()
     assert split_overlap.coverage(item, text, [(0, 1), (5, 6), (0, 9), (1, 2)]) == 7 and split_overlap.coverage(item, text, []) == 0

@@ -226,6 +226,18 @@ def test_tiling():
     assert not pairs.gives_back("a b c d x y z", "a b c d e f") and pairs.gives_back("a b", "a b") and not pairs.gives_back("a", "a")
 
 
+def test_fits_do_not_depend_on_the_order_of_the_sample(spark, preds):
+    training = [(r["task"] or "", r["direction"] or "", r["lang"], [m.asDict() for m in r["messages"] or []]) for r in spark.read.parquet("/root/testdata/sf0.001/training.parquet").collect()]
+    texts = [(r["text"], r["source"], r["kind"]) for r in preds.limit(300).collect()]
+    judges, ends = [], []
+    for order in range(3):
+        rng = random.Random(order)
+        judge = pairs.fit_judge(sorted(training, key=str) if order == 0 else rng.sample(training, len(training)))
+        judges.append((judge.profiles.table.tobytes(), judge.ends.weights.tobytes(), sorted(judge.closings.items())))
+        ends.append(completeness.fit_end_model(sorted(texts, key=str) if order == 0 else rng.sample(texts, len(texts))).weights.tobytes())
+    assert judges[0] == judges[1] == judges[2] and ends[0] == ends[1] == ends[2]
+
+
 def test_defective_pairs(spark):
     training = spark.read.parquet(f"{SF}/training.parquet")
     judged = pairs.judged_pairs(training)
