@@ -85,20 +85,30 @@ def pairs_of(messages) -> list[tuple[int, str | None, str | None]]:
 
     Further messages of the assistant before the next user message belong to the reply.
     """
+    return _paired((m.get("role"), m.get("content")) for m in messages or [] if m is not None)
+
+
+def _paired(turns) -> list[tuple[int, str | None, str | None]]:
+    """pairs_of for (role, content)."""
     out: list[list] = []
-    open_pair = False
-    for m in messages or []:
-        if m is None:
-            continue
-        kind = role_of(m.get("role"))
+    for role, content in turns:
+        kind = role_of(role)
         if kind == "user":
-            out.append([len(out) + 1, m.get("content"), None])
-            open_pair = True
-        elif kind == "assistant" and open_pair and m.get("content") is not None:
-            out[-1][2] = m["content"] if out[-1][2] is None else f"{out[-1][2]}\n{m['content']}"
+            out.append([len(out) + 1, content, None])
+        elif kind == "assistant" and out and content is not None:
+            out[-1][2] = content if out[-1][2] is None else f"{out[-1][2]}\n{content}"
     return [tuple(p) for p in out]
 
 
+def _turns(messages: pa.ListArray):
+    """Yields the (role, content) of each row's messages."""
+    roles, contents = (x.to_pylist() for x in messages.flatten().flatten())
+    at = 0
+    for n in messages.value_lengths().fill_null(0).to_pylist():
+        yield zip(roles[at : at + n], contents[at : at + n])
+        at += n
+
+
 def is_refusal(text: str) -> bool:
     """Every sentence declines to work on the request, by one of the grammars, or is an apology, a courtesy or a mere mark
     beside one that declines."""
@@ -304,8 +314,8 @@ def _runner(judge: Judge):
     def run(batches):
         for batch in batches:
             keys, rows = [], []
-            for row, task, direction, messages, by in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                for no, user, reply in pairs_of(messages):
+            for row, task, direction, turns, by in zip(*(batch.column(i).to_pylist() for i in range(3)), _turns(batch.column(3)), batch.column(4).to_pylist()):
+                for no, user, reply in _paired(turns):
                     keys.append((row, no, by))
                     rows.append((task or "", direction or "", user or "", reply))
             defects = judge.judge(rows)

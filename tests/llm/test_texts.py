@@ -6,6 +6,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -182,6 +183,15 @@ def test_pairs_of():
     assert pairs.pairs_of(None) == pairs.pairs_of([]) == pairs.pairs_of([None]) == []
 
 
+def test_messages_are_read_by_columns():
+    kind = pa.list_(pa.struct([("role", pa.string()), ("content", pa.string())]))
+    m = lambda r, c: {"role": r, "content": c}
+    data = [[m("user", "a"), None, m("assistant", "b")], None, [], [m(None, "z")], [m("User", None)], [m("user", "q"), m("bot", "r")]]
+    column = pa.array(data, kind)
+    for part, want in ((column, data), (column.slice(2, 4), data[2:]), (column.slice(0, 1), data[:1]), (column.slice(0, 0), [])):
+        assert [pairs._paired(turns) for turns in pairs._turns(part)] == [pairs.pairs_of(x) for x in want]
+
+
 def test_refusals():
     for text in ("I'm sorry, but I can't help with request.", "Leider kann ich diese Bitte nicht prüfen.", "Bohužel njemóžu tutu prašenje pruwować.", "Bóžko njamogu toś tu pšašanje wótegroniś.", "As a language model I cannot answer the text you sent. I must decline to check this task.", "Nemohu přeložit tuto větu.", "Nie mogę przetłumaczyć tego zdania."):
         assert pairs.is_refusal(text), text
