@@ -93,22 +93,28 @@ def random_exemplars(pairs: DataFrame, pool: DataFrame, seed) -> DataFrame:
     return second.withColumn("exemplar", chosen).drop("_n", "_no", "_no2", "_e", "_e2")
 
 
+def carriers(pairs: DataFrame, seed, validation: int) -> DataFrame:
+    """pairs (direction, row_idx) with `held`, true for the first `validation` rows of a direction in the order of row_idx, else
+    null, and `carrier`, true for half of the others."""
+    first = Window.partitionBy("direction").orderBy("row_idx")
+    held = pairs.select("direction", "row_idx").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= validation).select("direction", "row_idx", F.lit(True).alias("held"))
+    split = pairs.join(held, ["direction", "row_idx"], "left")
+    train = carrier_mask(split.where("held is null"), seed, "row_idx", ["direction"])
+    return train.unionByName(split.where("held").withColumn("carrier", F.lit(False)))
+
+
 def compositions(pairs: DataFrame, seed, validation: int, source_name: Column, target_name: Column, comps=COMPOSITIONS) -> DataFrame:
     """(comp, split, direction, row_idx, messages): the same rows in every composition.
 
     pairs has direction, row_idx, src, tgt, and fuzzy and random (each null or (src, tgt)). The first `validation` rows of a
     direction in the order of row_idx are the validation split, without exemplars; half of the others are carriers, which
-    get their composition's exemplar.
+    get their composition's exemplar. Columns `held` and `carrier` are used if pairs has them (`carriers`).
     """
-    first = Window.partitionBy("direction").orderBy("row_idx")
-    held = pairs.select("direction", "row_idx").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= validation).select("direction", "row_idx", F.lit(True).alias("_v"))
-    split = pairs.join(held, ["direction", "row_idx"], "left")
-    train = carrier_mask(split.where("_v is null"), seed, "row_idx", ["direction"])
-    rows = train.unionByName(split.where("_v").withColumn("carrier", F.lit(False)))
+    rows = pairs if "carrier" in pairs.columns else carriers(pairs, seed, validation)
     exemplar = F.when(F.col("carrier") & (F.col("comp") == "compfz"), F.col("fuzzy")).when(F.col("carrier") & (F.col("comp") == "comprd"), F.col("random"))
     every = rows.withColumn("comp", F.explode(F.array(*map(F.lit, comps)))).withColumn("_x", exemplar)
     user = mt_prompt("src", source_name, target_name, F.when(F.col("_x").isNotNull(), F.array("_x")).otherwise(F.array().cast("array<struct<src:string,tgt:string>>")))
-    return every.select("comp", F.when(F.col("_v"), "validation").otherwise("training").alias("split"), "direction", "row_idx", chat(user, F.col("tgt")).alias("messages"))
+    return every.select("comp", F.when(F.col("held"), "validation").otherwise("training").alias("split"), "direction", "row_idx", chat(user, F.col("tgt")).alias("messages"))
 
 
 def mixture(parts: dict[str, DataFrame]) -> DataFrame:
