@@ -633,11 +633,11 @@ def fuzzy_composition_rows(spark, d):
     split = checkpointed(mix.carriers(pairs.select(*keys), SEED, 5))
     asked = split.where("carrier").select(*keys)  # the others get no exemplar
     near = retrieval.fuzzy_exemplars(pairs, asked)
-    named = pairs.select(*keys, F.md5("src").alias("src"), F.col("row_idx").alias("tgt"))
+    named = pairs.select(*keys, F.unhex(F.md5("src")).alias("src"), F.col("row_idx").alias("tgt"))
     lots = mix.random_exemplars(asked.join(named, keys), named, SEED).select(*keys, F.col("exemplar.tgt").alias("near"))
     for name, rows in (("fuzzy", near), ("random", lots)):
-        texts = pairs.select("direction", F.col("row_idx").alias("near"), F.struct("src", "tgt").alias(name))
-        split = split.join(rows.join(texts, ["direction", "near"]).drop("near"), keys, "left")
+        texts = rows.withColumnRenamed("row_idx", "_row").join(pairs.withColumnRenamed("row_idx", "near"), ["direction", "near"])
+        split = split.join(texts.select("direction", F.col("_row").alias("row_idx"), F.struct("src", "tgt").alias(name)), keys, "left")
     rows = mix.compositions(pairs.join(split, keys), SEED, 5, F.lit("German"), F.lit("Upper Sorbian"))
     return rows.select("comp", "split", "direction", "row_idx", F.col("messages")[0]["content"].alias("user_content"), F.col("messages")[1]["content"].alias("assistant_content"))
 
